@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
 }
