@@ -45,6 +45,7 @@ def _fold(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)  # without flags such as not null
         rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         digest = np.frombuffer(b"".join(rows.column("digest").to_pylist()), np.uint64).reshape(-1, 4)
         check = np.column_stack([digest, *(rows.column(c).to_numpy().view(np.uint64) for c in ("n_bytes", "check"))])
