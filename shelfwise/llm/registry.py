@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_sharding": sharding.op2_sharding,
+    "op3_warc": warc.op3_warc,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
 }
