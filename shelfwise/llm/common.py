@@ -69,44 +69,43 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(raw: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, rows: np.ndarray, classes: tuple[np.ndarray, np.ndarray | None]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     """Split bytes into words and number the distinct ones.
 
-    ``classes`` maps each byte to itself, to its replacement (case folding) or to 0 for a byte that
-    separates words. A word never crosses a row's end. Returns the dictionary-encoded words, the
-    word offsets of the rows (n + 1) and each word's first byte.
+    ``classes`` tells of each byte value whether it is part of words and what it is folded to. A word
+    never crosses a row's end. Returns the dictionary-encoded words, the word offsets of the rows
+    (n + 1) and each word's first byte.
     """
-    folded = classes[raw]
-    inside = folded != 0
-    starts = inside.copy()
+    inside = classes[0][raw]
+    starts, ends = inside.copy(), inside.copy()
     if len(raw):
         starts[1:] &= ~inside[:-1]
-        first = rows[:-1][rows[:-1] < rows[1:]]
-        starts[first] = inside[first]
+        ends[:-1] &= ~inside[1:]
+        some = rows[:-1] < rows[1:]
+        first, last = rows[:-1][some], rows[1:][some] - 1
+        starts[first], ends[last] = inside[first], inside[last]
     begin = np.flatnonzero(starts)
-    kept = folded[inside]
-    # the offset of each word in the kept bytes: bytes kept before its start
-    before = np.cumsum(inside, dtype=np.int64)
-    offsets = np.empty(len(begin) + 1, np.int64)
-    offsets[:-1] = before[begin] - 1
-    offsets[-1] = len(kept)
+    offsets = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(np.flatnonzero(ends) + 1 - begin, out=offsets[1:])
+    kept = raw[inside] if classes[1] is None else classes[1][raw[inside]]
     array = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
     return array.dictionary_encode(), np.searchsorted(begin, rows), begin
 
 
-def byte_classes(separators, fold_ascii: bool = True) -> np.ndarray:
-    """A table for ``words``: the given byte values separate, A-Z become a-z, the rest stay."""
-    out = np.arange(256, dtype=np.uint8)
-    if fold_ascii:
-        out[65:91] += 32
-    out[list(separators)] = 0
-    return out
+def byte_classes(separators, fold_ascii: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Tables for ``words``: the given byte values separate; A-Z become a-z if wanted."""
+    inside, folded = np.ones(256, bool), np.arange(256, dtype=np.uint8)
+    inside[list(separators)] = False
+    folded[65:91] += 32
+    return inside, folded if fold_ascii else None
 
 
-#: Words are runs of ASCII digits and letters and of anything beyond ASCII.
-ALNUM = byte_classes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-#: Words are runs of anything but ASCII white space. NUL is no white space, see ``spaced``.
-SPACED = byte_classes([0x20, *range(0x09, 0x0E)])
+SPACES = [0x20, *range(0x09, 0x0E)]
+#: Words are runs of ASCII digits and letters, lower-cased, and of anything beyond ASCII.
+ALNUM = byte_classes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)], True)
+#: Words are runs of anything but ASCII white space, lower-cased or as they are.
+SPACED_LOWER = byte_classes(SPACES, True)
+SPACED = byte_classes(SPACES, False)
 
 
 def sha256_binary(column) -> F.Column:
