@@ -41,6 +41,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Materialised steps of one operator, removed once its result has been written.
+
+    ``finish`` writes the result and deletes the steps; if the operator fails before, they are
+    deleted as well. The result itself stays in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(shared_dir(self.spark, label))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def finish(self, df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+
 def batches_by_bytes(batches, column: str, limit: int = STEP_BYTES):
     """Slices of Arrow batches whose texts add up to about ``limit`` bytes (one row at least)."""
     for batch in batches:

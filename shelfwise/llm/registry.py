@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, repair, sharding, warc
+from . import bpe, decontaminate, exact_dedup, minhash, repair, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_sharding": sharding.op2_sharding,
     "op3_warc": warc.op3_warc,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_minhash": minhash.op5_minhash,
     "op8_token_ids": repair.op8_token_ids,
     "op10_bpe": bpe.op10_bpe,
 }
