@@ -96,7 +96,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if pa.types.is_string(column.type):
         column = column.cast(pa.large_string())
-    column = column.fill_null("")
+    column = column.fill_null(pa.scalar("" if pa.types.is_large_string(column.type) else b"", column.type))
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) and at[-1] > at[0] else np.zeros(0, np.uint8)

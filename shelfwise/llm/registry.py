@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, minhash, repair, sharding, warc
+from . import bpe, decontaminate, exact_dedup, minhash, repair, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op8_token_ids": repair.op8_token_ids,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
 
