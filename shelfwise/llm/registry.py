@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, minhash, repair, sharding, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, minhash, repair, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash": minhash.op5_minhash,
+    "op6_url_filter": urls.op6_url_filter,
     "op8_token_ids": repair.op8_token_ids,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
@@ -19,4 +20,5 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_url_filter": urls.ORACLE_SQL,
 }
