@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, minhash, repair, sharding, toxicity, urls, warc
+from . import bpe, decontaminate, exact_dedup, htmltext, minhash, repair, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_html_text": htmltext.op7_html_text,
     "op8_token_ids": repair.op8_token_ids,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
