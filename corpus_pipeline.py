@@ -1,15 +1,58 @@
-"""Corpus preparation in stages, each an operator of shelfwise.llm."""
+"""Corpus preparation in stages, each an operator of shelfwise.llm.
+
+Toxic documents go first; of equal and of near-equal documents one stays; documents that hold a
+benchmark passage go; what remains is encoded and decoded. Each stage works on all that the one before
+kept, and all but the last keep the columns of ``documents``. ``run`` writes every stage's result to
+the shared folder and reads it again, so no stage is computed twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from shelfwise.llm import bpe, decontaminate, exact_dedup, minhash, toxicity
+from shelfwise.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5; the model is fitted on the labelled documents given."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for white space, the one with the smallest doc_id."""
+    return exact_dedup.drop_exact(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more of five-word shingles, the one with the smallest doc_id."""
+    return minhash.drop_near(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten words of a benchmark item."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token count and digests of ids and decoded text."""
+    return bpe.encoded(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("bpe", encode),
+]
+
+#: The stages are no SQL; tests hold the result against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
