@@ -252,23 +252,29 @@ class WordBpe:
                     out.append(bytes(self.letters[c] for c in word).decode("utf-8", "surrogateescape"))
         return out
 
-    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of distinct pieces without ASCII white space, and each piece's start in them."""
+    def encode_pieces(self, pieces: pa.Array, encode_words=None) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of distinct pieces without ASCII white space, and each piece's start in them.
+
+        ``encode_words`` does the same for distinct words; by default ``self.encode_words``.
+        """
         raw, at = text_bytes(pieces.cast(pa.large_string()))
         n = len(at) - 1
         odd = np.r_[0, np.cumsum(raw >= 0xC8)]
         slow = (odd[at[1:]] - odd[at[:-1]]) > 0
         # no special token is without this byte
         bars = np.r_[0, np.cumsum(raw == ord("|"))]
-        texts = pieces.to_pylist()
-        texts = [x.decode() if isinstance(x, bytes) else x for x in texts]
-        for i in np.flatnonzero((bars[at[1:]] - bars[at[:-1]]) > 1).tolist():
-            slow[i] |= self.special.search(texts[i]) is not None
+        piece = lambda i: raw[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")
+        for i in np.flatnonzero(bars[at[1:]] - bars[at[:-1]] > 1).tolist():
+            slow[i] |= self.special.search(piece(i)) is not None
         late = np.flatnonzero(slow).tolist()
-        slow_words = [self.slow_pieces(texts[i]) for i in late]
-        for i in late:
-            texts[i] = ""
-        found = self.cut.findall("\n".join(texts).lower())
+        slow_words = [self.slow_pieces(piece(i)) for i in late]
+        # all other pieces with a line feed between
+        sizes = np.diff(at)
+        kept = ~np.repeat(slow, sizes)
+        sizes[slow] = 0
+        joined = np.full(int(sizes.sum()) + max(0, n - 1), ord("\n"), np.uint8)
+        joined[ragged(np.cumsum(sizes + 1) - sizes - 1, sizes)] = raw[kept]
+        found = self.cut.findall(joined.tobytes().decode("utf-8", "replace").lower())
         count = len(found)
         for x in slow_words:
             found += x
@@ -280,8 +286,11 @@ class WordBpe:
         if late:
             lengths = np.array([len(x) for x in slow_words], np.int64)
             begin[late], size[late] = count + np.cumsum(lengths) - lengths, lengths
-        own = coded.dictionary.to_pylist() if late else []
-        ids, starts = self.encode_words(coded.dictionary)
+        distinct = coded.dictionary
+        own = distinct.to_pylist() if late else []
+        if late:
+            distinct = pa.array(["" if x[0] == "\n" else x for x in own], pa.large_string())
+        ids, starts = (encode_words or self.encode_words)(distinct)
         if any(x[0] == "\n" and len(x) > 1 for x in own):
             pool, extra = ids, []
             starts_at, sizes = starts[:-1].copy(), np.diff(starts)
@@ -298,11 +307,11 @@ class WordBpe:
         ends = np.cumsum(size)
         return ids[ragged(starts_at[word], per_word)], np.r_[0, edges[ends]] if n else np.zeros(1, np.int64)
 
-    def encode(self, texts: pa.Array, pieces_to_ids=None):
-        """Ids of whole texts. Returns the pieces' ids and starts, each row's pieces, and its offsets."""
+    def encode(self, texts: pa.Array, encode_words=None) -> Encoded:
+        """Ids of whole texts; null counts as empty."""
         raw, rows = text_bytes(texts)
         coded, at, _ = words(raw, rows, SPACED)
-        ids, starts = (pieces_to_ids or self.encode_pieces)(coded.dictionary)
+        ids, starts = self.encode_pieces(coded.dictionary, encode_words)
         return Encoded(self, ids.astype(np.uint32), starts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at)
 
 
