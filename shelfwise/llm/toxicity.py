@@ -31,6 +31,8 @@ LEAST_TEXTS = 3
 PREFIXES, KEY_BYTES = (3, 4, 5, 6, 7, 8, 10, 12), 24
 #: Weight of a prior in texts, and what each word's log-odds lose.
 PRIOR, DRIFT = 3.0, 1.0
+#: Shares are at least this far from 0 and 1: with many texts they would round to these.
+LEAST_SHARE = 1e-5
 BINS = np.arange(-12, 12.001, 0.05)
 
 
@@ -91,6 +93,7 @@ def word_scores(model: Model, keys: np.ndarray, less: tuple[int, int] = (0, 0))
         live = live[found | ~some]  # past an unknown prefix nothing is known
         if not len(live):
             break
+    share = np.clip(share, LEAST_SHARE, 1 - LEAST_SHARE)
     return np.log(share / (1 - share)) - np.log(model.share / (1 - model.share)) - DRIFT
 
 
@@ -276,6 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         shared = spark.sparkContext.broadcast(model)
         got = rows.mapInArrow(measure, schema).select("t", "excess", "all").toArrow()  # about ``sample`` rows
         model.weights = _fit_logistic(np.column_stack([got.column("excess").to_numpy(), got.column("all").to_numpy()]), got.column("t").to_numpy())
+        if not np.isfinite([model.lam, model.k, *model.weights]).all():
+            raise ArithmeticError(f"no calibration was found: {model.lam}, {model.k}, {model.weights}")
         return model
 
 
