@@ -1,8 +1,8 @@
 """Near-duplicates: MinHash signatures, banding, verification and connected components.
 
 Every text becomes its set of word shingles and a signature of many universal hash minima. Bands of
-the signature are bucket keys. Inside a bucket each set meets only the bucket's first set, so a
-bucket costs as many pairs as it has rows; the pairs whose signatures allow the wanted similarity are
+the signature are bucket keys. Inside a bucket each set meets only the bucket's most central set, so
+a bucket costs as many pairs as it has rows; the pairs whose signatures allow the wanted similarity are
 then verified on the full sets. Components of the verified links come from alternating large-star and
 small-star rounds. Where a bucket still holds more than one component, the pairs across them are
 verified too, so no candidate pair goes untested; pairs inside a component can change nothing.
@@ -26,7 +26,7 @@ from .common import SPACED_LOWER, Scratch, batches_by_bytes, table, text_bytes,
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Bits of the map of wanted rows and slots of the table of shingle counts; both are broadcast.
-MAP_BITS, SLOTS = 1 << 26, 1 << 20
+MAP_BITS, SLOTS = 1 << 26, 1 << 21
 #: Standard deviations of the signatures' agreement that a pair may lack before it is dropped.
 SLACK = 6.0
 
@@ -111,13 +111,20 @@ def band_rows(prints: DataFrame) -> DataFrame:
 
 
 def star_pairs(prints: DataFrame, copies: DataFrame, keep: Scratch) -> DataFrame:
-    """Pairs (a, b) of sets: each set of a bucket with the bucket's first one."""
-    found = band_rows(prints).groupBy("bucket").agg(F.min("uid").alias("pivot"), F.min("own").alias("low"), F.max("own").alias("high"))
-    buckets = keep(found.filter("low <> high").select("bucket", "pivot"), "buckets")
-    rows = keep(band_rows(prints).join(buckets, "bucket").select("uid", "pivot").distinct(), "members")
-    rows = rows.join(copies, "uid", "left").select(F.coalesce("node", "uid").alias("a"), "pivot")
-    rows = rows.join(copies.withColumnRenamed("uid", "pivot"), "pivot", "left").select("a", F.coalesce("node", "pivot").alias("b"))
-    return keep(rows.filter("a <> b").distinct(), "pairs")
+    """Pairs (a, b) of sets: each set of a bucket with the bucket's most central one.
+
+    Central is what meets most others, over all its buckets: in a group of near copies the text that
+    they come from, which is more like each of them than they are like each other.
+    """
+    found = band_rows(prints).groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    buckets = keep(found.filter("low <> high").select("bucket"), "buckets")
+    rows = keep(band_rows(prints).join(buckets, "bucket").select("bucket", "uid"), "band-rows")
+    rows = keep(rows.join(copies, "uid", "left").select("bucket", F.coalesce("node", "uid").alias("node")).distinct(), "members")
+    sizes = keep(rows.groupBy("bucket").agg(F.count("*").alias("size")), "bucket-sizes")
+    central = keep(rows.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("met")), "central")
+    pivots = keep(rows.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("pivot")), "pivots")
+    pairs = rows.join(pivots, "bucket").filter("node <> pivot")
+    return keep(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -193,7 +200,7 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int],
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
     counts = sets.select("set").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-    table_ = np.zeros(SLOTS, np.int64)
+    table_ = np.zeros(SLOTS, np.int32)
     table_[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(table_)
 
