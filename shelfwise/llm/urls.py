@@ -2,8 +2,8 @@
 
 Labelled pages say how many of a host's pages turned out bad. A host's rate of bad pages is drawn to
 that of its registered domain, the domain's to its public suffix, the suffix's to all pages, by
-beta-binomial priors whose strengths are estimated from how much rates differ at each level. A host is
-blocked if even the lower bound of its posterior rate is above a limit, so a host with few labelled
+beta-binomial priors whose strengths are estimated from how much rates differ at each level; a prior
+counts what there is beside the unit itself. A host is blocked if even the lower bound of its posterior rate is above a limit, so a host with few labelled
 pages is not blocked on its own account. Everything is counted per host before anything is joined.
 """
 
@@ -86,11 +86,15 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     # the strengths are three rows of two numbers
     top = _strength(suffixes).select(F.col("rate").alias("rate0"), F.col("strength").alias("m0")).first()
     m1, m2 = _strength(domains).first()["strength"], _strength(hosts).first()["strength"]
-    drawn = lambda m, rate: (F.col("bad") + m * rate) / (F.col("n") + m)
-    suffixes = suffixes.select("suffix", drawn(top["m0"], F.lit(top["rate0"])).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", drawn(m1, F.col("suffix_rate")).alias("domain_rate"))
-    mean = drawn(m2, F.col("domain_rate"))
-    deviation = F.sqrt(mean * (1 - mean) / (F.col("n") + m2 + 1))
+    drawn = lambda bad, n, m, rate: (bad + m * rate) / (n + m)
+    col = F.col
+    # a prior comes from what else there is at a level: nothing counts twice
+    suffixes = suffixes.select("suffix", col("n").alias("suffix_n"), col("bad").alias("suffix_bad"))
+    rest = drawn(col("suffix_bad") - col("bad"), col("suffix_n") - col("n"), top["m0"], F.lit(top["rate0"]))
+    domains = domains.join(suffixes, "suffix").select("domain", "suffix", col("n").alias("domain_n"), col("bad").alias("domain_bad"), rest.alias("suffix_rate"))
+    rest = drawn(col("domain_bad") - col("bad"), col("domain_n") - col("n"), m1, col("suffix_rate"))
+    mean = drawn(col("bad"), col("n"), m2, rest)
+    deviation = F.sqrt(mean * (1 - mean) / (col("n") + m2 + 1))
     return hosts.join(domains, ["domain", "suffix"]).select("host", "n", "bad", mean.alias("rate"), (mean - DEVIATIONS * deviation).alias("bound"))
 
 
@@ -156,9 +160,9 @@ l AS (
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 m0 AS ({_strength_sql("s")}), m1 AS ({_strength_sql("d")}), m2 AS ({_strength_sql("h")}),
-sr AS (SELECT suffix, (s.bad + m0.m * m0.rate) / (s.n + m0.m) AS rate FROM s, m0),
-dr AS (SELECT domain, d.suffix, (d.bad + m1.m * sr.rate) / (d.n + m1.m) AS rate FROM d JOIN sr USING (suffix), m1),
-hr AS (SELECT host, n, m2.m AS m, (h.bad + m2.m * dr.rate) / (h.n + m2.m) AS rate FROM h JOIN dr USING (domain, suffix), m2),
+dr AS (SELECT domain, d.suffix, d.n, d.bad, (s.bad - d.bad + m0.m * m0.rate) / (s.n - d.n + m0.m) AS rate FROM d JOIN s USING (suffix), m0),
+hp AS (SELECT host, h.n, h.bad, (dr.bad - h.bad + m1.m * dr.rate) / (dr.n - h.n + m1.m) AS rate FROM h JOIN dr USING (domain, suffix), m1),
+hr AS (SELECT host, n, m2.m AS m, (bad + m2.m * hp.rate) / (n + m2.m) AS rate FROM hp, m2),
 b AS (SELECT host FROM hr WHERE rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + m + 1)) > {LIMIT})
 SELECT page_id, host, path, {_rule_sql(lambda v, h, p: h + p)} AS rule,
        coalesce({_rule_sql(lambda v, h, p: v)}, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict
