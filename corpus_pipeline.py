@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import bpe, decontaminate, exact_dedup, minhash, toxicity
-from shelfwise.llm.common import materialize, table
+from shelfwise.llm.common import bounded_batches, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, the one with the smallest doc_id."""
+    bounded_batches(spark)
     return exact_dedup.drop_exact(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more of five-word shingles, the one with the smallest doc_id."""
+    bounded_batches(spark)
     return minhash.drop_near(docs)
 
 
@@ -36,6 +38,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token count and digests of ids and decoded text."""
+    bounded_batches(spark)
     return bpe.encoded(docs)
 
 

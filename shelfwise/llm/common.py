@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ STEP_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -75,6 +77,27 @@ class Scratch:
         self.clear()
 
 
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def trim() -> None:
+    """Give the memory of past steps back: workers live on and stand beside others."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold about as many bytes as a step, whatever the length of the rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(STEP_BYTES))
+    return spark
+
+
 def batches_by_bytes(batches, column: str, limit: int = STEP_BYTES):
     """Slices of Arrow batches whose texts add up to about ``limit`` bytes (one row at least)."""
     for batch in batches:
@@ -88,6 +111,7 @@ def batches_by_bytes(batches, column: str, limit: int = STEP_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+            trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
