@@ -68,7 +68,7 @@ def merged_runs(prints: DataFrame) -> DataFrame:
     order = ["digest", "n_bytes", "check", F.asc_nulls_last("keep_doc"), "keep_uid"]
     run = prints.select("digest", "n_bytes", "check", F.col("doc_id").alias("keep_doc"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("group_size"))
     run = run.sortWithinPartitions(*order).mapInArrow(_fold, RUN)
-    wanted, rounds = max(prints.rdd.getNumPartitions(), prints.sparkSession.sparkContext.defaultParallelism), 1
+    wanted, rounds = max(prints.rdd.getNumPartitions(), prints.sparkSession.sparkContext.defaultParallelism), 2
     while FAN**rounds < wanted:
         rounds += 1
     places = FAN**rounds
