@@ -152,7 +152,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
 
     places = index.select("archive", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("stretch"))
-    places = places.repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+    spark = index.sparkSession
+    # a fixed number: index rows are small, but each stands for a record to be read
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    places = places.repartition(parts, "archive", "stretch").sortWithinPartitions("archive", "offset")
     return places.select("archive", "offset", "length").mapInArrow(read, schema)
 
 
