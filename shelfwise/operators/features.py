@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered, tile
+
 SERIES = ["canonical_product_id", "store"]
 
 # Labels of reports.
@@ -52,9 +54,9 @@ def spread_flag(price_range: Column) -> Column:
 
 def even_tiers(features: DataFrame, labels: tuple[str, ...] = ("Budget", "Mid-range", "Premium")) -> DataFrame:
     """Tiers of equal size by mean price."""
-    w = Window.orderBy("mean_price", "canonical_product_id")
-    n = F.ntile(len(labels)).over(w)
-    return features.withColumn("tier", F.element_at(F.array(*map(F.lit, labels)), n))
+    rows = numbered(features, ["mean_price", "canonical_product_id"], "_no")
+    out = rows.withColumn("tier", F.element_at(F.array(*map(F.lit, labels)), tile(F.col("_no"), F.col("_no_total"), len(labels))))
+    return out.drop("_no", "_no_total")
 
 
 def shopping_advice(tier: Column, cv: Column, stores: Column) -> Column:
@@ -77,18 +79,9 @@ def series_features(rows: DataFrame, date: str = "scraped_date_sg") -> DataFrame
 
 
 def positional_split(df: DataFrame, order: list[str], part: float = 0.8) -> DataFrame:
-    """Marks the first ``part`` of the rows in order as training rows.
-
-    Rows are numbered within ranges of the first column, with the ranges' sizes before them.
-    """
-    cells = df.withColumn("_cell", F.col(order[0]))
-    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_n"))
-    base = sizes.withColumn("_base", F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    inner = F.row_number().over(Window.partitionBy("_cell").orderBy(*order[1:]))
-    out = cells.withColumn("_inner", inner).join(base, "_cell").crossJoin(F.broadcast(total))
-    position = F.coalesce("_base", F.lit(0)) + F.col("_inner")
-    return out.withColumn("is_train", position <= F.floor(F.col("_total") * part)).select(*df.columns, "is_train")
+    """Marks the first ``part`` of the rows in order as training rows."""
+    out = numbered(df, order, "_no")
+    return out.withColumn("is_train", F.col("_no") <= F.floor(F.col("_no_total") * part)).drop("_no", "_no_total")
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
