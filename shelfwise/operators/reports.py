@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
+
+def whole() -> Window:
+    """All rows of a small frame."""
+    return Window.partitionBy()
 
 
 def share(count: str = "n"):
     """Percent of the total over all rows of a small frame."""
-    return F.col(count) / F.sum(count).over(ALL) * 100
+    return F.col(count) / F.sum(count).over(whole()) * 100
 
 
 def discounts(rows: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def tier_summary(tiers: DataFrame) -> DataFrame:
     """Per tier its size, share, means and quartiles, and whether its prices vary most."""
     q = F.percentile("mean_price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = tiers.groupBy("tier").agg(F.count("*").alias("n"), F.avg("mean_price").alias("mean_price"), F.avg("price_range").alias("mean_range"), F.avg("cv").alias("mean_cv"), q.alias("q"))
-    most = F.col("mean_cv") == F.max("mean_cv").over(ALL)
+    most = F.col("mean_cv") == F.max("mean_cv").over(whole())
     return out.select("tier", "n", share().alias("pct"), "mean_price", "mean_range", "mean_cv", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), most.alias("varies_most"))
 
 
