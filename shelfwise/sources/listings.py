@@ -92,7 +92,7 @@ def from_lines(text: Column) -> Column:
     Lines with a dollar sign and no slash are prices: the first the present, the second the former
     one. The unit is the first line that is nothing but a size; the name is the longest other line.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     prices = F.filter(lines, lambda x: F.contains(x, F.lit("$")) & ~F.contains(x, F.lit("/")))
     units = F.filter(lines, lambda x: x.rlike(r"(?i)^[0-9]+(\.[0-9]+)?\s*(kg|g|mg|ml|l|cl|pcs?|s|x\s*[0-9].*)$"))
     rest = F.filter(lines, lambda x: ~F.contains(x, F.lit("$")) & ~F.array_contains(units, x) & ~x.rlike(r"^[-+]?[0-9.,%()\s]+$"))
