@@ -10,7 +10,7 @@ import numpy as np
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>",
     re.S,
@@ -80,8 +80,8 @@ class Forest:
                 self._node(TEXT, "", stack[-1], " ")
                 ends[len(self.texts) - 1] = len(self.texts)
 
-        find = TOKEN.search
-        while (m := find(page, at)) is not None:
+        find, last = TOKEN.search, page.rfind(">")
+        while at <= last and (m := find(page, at)) is not None:
             if m.start() > at:
                 say(page[at : m.start()])
             at = m.end()

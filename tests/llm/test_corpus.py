@@ -538,3 +538,21 @@ def test_stages_keep_columns(spark):
 
 def test_normal_forms_are_not_needed_below_the_slow_pieces():
     assert all(unicodedata.normalize("NFC", chr(c)) == chr(c) for c in range(0x200))
+
+
+def test_markup_of_all_sorts():
+    def tree(page):
+        f = htmltree.Forest()
+        f.add(page)
+        names = list(f.tags)
+        return [(names[t], x) for t, x in zip(f.tag, f.texts)][1:]
+
+    assert tree("<p title=don't>it's</p>") == [("p", None), ("#text", "it's")]
+    assert tree('<a title="1>0" href=x>y</a>') == [("a", None), ("#text", "y")]
+    assert tree("<p>a<p>b<div>c") == [("p", None), ("#text", "a"), ("p", None), ("#text", "b"), ("div", None), ("#text", "c")]
+    assert tree("<script>if (a<b) '</p>'</script>x") == [("script", None), ("#text", "x")]
+    assert tree("a <!-- <b> --> c &lt;d&gt;") == [("#text", "a "), ("#text", " c <d>")]
+    assert tree("1 < 2 <") == [("#text", "1 < 2 <")]
+    # no time that grows with the square of the page
+    for page in ("<div " * 200_000, '<a x="' * 100_000 + ">", "<" * 500_000, "<p>" * 20_000):
+        tree(page)
