@@ -86,7 +86,7 @@ def _libc():
 
 
 def trim() -> None:
-    """Give the memory of past steps back: workers live on and stand beside others."""
+    """Give the memory of a finished task's steps back: workers live on and stand beside others."""
     pa.default_memory_pool().release_unused()
     if (libc := _libc()) is not None:
         libc.malloc_trim(0)
@@ -111,7 +111,7 @@ def batches_by_bytes(batches, column: str, limit: int = STEP_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
-            trim()
+    trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
