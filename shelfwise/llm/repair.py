@@ -2,10 +2,11 @@
 
 A shard is a few million consecutive ids with a grammar of its own: pairs of neighbouring symbols
 that occur often are replaced by new symbols, again and again; the rules and the length of what each
-expands to are stored with the rest. Pairs are counted over the whole shard in every round, and a
-round replaces each pair that is the most frequent one where it stands. First rounds work on the
-distinct pieces of text, weighted by how often each occurs, which counts the same pairs in a fraction
-of the time; later rounds join neighbouring pieces. No pair crosses a document's end, so any document
+expands to are stored with the rest. A round replaces each pair that is the most frequent one where it
+stands, and rounds go on until no pair of the shard is frequent; each counts only pairs that are new
+or were frequent before, as others cannot become so. First rounds work on the distinct pieces of text,
+weighted by how often each occurs, which counts the same pairs in a fraction of the time; later rounds
+join neighbouring pieces. No pair crosses a document's end, so any document
 can be decoded alone, from any position, by the expansion lengths.
 
 File format (little-endian): shards one after another, each
@@ -38,50 +39,68 @@ from .files import opened, own_name
 SHARD_BYTES = 8 << 20
 #: A rule must save more than it costs: it is three numbers, and each use saves one.
 USES = 4
-#: Rounds over the whole stream after those over distinct pieces, and the latter at most.
-STREAM_ROUNDS, PIECE_ROUNDS = 2, 12
+#: Ids that a symbol kept expanded while decoding stands for, at most.
+SHORT = 16
 #: Symbols have 3 bytes.
 SYMBOLS = 1 << 24
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 200_000
-#: Rounds end when one shortens the sequence by less than this part.
-LEAST_GAIN = 0.02
 END_ID = 2
 MAGIC = b"RPG1"
 
 
-def replace_round(seq: np.ndarray, inner: np.ndarray, weight: np.ndarray | None, next_symbol: int):
+def replace_round(seq: np.ndarray, live: np.ndarray, weight: np.ndarray | None, next_symbol: int):
     """One round of pair replacement.
 
-    ``inner`` tells where an element is followed by one it may pair with. Returns the kept elements'
-    mask, the new sequence and the new rules, or None where no pair occurs often enough.
+    ``live`` has the places in ``seq`` whose pair with the next element may be frequent, ascending.
+    Returns the kept elements' mask, the new sequence, its live places and the new rules, or None
+    where no pair occurs often enough. ``weight`` is that of each live place.
     """
-    # a pair is no more frequent than either of its symbols
-    often = (np.bincount(seq, weights=weight) >= USES)[seq] if len(seq) else np.zeros(0, bool)
-    at = np.flatnonzero(inner[:-1] & often[:-1] & often[1:])
-    if not len(at):
+    if len(live) > len(seq) // 2:  # a pair is no more frequent than either of its symbols
+        often = np.bincount(seq[live], weights=weight)[seq[live]] >= USES
+        live, weight = live[often], None if weight is None else weight[often]
+    if not len(live):
         return None
-    codes, pairs = pd.factorize((seq[at] << 32) | seq[at + 1])
-    counts = np.bincount(codes, weights=None if weight is None else weight[at], minlength=len(pairs)).astype(np.int64)
-    count = np.zeros(len(seq) + 1, np.int64)
-    count[at] = counts[codes]
-    before = np.r_[0, count[:-2]]
-    # the most frequent pair where it stands: more than the one before, no less than the one after
-    chosen = (count[:-1] >= USES) & (count[:-1] > before) & (count[:-1] >= count[1:])
-    picked = chosen[at]
-    used = np.bincount(codes[picked], weights=None if weight is None else weight[at[picked]], minlength=len(pairs)) >= USES
+    codes, pairs = pd.factorize((seq[live] << 32) | seq[live + 1])
+    # of a run of one symbol every second pair counts, as pairs must not overlap
+    apart = _every_second(np.r_[False, (live[1:] == live[:-1] + 1) & (codes[1:] == codes[:-1])])
+    count = np.bincount(codes[apart], weights=None if weight is None else weight[apart], minlength=len(pairs)).astype(np.int64)
+    often = (count >= USES)[codes]
+    if not often.any():
+        return None
+    live, codes, weight = live[often], codes[often], None if weight is None else weight[often]
+    # the most frequent pair where it stands; of equally frequent ones a hash tells, so a round halves long repeats
+    n, mixed = count[codes], (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[codes]
+    alone = live[1:] != live[:-1] + 1
+    best = np.r_[True, alone | (n[1:] > n[:-1]) | (n[1:] == n[:-1]) & (mixed[1:] >= mixed[:-1])]
+    best &= np.r_[alone | (n[1:] < n[:-1]) | (n[1:] == n[:-1]) & (mixed[1:] <= mixed[:-1]), True]
+    chosen = best.copy()
+    chosen[best] = _every_second(np.r_[False, np.diff(live[best]) == 1])
+    used = np.bincount(codes[chosen], weights=None if weight is None else weight[chosen], minlength=len(pairs)) >= USES
     used &= np.cumsum(used) <= SYMBOLS - next_symbol
     if not used.any():
         return None
-    chosen[at[picked & ~used[codes]]] = False
+    chosen &= used[codes]
     symbol = next_symbol + np.cumsum(used) - 1
-    starts = chosen[at]
-    out = seq.copy()
-    out[at[starts]] = symbol[codes[starts]]
+    at = live[chosen]
+    seq[at] = symbol[codes[chosen]]
     keep = np.ones(len(seq), bool)
-    keep[np.flatnonzero(chosen) + 1] = False
+    keep[at + 1] = False
+    # only pairs around new symbols are new; of the others only frequent ones can be so again
+    again = np.zeros(len(seq) + 1, bool)
+    again[live] = True
+    again[at] = True
+    before = at - 1
+    before -= ~keep[before]
+    again[before[at > 0]] = True
     rules = pairs[used]
-    return keep, out[keep], np.stack([rules >> 32, rules & 0xFFFFFFFF])
+    return keep, seq[keep], np.flatnonzero(again[:-1][keep]), np.stack([rules >> 32, rules & 0xFFFFFFFF])
+
+
+def _every_second(joined: np.ndarray) -> np.ndarray:
+    """The first, third, ... of each run; ``joined`` tells of each element whether it continues the one before."""
+    index = np.arange(len(joined))
+    return (index - np.maximum.accumulate(np.where(joined, 0, index))) % 2 == 0
 
 
 @dataclass
@@ -123,27 +142,39 @@ class Shard:
         out[rule] = self.lengths[symbols[rule] - self.first]
         return out
 
-    def expansions(self) -> np.ndarray:
-        """The ids of all rules, one after another."""
-        seq = np.stack([self.left, self.right], 1).reshape(-1).astype(np.int64)
-        while len(at := np.flatnonzero(seq >= self.first)):
-            size = np.ones(len(seq), np.int64)
-            size[at] = 2
-            place = np.cumsum(size) - size
-            out = np.repeat(seq, size)
-            out[place[at] + 1] = self.right[seq[at] - self.first]
-            out[place[at]] = self.left[seq[at] - self.first]
-            seq = out
-        return seq
-
     def decode(self) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and each document's start in them (n + 1 offsets)."""
-        pool = np.r_[np.arange(self.first), self.expansions()]
+        """All ids, and each document's start in them (n + 1 offsets); rules are opened where they stand."""
         size = np.r_[np.ones(self.first, np.int64), self.lengths.astype(np.int64)]
-        start = np.cumsum(size) - size
-        per = size[self.symbols]
-        ids = pool[ragged(start[self.symbols], per)].astype(np.uint32)
-        return ids, np.r_[self.before, len(ids)]
+        ends = np.cumsum(size[self.symbols])
+        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        # short symbols are copied from a pool of their expansions, long ones opened until they are short
+        short = np.flatnonzero(size[self.first :] <= SHORT)
+        pool = np.r_[np.arange(self.first), self._opened(short + self.first, size)].astype(np.uint32)
+        start = np.arange(len(size))
+        start[self.first + short] = self.first + np.cumsum(size[self.first + short]) - size[self.first + short]
+        place, symbol = ends - size[self.symbols], self.symbols.astype(np.int64)
+        while True:
+            long = size[symbol] > SHORT
+            at, own = place[~long], symbol[~long]
+            ids[ragged(at, size[own])] = pool[ragged(start[own], size[own])]
+            place, own = place[long], symbol[long] - self.first
+            if not len(own):
+                return ids, np.r_[self.before, len(ids)]
+            left = self.left[own].astype(np.int64)
+            place, symbol = np.r_[place, place + size[left]], np.r_[left, self.right[own]].astype(np.int64)
+
+    def _opened(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of these symbols, one after another."""
+        ends = np.cumsum(size[symbols])
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        place = ends - size[symbols]
+        while len(symbols):
+            rule = symbols >= self.first
+            out[place[~rule]] = symbols[~rule]
+            place, own = place[rule], symbols[rule] - self.first
+            left = self.left[own].astype(np.int64)
+            place, symbols = np.r_[place, place + size[left]], np.r_[left, self.right[own]].astype(np.int64)
+        return out
 
     def slice(self, doc: int, start: int = 0, count: int | None = None) -> np.ndarray:
         """Some ids of one document; only the symbols that hold them are expanded."""
@@ -169,17 +200,13 @@ def compress(found: Encoded, doc_ids: pa.Array, first: int, end_id: int = END_ID
     weight = np.bincount(found.pieces, minlength=len(found.sizes))
     owner = np.repeat(np.arange(len(found.sizes)), found.sizes)
     rules, next_symbol = [], first
-    for _ in range(PIECE_ROUNDS):
-        inner = np.r_[owner[1:] == owner[:-1], False][: len(seq)]
-        done = replace_round(seq, inner, weight[owner], next_symbol)
-        if done is None:
-            break
-        keep, seq, made = done
+    live = np.flatnonzero(owner[1:] == owner[:-1])
+    while (done := replace_round(seq, live, weight[owner[live]], next_symbol)) is not None:
+        keep, seq, live, made = done
         owner = owner[keep]
+        live = live[owner[live] == np.r_[owner, -1][live + 1]]
         rules.append(made)
         next_symbol += made.shape[1]
-        if len(seq) > (1 - LEAST_GAIN) * len(keep):
-            break
     # the documents' symbols, each document closed by the end id
     sizes = np.bincount(owner, minlength=len(found.sizes))
     begin = np.cumsum(sizes) - sizes
@@ -188,13 +215,14 @@ def compress(found: Encoded, doc_ids: pa.Array, first: int, end_id: int = END_ID
     pieces = np.insert(found.pieces, found.rows[1:], len(sizes))
     stream = np.r_[seq, end_id][ragged(np.r_[begin, len(seq)][pieces], piece_sizes[pieces])]
     edges = np.r_[0, np.cumsum(piece_sizes[pieces])][np.r_[0, found.rows[1:] + np.arange(1, docs + 1)]]
-    for _ in range(STREAM_ROUNDS):
+    live = np.arange(len(stream))
+    while True:
         inner = np.ones(len(stream), bool)
         inner[edges[1:] - 1] = False
-        done = replace_round(stream, inner, None, next_symbol)
-        if done is None:
+        live = live[inner[live]]
+        if (done := replace_round(stream, live, None, next_symbol)) is None:
             break
-        keep, stream, made = done
+        keep, stream, live, made = done
         edges = np.r_[0, np.cumsum(keep)][edges]
         rules.append(made)
         next_symbol += made.shape[1]

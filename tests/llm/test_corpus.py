@@ -438,6 +438,30 @@ def test_grammar_round_trip(model, odd_texts):
     assert (shard.sizes(np.arange(shard.first, shard.first + len(shard.left))) == shard.lengths).all()
 
 
+@pytest.mark.parametrize("copies", [1, 3, 6])
+def test_grammar_leaves_no_frequent_pair(model, copies):
+    r = random.Random(3)
+    passage = " ".join(r.choice(["amber", "river", "stone", "cloud", "ember"]) + str(r.randrange(99)) for _ in range(300))
+    texts = [f"{r.random()} {passage} {r.random()} {'na ' * i}{'x' * 700}" for i in range(copies)] + [None, "", "ha " * 999]
+    found = model.encode(pa.array(texts), repair.LibraryWords(model))
+    shard = repair.Shard.unpack(repair.compress(found, pa.array(range(len(texts)), pa.int64()), len(model.tokens)).pack())
+    pairs, ends = Counter(), set(shard.starts.tolist())
+    symbols = shard.symbols.tolist()
+    i = 0
+    while i + 1 < len(symbols):
+        pair = (symbols[i], symbols[i + 1])
+        pairs[pair] += i + 1 not in ends
+        # pairs of one run of equal symbols do not overlap
+        i += 2 if pair[0] == pair[1] == (symbols + [None] * 2)[i + 2] and i + 1 not in ends else 1
+    assert max(pairs.values()) < repair.USES
+    assert copies < repair.USES or shard.lengths.max() >= 300
+    ids, at = shard.decode()
+    for i, text in enumerate(texts):
+        want = [*model.library.encode(text or "", add_special_tokens=False).ids, repair.END_ID]
+        assert ids[at[i] : at[i + 1]].tolist() == want
+        assert shard.slice(i).tolist() == want and shard.slice(i, len(want) // 2, 3).tolist() == want[len(want) // 2 :][:3]
+
+
 def test_id_files(spark, model):
     docs = frame(spark)
     folder = shared_dir(spark, "ids")
