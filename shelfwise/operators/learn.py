@@ -33,7 +33,7 @@ def best_kmeans(df: DataFrame, k: int, starts: int = 10, seed: int = 42):
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_sweep(features: DataFrame, ks=range(2, 9), starts: int = 3) -> DataFrame:
+def kmeans_sweep(features: DataFrame, ks=range(2, 9), starts: int = 10) -> DataFrame:
     """Cost and silhouette by number of clusters."""
     df = scaled(features, TIER_FEATURES).select("scaled").persist()
     try:
@@ -50,7 +50,12 @@ def kmeans_sweep(features: DataFrame, ks=range(2, 9), starts: int = 3) -> DataFr
 def kmeans_tiers(features: DataFrame, starts: int = 10) -> DataFrame:
     """Features with cluster and tier; tiers are the clusters by ascending mean price."""
     df = scaled(features, TIER_FEATURES)
-    out = best_kmeans(df, len(TIERS), starts).transform(df).drop("scaled")
+    points = df.select("scaled").persist()
+    try:
+        model = best_kmeans(points, len(TIERS), starts)
+    finally:
+        points.unpersist()
+    out = model.transform(df).drop("scaled")
     ranks = out.groupBy("cluster").agg(F.avg("mean_price").alias("m")).withColumn("r", F.row_number().over(Window.orderBy("m")))
     return out.join(F.broadcast(ranks.drop("m")), "cluster").withColumn("tier", F.element_at(F.array(*map(F.lit, TIERS)), F.col("r"))).drop("r")
 

@@ -725,12 +725,12 @@ def json_map_rows(spark, sf_dir):
 
 @query()
 def kmeans_tiers(spark, sf_dir):
-    return learn.kmeans_tiers(_features(spark, sf_dir), starts=3).select("canonical_product_id", "cluster", "tier", "mean_price")
+    return learn.kmeans_tiers(_features(spark, sf_dir)).select("canonical_product_id", "cluster", "tier", "mean_price")
 
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    return learn.kmeans_sweep(_features(spark, sf_dir), starts=1)
+    return learn.kmeans_sweep(_features(spark, sf_dir))
 
 
 @query()
@@ -741,5 +741,5 @@ def isolation_forest(spark, sf_dir):
 @query()
 def rf_price_model(spark, sf_dir):
     rows = features.positional_split(_series(spark, sf_dir).filter("mean_3 is not null"), ["canonical_product_id", "store", "scraped_date_sg"])
-    _, out = learn.price_model(rows, trees=20, depth=8)
+    _, out = learn.price_model(rows)
     return out.select("canonical_product_id", "store", *text("scraped_date_sg"), "price_sgd", "predicted_price", "abs_error")
