@@ -12,14 +12,17 @@ leave the text's own counts out.
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Scratch, batches_by_bytes, table, text_bytes, words
+from .common import ALNUM, Scratch, batches_by_bytes, ragged, table, text_bytes, words
 
 #: Labelled rows that the model is fitted on, about, chosen by a hash of doc_id.
 SAMPLE = 40_000
@@ -27,8 +30,16 @@ SAMPLE = 40_000
 ENTRIES = 1_000_000
 #: Texts that must hold a word or prefix for it to count.
 LEAST_TEXTS = 3
-#: Prefix lengths in bytes, and the bytes that make up a word's own key together with its length.
+#: Prefix lengths in bytes, and the bytes that make up a word's own key together with its length; those of longer words have a digest as well.
 PREFIXES, KEY_BYTES = (3, 4, 5, 6, 7, 8, 10, 12), 24
+#: Letters of scripts that put no spaces between words: Thai, Lao, Burmese, Khmer and their kin, kana, bopomofo, Han.
+UNSPACED = [
+    (0x0E01, 0x0E4E), (0x0E81, 0x0ECE), (0x0EDC, 0x0EDF), (0x1000, 0x103F), (0x1050, 0x109F), (0x1780, 0x17DD), (0x1950, 0x19C9), (0x1A20, 0x1A7C), (0x1B00, 0x1B4C),
+    (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9C0), (0xA9E0, 0xA9EF), (0xAA60, 0xAA7F),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x323AF),
+]
+#: Characters of the overlapping pieces that stand for words there.
+GRAM = 4
 #: Weight of a prior in texts, and what each word's log-odds lose.
 PRIOR, DRIFT = 3.0, 1.0
 #: Shares are at least this far from 0 and 1: with many texts they would round to these.
@@ -64,15 +75,70 @@ def chains(dictionary: pa.Array) -> np.ndarray:
         if j + 1 in PREFIXES:
             longer = live[sizes[live] > j + 1]
             out[PREFIXES.index(j + 1), longer] = key[longer] | np.uint64(1)
+    for i in np.flatnonzero(sizes > KEY_BYTES).tolist():
+        key[i] ^= np.uint64(int.from_bytes(hashlib.blake2b(raw[at[i] : at[i + 1]].tobytes(), digest_size=8).digest(), "little"))
     x = (key ^ (sizes.astype(np.uint64) << np.uint64(8))) * np.uint64(0x94D049BB133111EB)
     out[-1] = (x ^ (x >> np.uint64(31))) & ~np.uint64(1)
     return out
 
 
+@lru_cache(1)
+def _character_classes() -> np.ndarray:
+    """Of each character beyond ASCII: 0 separates words, 1 is part of words, 2 of runs without spaces, 3 of runs of symbols."""
+    out = np.ones(0x110000, np.uint8)
+    for c in range(0x80, 0x20000):
+        kind = unicodedata.category(chr(c))
+        # joiners stand within words, other marks of format at their edges
+        out[c] = 0 if kind[0] in "PZ" or kind == "Cc" or kind == "Cf" and c not in (0x200C, 0x200D) else 3 if kind[0] == "S" else 1
+    out[0xFE00:0xFE10] = 3
+    out[0xE0000:0xE0080] = 0
+    for a, b in UNSPACED:
+        out[a : b + 1][out[a : b + 1] == 1] = 2
+    return out
+
+
+def _tokens(raw: np.ndarray, rows: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of bytes, as ``common.words`` with ``ALNUM`` has them but parted at all Unicode punctuation and spaces.
+
+    Symbols make words of their own. In scripts without spaces every character starts a word of up to
+    GRAM characters. Returns the dictionary-encoded words and the word offsets of the rows (n + 1).
+    """
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return words(raw, rows, ALNUM)[:2]
+    padded = np.r_[raw, np.zeros(3, np.uint8)]
+    first = raw[lead].astype(np.uint32)
+    one, two, three = (padded[lead + i].astype(np.uint32) & 0x3F for i in (1, 2, 3))
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = np.where(size == 2, (first & 0x1F) << 6 | one, np.where(size == 3, (first & 0x0F) << 12 | one << 6 | two, (first & 0x07) << 18 | one << 12 | two << 6 | three))
+    kind = _character_classes()[np.minimum(code, 0x10FFFF)]
+    kinds = ALNUM[0].astype(np.uint8)[raw]
+    kinds[lead] = kind
+    for i in (1, 2, 3):
+        at = lead + i
+        some = (size > i) & (padded[at] & 0xC0 == 0x80)  # bytes that are no UTF-8 stay as they are
+        kinds[at[some]] = kind[some]
+    edge = np.r_[True, kinds[1:] != kinds[:-1]]
+    edge[rows[:-1][rows[:-1] < len(raw)]] = True
+    starts = edge & (kinds != 0)
+    grams = bool((kind == 2).any())
+    if grams:
+        starts[lead[kind == 2]] = True
+    begin, runs = np.flatnonzero(starts), np.flatnonzero(edge)
+    ends = np.r_[runs[1:], len(raw)][np.searchsorted(runs, begin, "right") - 1]
+    if grams:
+        later = np.r_[begin[GRAM:], np.full(min(GRAM, len(begin)), len(raw))]
+        ends = np.where(kinds[begin] == 2, np.minimum(ends, later), ends)
+    kept = ALNUM[1][raw[ragged(begin, ends - begin)] if grams else raw[kinds != 0]]
+    offsets = np.r_[0, np.cumsum(ends - begin)].astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return array.dictionary_encode(), np.searchsorted(begin, rows)
+
+
 def _coded(column: pa.Array):
     """Each text's words as numbers of distinct words: (numbers, offsets, keys of the distinct words)."""
     raw, rows = text_bytes(column)
-    coded, at, _ = words(raw, rows, ALNUM)
+    coded, at = _tokens(raw, rows)
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at, chains(coded.dictionary)
 
 

@@ -527,6 +527,42 @@ def test_toxicity_without_use_of_labels(spark):
         assert all(0 <= x.score <= 1 for x in toxicity.scores(docs, model).collect())
 
 
+def tokens_of(text):
+    raw, rows = toxicity.text_bytes(pa.array(["x y", None, text, "z"]))
+    coded, at = toxicity._tokens(raw, rows)
+    assert at[:3].tolist() == [0, 2, 2] and at[4] - at[3] == 1
+    return [w.decode() for w in coded.to_pylist()[at[2] : at[3]]]
+
+
+def test_words_end_at_unicode_punctuation():
+    assert tokens_of("l\u2019Idiot \u00abidiot\u00bb a\u2014idiot no\u00a0idiot\u3002idiot \ufeffidiot") == ["l", "idiot", "idiot", "a", "idiot", "no", "idiot", "idiot", "idiot"]
+    assert tokens_of("caf\u00e9 na\u00efve, \u0928\u092e\u0938\u094d\u0924\u0947") == ["caf\u00e9", "na\u00efve", "\u0928\u092e\u0938\u094d\u0924\u0947"]
+    assert tokens_of("\U0001f525idiot") == ["\U0001f525", "idiot"]
+
+
+def test_scripts_without_spaces_are_scored_by_pieces():
+    text = "\u4eca\u65e5\u306f\u3044\u3044\u5929\u6c17\u3060\u30fb\u99ac\u9e7f"
+    run = text[:8]
+    assert tokens_of(text + "ok") == [*(run[i : i + 4] for i in range(8)), text[9:], text[10], "ok"]
+    assert tokens_of("\u0e44\u0e2d\u0e49\u0e1a\u0e49\u0e32") == ["\u0e44\u0e2d\u0e49\u0e1a\u0e49\u0e32"[i : i + 4] for i in range(6)]
+
+
+def test_whole_words_have_keys_of_their_own():
+    keys = toxicity.chains(pa.array([b"a" * 24 + b"bcd", b"a" * 24 + b"bce", b"a" * 24 + b"bcd"], pa.large_binary()))[-1]
+    assert keys[0] == keys[2] != keys[1]
+
+
+def test_toxic_passage_late_in_a_run_without_spaces(spark):
+    r = random.Random(5)
+    plain = lambda n: "".join(chr(0x4E00 + r.randrange(300)) for _ in range(n))
+    bad = "\u9a6c\u9e7f\u6df7\u86cb"
+    rows = [(i, plain(30) + (bad * 2 if i % 3 == 0 else "") + plain(30)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.scores(docs, toxicity.train(docs, labels)).filter("held_out").collect()
+    assert len(got) > 100 and all(x.predicted == (x.doc_id % 3 == 0) for x in got)
+
+
 def test_shares_near_one_stay_finite():
     keys = np.arange(1, 10, dtype=np.uint64)
     model = toxicity.Model(keys, np.full(9, 1 << 30), np.zeros(9, np.int64), 0.1)
