@@ -26,8 +26,6 @@ from .common import ALNUM, Scratch, batches_by_bytes, ragged, table, text_bytes,
 
 #: Labelled rows that the model is fitted on, about, chosen by a hash of doc_id.
 SAMPLE = 40_000
-#: Entries of the broadcast model, about; with more, those of the least evidence are left out.
-ENTRIES = 1_000_000
 #: Texts that must hold a word or prefix for it to count.
 LEAST_TEXTS = 3
 #: Prefix lengths in bytes, and the bytes that make up a word's own key together with its length; those of longer words have a digest as well.
@@ -305,11 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts = rows.mapInArrow(count, "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= LEAST_TEXTS)
         counts = keep(counts, "token-counts")
         share = toxic / n
-        if (many := counts.count()) > ENTRIES:
-            evidence = F.abs(F.col("a") - share * (F.col("a") + F.col("b"))) / F.sqrt(F.col("a") + F.col("b"))
-            least = counts.select(F.percentile_approx(evidence, 1 - ENTRIES / many, 10_000)).first()[0]
-            counts = counts.filter(evidence >= least)
-        read = counts.toArrow()  # about ENTRIES rows
+        read = counts.toArrow()  # all keys: words of ``sample`` texts and their prefixes
         keys = read.column("key").to_numpy().view(np.uint64)
         by = np.argsort(keys)
         model = Model(keys[by], read.column("a").to_numpy()[by], read.column("b").to_numpy()[by], share)

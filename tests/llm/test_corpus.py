@@ -563,6 +563,14 @@ def test_toxic_passage_late_in_a_run_without_spaces(spark):
     assert len(got) > 100 and all(x.predicted == (x.doc_id % 3 == 0) for x in got)
 
 
+def test_no_count_is_left_out(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    full = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "ENTRIES", 100, raising=False)
+    again = toxicity.train(docs, labels)
+    assert len(full.keys) > 1000 and again.keys.tolist() == full.keys.tolist() and again.weights == pytest.approx(full.weights)
+
+
 def test_shares_near_one_stay_finite():
     keys = np.arange(1, 10, dtype=np.uint64)
     model = toxicity.Model(keys, np.full(9, 1 << 30), np.zeros(9, np.int64), 0.1)
