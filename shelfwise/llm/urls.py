@@ -9,6 +9,10 @@ pages is not blocked on its own account. Everything is counted per host before a
 
 from __future__ import annotations
 
+import pkgutil
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Public suffixes of two labels; all others have one.
+#: Public suffixes of two labels that the SQL twin knows; to it all others have one. The query itself takes the full list.
 LONG_SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "co.in", "co.jp", "co.kr", "co.nz", "com.cn", "com.mx", "com.tr", "co.za"]
 #: A host is blocked if its posterior rate less so many standard deviations is above the limit.
 DEVIATIONS, LIMIT = 1.645, 0.5
@@ -49,16 +53,49 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+@lru_cache(1)
+def public_suffixes() -> dict[str, int]:
+    """Labels of the public suffix by rule of publicsuffix.org, whose list lies beside this file (MPL 2.0)."""
+    out = {}
+    for line in pkgutil.get_data(__package__, "public_suffix_list.dat").decode().splitlines():
+        if line.strip() and not line.startswith("//"):
+            rule = line.split()[0].lower()
+            name = rule.removeprefix("!")
+            labels = name.count(".") + (rule == name)  # an exception's suffix is a label shorter
+            out[name] = labels
+            out[".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in name.split("."))] = labels
+    return out
+
+
+def suffix_labels(name: str, rules: dict[str, int]) -> int:
+    """How many labels of a name are its public suffix: those of the longest rule, or one."""
+    labels = name.split(".")
+    for i in range(len(labels)):
+        exact = ".".join(labels[i:])
+        if (found := rules.get(exact) or rules.get(".".join(["*", *labels[i + 1 :]]))) is not None:
+            return found
+    return 1
+
+
+@lru_cache(1)
+def _suffix_labels():
+    @F.pandas_udf("int")
+    def count(names: pd.Series) -> pd.Series:
+        rules = public_suffixes()
+        return pd.Series([1 if x is None else suffix_labels(x, rules) for x in names], dtype="int32")
+
+    return count
+
+
 def levels_of(host: Column) -> tuple[Column, Column]:
     """Registered domain and public suffix of a host, without user and port; an address is its own."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
     parts = F.split(bare, r"\.")
     count = F.size(parts)
-    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.lit(1), count - n + 1), F.lit(n)), ".")
+    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.lit(1), count - n + 1), n), ".")
     address = bare.rlike(r"^[0-9.]+$") | F.startswith(bare, F.lit("["))
-    long = last(2).isin(LONG_SUFFIXES)
-    suffix = F.when(address, bare).when(long, last(2)).otherwise(last(1))
-    return F.when(address, bare).when(long, last(3)).otherwise(last(2)), suffix
+    labels = _suffix_labels()(bare)
+    return F.when(address, bare).otherwise(last(labels + 1)), F.when(address, bare).otherwise(last(labels))
 
 
 def _strength(units: DataFrame) -> DataFrame:

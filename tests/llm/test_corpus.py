@@ -318,6 +318,16 @@ def test_registered_domains(spark):
     assert {x[0]: (x[1], x[2]) for x in df.select("host", domain, suffix).collect()} == hosts
 
 
+def test_registered_domains_by_the_full_list(spark):
+    hosts = {
+        "www.a.co.il": ("a.co.il", "co.il"), "a.com.sg": ("a.com.sg", "com.sg"), "x.y.edu.au": ("y.edu.au", "edu.au"), "b.a.com.ar": ("a.com.ar", "com.ar"), "me.github.io": ("me.github.io", "github.io"),
+        "a.b.foo.ck": ("b.foo.ck", "foo.ck"), "a.www.ck": ("www.ck", "ck"), "a.b.unlisted": ("b.unlisted", "unlisted"), "a.\u516c\u53f8.cn": ("a.\u516c\u53f8.cn", "\u516c\u53f8.cn"), "b.a.xn--55qx5d.cn": ("a.xn--55qx5d.cn", "xn--55qx5d.cn"), "co.uk": ("co.uk", "co.uk"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = urls.levels_of(F.col("host"))
+    assert {x[0]: (x[1], x[2]) for x in df.select("host", domain, suffix).collect()} == hosts
+
+
 # 7
 
 PAGE = """<html><body><header><h1>Site</h1></header><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><div class="cookie-notice">We use cookies. <button>OK</button></div>
