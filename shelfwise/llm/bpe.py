@@ -31,6 +31,22 @@ LONG_WORD = 200
 REMEMBERED = 200_000
 END = "</w>"
 FAR = np.int64(1) << 40
+#: The steps around merging that this module does itself (fixed values of the file format).
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: Characters below are cut here; pieces with any other go through the library's own steps. Lower-casing
+#: leads from none of them to a letter beyond (from U+0181 on it does).
+LATIN_END = 0x180
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,9 +63,15 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             read = json.load(f)
         model = read["model"]
+        other = [k for k, v in STEPS.items() if read.get(k) != v] + [k for k, v in MODEL.items() if model.get(k, v) != v]
+        other += [t["content"] for t in read["added_tokens"] if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].count("|") < 2]
+        if other:
+            raise ValueError(f"{path} is no tokenizer of this kind: {other}")
         vocab = model["vocab"]
         self.letters = byte_letters()
         self.specials = {t["content"]: t["id"] for t in read["added_tokens"]}
@@ -62,7 +84,7 @@ class WordBpe:
         self._merges(vocab, model["merges"], top)
         self.valid = self._whole()
         self.merged: dict[bytes, tuple[int, ...]] = {}
-        latin = [chr(c) for c in range(0x80, 0x200)]
+        latin = [chr(c) for c in range(0x80, LATIN_END)]
         letters = re.escape("".join(c for c in latin if unicodedata.category(c)[0] == "L"))
         numbers = re.escape("".join(c for c in latin if unicodedata.category(c)[0] == "N"))
         self.cut = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{letters}]+|[0-9{numbers}]|[^\t-\r \x85\xa0a-zA-Z0-9{letters}{numbers}]+")
@@ -259,7 +281,7 @@ class WordBpe:
         """
         raw, at = text_bytes(pieces.cast(pa.large_string()))
         n = len(at) - 1
-        odd = np.r_[0, np.cumsum(raw >= 0xC8)]
+        odd = np.r_[0, np.cumsum(raw >= 0xC0 + (LATIN_END >> 6))]
         slow = (odd[at[1:]] - odd[at[:-1]]) > 0
         # no special token is without this byte
         bars = np.r_[0, np.cumsum(raw == ord("|"))]
