@@ -165,25 +165,29 @@ def maximal_segments(values: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, in linear time.
 
     A candidate is a segment with the sums before it and through its end; a new positive value joins
-    the nearest candidate that starts from a lower sum, unless that one already ends higher.
+    the nearest candidate that starts from a lower sum, unless that one already ends higher. Each
+    candidate links to the nearest one before it that starts from a lower sum, and a new one follows
+    these links; a link once followed is passed over by later ones, so all searches together take a
+    number of steps in proportion to the values.
     """
-    found: list[tuple[float, float, int, int]] = []
+    found: list[tuple[float, float, int, int, int]] = []
     total = 0.0
     for i, v in enumerate(values):
         before, total = total, total + v
         if v <= 0:
             continue
-        low, start = before, i
+        low, start, j = before, i, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= total:
-                found.append((low, total, start, i + 1))
+                found.append((low, total, start, i + 1, j))
                 break
             low, start = found[j][0], found[j][2]
+            link = found[j][4]
             del found[j:]
-    return [(a, b, high - low) for low, high, a, b in found]
+            j = link
+    return [(a, b, high - low) for low, high, a, b, _ in found]
 
 
 def segments_of(scores: np.ndarray, at: np.ndarray):
