@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir and runs in one process.
@@ -18,6 +18,9 @@ LOCAL_SHARED = "/tmp/checkpoints/shelfwise"
 #: Text bytes that one vectorised step works on; a longer single text makes a step of its own.
 STEP_BYTES = 8 << 20
 
+#: Bits of the maps of keys that are broadcast.
+MAP_BITS = 1 << 26
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,12 +66,14 @@ class Scratch:
         self.clear()
         return out
 
-    def clear(self) -> None:
+    def clear(self, but: int = 0) -> None:
+        """Delete the steps, but for the last ``but`` of them."""
         jvm = self.spark.sparkContext._jvm
-        for path in self.paths:
+        gone = self.paths[: len(self.paths) - but]
+        for path in gone:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths = []
+        self.paths = self.paths[len(gone) :]
 
     def __enter__(self) -> Scratch:
         return self
@@ -77,6 +82,31 @@ class Scratch:
         self.clear()
 
 
+def without_rows(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``rows`` (doc_id, text_key, kept) does not keep, columns as they are.
+
+    A row is found by its id and ``xxhash64`` of its text. Rows that ``rows`` does not name stay. Of
+    those with one id and text as many stay as are kept, one at most. Most rows stay, so texts are not
+    shuffled with their keys: a map of MAP_BITS bits with the keys that lose rows is broadcast, and
+    only rows that it hits are joined. More keys than the map can tell apart make that join larger,
+    not wrong.
+    """
+    found = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("left")).filter("n > `left`").select("doc_id", "text_key", "left")
+    found = materialize(found, "rows-to-drop")
+    place = lambda: F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(MAP_BITS))
+    bits = found.select(place().alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")) if docs.columns else docs
+    own = own.withColumn("p", place()).withColumn("word", F.shiftright("p", 6))
+    own = own.join(F.broadcast(bits), "word", "left")  # MAP_BITS / 64 rows of two numbers at most
+    hit = F.coalesce(F.expr("shiftright(bits, cast(p % 64 as int)) & 1L"), F.lit(0)) == 1
+    key, asked = ["doc_id", "text_key"], found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "left")
+    near = own.filter(hit).select("row", *key).join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_key").eqNullSafe(F.col("key")), "left")
+    # a key that falls on another's bit is asked for in vain: its rows all stay
+    near = near.filter("`left` is null or `left` > 0").withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    stay = own.filter(~hit).select("row").unionAll(near.filter("`left` is null or n = 1").select("row"))
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 @lru_cache(1)
 def _libc():
     try:

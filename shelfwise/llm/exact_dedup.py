@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sha256_binary, table
+from .common import Scratch, sha256_binary, table, without_rows
 
 #: Partitions that exchange runs with each other in one round.
 FAN = 8
@@ -28,10 +28,11 @@ def normalised(text) -> F.Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, uid and the fingerprint of each row's normalised text."""
+    """doc_id, a key of the text as it stands, uid and the fingerprint of each row's normalised text."""
     text = normalised(F.col(text_col))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).select(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), text.alias("t")).select(
         "doc_id",
+        "text_key",
         F.monotonically_increasing_id().alias("uid"),
         sha256_binary(F.col("t")).alias("digest"),
         F.octet_length("t").cast("long").alias("n_bytes"),
@@ -82,20 +83,13 @@ def merged_runs(prints: DataFrame) -> DataFrame:
     return run
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and digest of every row, dropped ones too.
-
-    Texts are equal when identical after replacing each run of ASCII white space by one space; null
-    counts as empty. Of equal texts the row with the smallest doc_id stays (null ids come last). If
-    that row is repeated, one of the copies stays. An empty table gives an empty result; columns of
-    ``docs`` other than the two named are not read.
-    """
-    prints = materialize(fingerprints(docs, id_col, text_col), "digests")
-    several = materialize(merged_runs(prints).filter("group_size > 1"), "copies")
-    key = ["digest", "n_bytes", "check"]
+def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: Scratch, how: str) -> DataFrame:
+    prints = keep(fingerprints(docs, id_col, text_col), "digests")
+    several = keep(merged_runs(prints).filter("group_size > 1"), "copies")
     # a hot text's rows meet one entry here, which adaptive execution splits among tasks
-    return prints.join(several, key, "left").select(
+    return prints.join(several, ["digest", "n_bytes", "check"], how).select(
         "doc_id",
+        "text_key",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_doc")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("uid") == F.col("keep_uid"), F.lit(True)).alias("kept"),
@@ -103,13 +97,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept and digest of every row, dropped ones too.
+
+    Texts are equal when identical after replacing each run of ASCII white space by one space; null
+    counts as empty. Texts may be of any length. Of equal texts the row with the smallest doc_id stays
+    (null ids come last). If that row is repeated, one of the copies stays. An empty table gives an
+    empty result; columns of ``docs`` other than the two named are not read.
+    """
+    with Scratch(docs.sparkSession) as keep:
+        return keep.finish(_grouped(docs, id_col, text_col, keep, "left").drop("text_key"), "exact-groups")
+
+
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_own_digest", sha256_binary(normalised(F.col(text_col))))
-    at = Window.partitionBy("_own_digest", id_col).orderBy(F.lit(1))
-    out = rows.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_own_digest") == F.col("_digest")))
-    return out.withColumn("_n", F.row_number().over(at)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, all columns as they are; equal texts as in ``exact_groups``.
+
+    Columns may have any names. Of rows with one id and text one stays if their group keeps it,
+    whichever of them (their other columns may differ). All null and empty texts are one group. An
+    empty table stays empty.
+    """
+    with Scratch(docs.sparkSession) as keep:
+        rows = keep.finish(_grouped(docs, id_col, text_col, keep, "inner").select("doc_id", "text_key", "kept"), "exact-copies")
+    return without_rows(docs, rows, id_col, text_col)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

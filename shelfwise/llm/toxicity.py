@@ -351,7 +351,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row, from the whole text.
 
-    Null, empty and wordless texts get the score of a text without a toxic word. Repeated rows and
+    Null, empty and wordless texts get the score of a text without a toxic word. Very long texts are
+    read whole, in time proportional to their length. Repeated rows and
     null ids are kept (a null id is not held out); an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -389,7 +390,14 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose score is below 0.5, all columns as they are."""
+    """The rows whose score is below 0.5, all columns as they are.
+
+    A model that knows no word (no labels, or all alike) rejects nothing. Null, empty and very long
+    texts are scored as in ``scores``; repeated rows and null ids stay or go by their texts alone; an
+    empty table stays empty.
+    """
+    if not len(model.keys):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
