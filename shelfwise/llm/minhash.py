@@ -4,8 +4,9 @@ Every text becomes its set of word shingles and a signature of many universal ha
 the signature are bucket keys. Inside a bucket each set meets only the bucket's most central set, so
 a bucket costs as many pairs as it has rows; the pairs whose signatures allow the wanted similarity are
 then verified on the full sets. Components of the verified links come from alternating large-star and
-small-star rounds. Where a bucket still holds more than one component, the pairs across them are
-verified too, so no candidate pair goes untested; pairs inside a component can change nothing.
+small-star rounds. An exact search by rare shingles then finds every pair of sets in different
+components that may still be similar, and these are verified too, so no candidate pair goes untested;
+pairs inside a component can change nothing and are never formed.
 
 Copies of one set take part once. All intermediate results are tables in the shared folder.
 """
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_LOWER, Scratch, batches_by_bytes, table, text_bytes, words
+from .common import MAP_BITS, SPACED_LOWER, Scratch, batches_by_bytes, table, text_bytes, without_rows, words
 
 #: Bands and minima per band: a pair of similarity 0.8 shares no band once in 20 million.
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
-#: Bits of the map of wanted rows and slots of the table of shingle counts; both are broadcast.
-MAP_BITS, SLOTS = 1 << 26, 1 << 21
+#: Slots of the table of shingle counts, which is broadcast.
+SLOTS = 1 << 21
+#: Pieces of the table of counts, cells of size in a factor of e, and rows of a component that meet those of another at once.
+CHUNKS, CELLS, SQUARE = 64, 50.0, 4096
 #: Standard deviations of the signatures' agreement that a pair may lack before it is dropped.
 SLACK = 6.0
 
@@ -180,29 +183,49 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], use
     return rows.mapInArrow(check, "a long, b long")
 
 
-def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int], keep: Scratch) -> DataFrame:
-    """All pairs of different components that may be as similar as wanted.
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each slot: a table of SLOTS counts, whatever the number of sets.
 
-    Exact prefix filtering: in any common order of shingles, two sets of enough overlap share a
-    shingle early in both, at places that the two sizes allow. Rare shingles come first, by counts in
-    a table of fixed size, so what makes up a large group of near copies comes last and each member
-    meets only those that share its own changes.
+    Each task sends its table in CHUNKS pieces, which are added up apart from each other.
     """
-    spark = sets.sparkSession
-    p, q = similarity
+    size = SLOTS // CHUNKS
 
-    def slots(batches):
+    def tables(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 np.add.at(total, np.frombuffer(x, np.uint64) & np.uint64(SLOTS - 1), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+        some = [c for c in range(CHUNKS) if total[c * size : c * size + size].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[c * size : c * size + size].tobytes() for c in some], pa.binary())], ["chunk", "counts"])
+
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[c] = total.get(c, 0) + np.frombuffer(data, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    found = sets.select("set").mapInArrow(tables, schema).repartition("chunk").mapInArrow(added, schema).toArrow()  # CHUNKS rows at most
+    out = np.zeros(SLOTS, np.int32)
+    for c, data in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        out[c * size : c * size + size] = np.minimum(np.frombuffer(data, np.int64), np.iinfo(np.int32).max)
+    return out
+
 
-    counts = sets.select("set").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-    table_ = np.zeros(SLOTS, np.int32)
-    table_[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(table_)
+def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int], keep: Scratch) -> DataFrame:
+    """All pairs of different components that may be as similar as wanted.
+
+    Exact prefix filtering: in any common order of shingles, two sets of enough overlap share a
+    shingle early in both, at places that the two sizes allow. Rare shingles come first, by counts in
+    a table of fixed size. Shingles that only one component has in its prefixes go before anything is
+    joined, so what makes up a large group of near copies costs nothing. The rest meet by shingle and
+    cell of size, component by component: rows of one component never meet each other, and the rows
+    of two large ones meet in squares of at most SQUARE by SQUARE rows, each a key of its own.
+    """
+    spark = sets.sparkSession
+    p, q = similarity
+    shared = spark.sparkContext.broadcast(shingle_counts(sets))
 
     def prefixes(batches):
         for batch in batches:
@@ -220,10 +243,26 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int],
 
     rows = sets.join(labels, sets["uid"] == labels["node"], "left").select("uid", F.coalesce("label", "uid").alias("label"), "set")
     rows = keep(rows.mapInArrow(prefixes, "uid long, label long, shingle long, rest long, n long"), "prefixes")
-    x, y = rows.alias("x"), rows.alias("y")
-    fits = (p * (F.col("x.n") + F.col("y.n")) <= (p + q) * F.col("x.rest")) & (p * (F.col("x.n") + F.col("y.n")) <= (p + q) * F.col("y.rest"))
-    found = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.label") != F.col("y.label")) & fits)
-    return keep(found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "cross")
+    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
+    rows = keep(rows.join(several, "shingle"), "shared-prefixes")
+    # the smaller set of a pair looks for sizes from its own up to where the overlap no longer suffices
+    cell = lambda n: F.floor(F.log(n.cast("double")) * CELLS).cast("int")
+    n, rest = F.col("n"), F.col("rest")
+    high = F.least(F.floor(n * q / p), F.floor(rest * (p + q) / p) - n)
+    small = rows.withColumn("high", high).filter("high >= n").withColumn("cell", F.explode(F.sequence(cell(n), cell(F.col("high"))))).drop("high")
+    small, large = keep(small, "small"), keep(rows.withColumn("cell", cell(n)), "large")
+    key = ["shingle", "cell"]
+    sizes = lambda side, name: side.groupBy(*key, F.col("label").alias(f"label_{name}")).agg(F.ceil(F.count("*") / SQUARE).cast("int").alias(f"parts_{name}"))
+    meets = keep(sizes(large, "x").join(sizes(small, "y"), key).filter("label_x <> label_y"), "meetings")
+    part = lambda name: F.pmod(F.xxhash64("uid"), F.col(f"parts_{name}")).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"parts_{name}") - 1))
+    square = [*key, "label_x", "label_y", "part_x", "part_y"]
+    x = large.withColumnRenamed("label", "label_x").join(meets, [*key, "label_x"]).withColumn("part_x", part("x")).withColumn("part_y", every("y"))
+    y = small.withColumnRenamed("label", "label_y").join(meets, [*key, "label_y"]).withColumn("part_y", part("y")).withColumn("part_x", every("x"))
+    x = x.select(*square, F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    y = y.select(*square, F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+    fits = "(n_a > n_b or n_a = n_b and a < b) and {p} * n_a <= {q} * n_b and {p} * (n_a + n_b) <= {both} * rest_a and {p} * (n_a + n_b) <= {both} * rest_b"
+    return keep(x.join(y, square).filter(fits.format(p=p, q=q, both=p + q)).select("a", "b").distinct(), "cross")
 
 
 def components(links: DataFrame, keep: Scratch) -> DataFrame:
@@ -272,7 +311,8 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (
         links = keep(verified(pairs, sets, similarity, True), "links")
         labels = components(links, keep)
         more = keep(verified(cross_pairs(sets, labels, similarity, keep), sets, similarity, False), "links")
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.coalesce("la", "a"), F.coalesce("lb", "b"))), keep)
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.coalesce("la", "a"), F.coalesce("lb", "b"))), keep)
         rows = prints.select("uid", "doc_id", "text_key", "n_shingles").join(copies, "uid", "left").withColumn("node", F.coalesce("node", "uid"))
         rows = keep(rows.join(labels, "node", "left").select("uid", "doc_id", "text_key", "n_shingles", F.coalesce("label", "node").alias("part")), "parts")
         first = F.min_by(F.struct("doc_id", "uid"), F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))
@@ -284,12 +324,14 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (
 
 
 def drop_near(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, all columns as they are."""
-    kept = near_groups(docs, width, similarity, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key"))
-    rows = docs.withColumn("_own_key", F.xxhash64(F.col(text_col)))
-    out = rows.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_own_key") == F.col("_keep_key")))
-    at = Window.partitionBy("_own_key", id_col).orderBy(F.lit(1))
-    return out.withColumn("_n", F.row_number().over(at)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each group, all columns as they are; groups as in ``near_groups``.
+
+    Columns may have any names. Rows without words all stay. Of rows with one id and text one stays
+    if their group keeps it, whichever of them (their other columns may differ). Null ids come last.
+    An empty table stays empty. Texts may be of any length: whole texts are read.
+    """
+    rows = near_groups(docs, width, similarity, id_col, text_col).filter("n_shingles > 0")
+    return without_rows(docs, rows.select("doc_id", "text_key", "kept"), id_col, text_col)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
