@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -39,6 +40,7 @@ class Scoring:
     keep: str = ""
 
 
+# Weights, limits and penalties of the two kinds of goods.
 PACKAGED = Scoring(
     (0.30, 0.30, 0.25, 0.10, 0.05), (0.45, 0.3), ((0.02, 1.0), (0.05, 0.88), (0.12, 0.7)), 0.03, (0.25, 0.25, 0.2, 0.08, 0.12), 0.68, (0.93, 0.82), 0.80, 0.7, True,
     tuple(V.PACKAGED_STOPWORDS), V.PACKAGED_PACKAGING, V.PACKAGED_VARIANTS, V.PACKAGED_BRANDS, tuple(T.PACKAGED_PREFIXES), True,
@@ -64,7 +66,7 @@ def brand_score(a, b, s: Scoring) -> Column:
         F.when(x.isNull() & y.isNull(), s.no_brand[1])
         .when(x.isNull() | y.isNull(), s.no_brand[0])
         .when(x == y, 1.0)
-        .when(_overlap(F.split(x, " "), F.split(y, " ")), 0.8)
+        .when(_overlap(a("brand_words"), b("brand_words")), 0.8)
         .otherwise(0.0)
     )
 
@@ -110,35 +112,51 @@ def variant_conflict(a, b) -> Column:
     return (F.size(a("variants")) > 0) & (F.size(b("variants")) > 0) & ~_overlap(a("variants"), b("variants"))
 
 
-def size_conflict(a, b, size: Column) -> Column:
-    return (size == 0) & a("size.total").isNotNull() & b("size.total").isNotNull()
-
-
 def likely(a, b, s: Scoring) -> Column:
-    """Whether a pair of different stores is worth scoring."""
+    """Whether a pair of different stores is worth scoring; what costs least is asked first."""
     brand = brand_score(a, b, s)
     both = a("brand_key").isNotNull() & b("brand_key").isNotNull()
     x, y = a("size.total"), b("size.total")
     sized = F.coalesce((x != 0) & (y != 0) & (a("size.unit") == b("size.unit")), F.lit(False))
     far = sized & (F.least(x, y) / F.nullif(F.greatest(x, y), F.lit(0.0)) < s.least_size_ratio)
     shared = F.size(F.array_intersect(a("core"), b("core")))
-    out = ~(both & (brand == 0)) & ~far & ~((shared == 0) & (brand < 0.8))
+    out = ~far & ~(both & (brand == 0))
     if s.strict:
         packs = sized & (a("size.count") != b("size.count")) & ((a("size.count") > 1) | (b("size.count") > 1)) & (a("size.count") > 0) & (b("size.count") > 0)
-        out = out & ~F.coalesce(packs, F.lit(False)) & ~((shared < 2) & (brand < 1.0))
-    return F.coalesce(out, F.lit(False))
-
-
-def penalties(a, b, s: Scoring, c: dict[str, Column]) -> list[tuple[str, Column]]:
+        return F.coalesce(out & ~F.coalesce(packs, F.lit(False)) & ((brand >= 1.0) | (shared >= 2)), F.lit(False))
+    return F.coalesce(out & ((brand >= 0.8) | (shared > 0)), F.lit(False))
+
+
+def size_cells(s: Scoring) -> tuple[Column, Column]:
+    """Cells of a row as the first and as the second of a pair: pairs that can pass meet in just one.
+
+    Two known sizes must have one unit and differ by no more than the last step of the size score, as a
+    pair without any size score cannot reach the review limit: cells are bands of that width, and the
+    first row stands in the neighbouring ones too. A row without a size meets all rows.
+    """
+    w, most = s.weights, s.sizes[-1][0]
+    if w[0] + w[2] + w[3] + w[4] - s.penalties[1] >= s.review:
+        return F.array(F.lit("*")), F.array(F.lit("*"))
+    total, unit = F.col("size.total"), F.coalesce("size.unit", F.lit(""))
+    # a little wider than needed, so that rounding moves no pair two bands apart
+    band = F.floor(F.log(total) / (-math.log(1 - most) * 1.0001))
+    cell = lambda step: F.concat_ws(":", unit, (band + step).cast("string"))
+    first = F.when(total.isNull(), F.array(F.lit("unsized a"))).when(total > 0, F.array(cell(-1), cell(0), cell(1), F.lit("unsized b")))
+    second = F.when(total.isNull(), F.array(F.lit("unsized a"), F.lit("unsized b"))).when(total > 0, F.array(cell(0), F.lit("unsized a"))).otherwise(F.array(F.lit("unsized a")))
+    return F.coalesce(first, F.array(F.lit("unsized b"))), second
+
+
+def penalties(s: Scoring, scores: dict[str, Column], sized: Column, variants_differ: Column, price: Column) -> list[tuple[str, Column]]:
+    """What is taken off for each conflict; ``sized`` tells whether both sizes are known."""
     brand, size, variant, packaging, title = s.penalties
     pay = lambda when, value: F.when(when, value).otherwise(0.0)
     return [
-        ("brand_conflict", pay(c["brand"] == 0, brand)),
-        ("size_conflict", pay(size_conflict(a, b, c["size"]), size)),
-        ("variant_conflict", pay(variant_conflict(a, b), variant)),
-        ("packaging_conflict", pay(c["packaging"] == 0, packaging)),
-        ("low_title_similarity", pay(c["title"] < s.poor_title, title)),
-        ("unit_price_outlier", price_penalty(a, b)),
+        ("brand_conflict", pay(scores["brand"] == 0, brand)),
+        ("size_conflict", pay((scores["size"] == 0) & sized, size)),
+        ("variant_conflict", pay(variants_differ, variant)),
+        ("packaging_conflict", pay(scores["packaging"] == 0, packaging)),
+        ("low_title_similarity", pay(scores["title"] < s.poor_title, title)),
+        ("unit_price_outlier", price),
     ]
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import vocabulary as V
 from .clean import looked_up
@@ -158,27 +161,42 @@ def listing_weight_g(unit: Column, name: Column) -> Column:
     return F.when(w > 0, w)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, by rows of the usual table."""
-    letters_a, letters_b = F.split(a, ""), F.split(b, "")
-    zero = F.array_repeat(F.lit(0), F.length(b) + 1)
+@lru_cache(1 << 17)
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a row of the usual table as the bits of one number."""
+    if len(a) > len(b):
+        a, b = b, a
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for x in b:
+        met = row & at.get(x, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
-    def row(above: Column, x: Column) -> Column:
-        def step(acc: Column, j: Column) -> Column:
-            left = F.element_at(acc, -1)
-            value = F.when(F.element_at(letters_b, j) == x, F.element_at(above, j) + 1).otherwise(F.greatest(left, F.element_at(above, j + 1)))
-            return F.concat(acc, F.array(value))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), step)
+def _rated(pair: tuple[str | None, str | None]) -> float | None:
+    a, b = pair
+    if a is None or b is None:
+        return None
+    return 1.0 if a == b else 2.0 * common_length(a, b) / (len(a) + len(b))
 
-    table = F.aggregate(letters_a, zero, row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(table, -1))
+
+@F.pandas_udf(DoubleType())
+def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    pairs = list(zip(a, b))
+    rated = {x: _rated(x) for x in set(pairs)}
+    return pd.Series([rated[x] for x in pairs], dtype="float64")
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
-    """Indel similarity from 0 to 1: twice the common subsequence over both lengths; 1 for two empty texts."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(2.0 * lcs_length(a, b) / total)
+    """Indel similarity from 0 to 1: twice the common subsequence over both lengths; 1 for two empty texts, null for null.
+
+    No built-in function expresses it in time linear in one text, so it runs on Arrow batches, once for
+    each distinct pair of a batch.
+    """
+    return _indel_ratio(a, b)
 
 
 def sorted_tokens(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """The same product across stores: candidate pairs, scores, best matches, groups and their names.
 
-Pairs come from an equi-join on words that both sides must share, so nothing is compared with
-everything. The costly title ratios are computed once for each distinct pair of titles, and only for
-pairs that could still reach the review limit.
+Pairs come from an equi-join on words and sizes that both sides must share, so nothing is compared with
+everything. The costly title ratios are computed on Arrow batches, and only for pairs that could still
+reach the review limit.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ def parsed(listings: DataFrame, s: S.Scoring = S.PACKAGED) -> DataFrame:
         listings.withColumns({"normal": T.normalize_text(F.col("name"), s.keep), "brand_key": brand})
         .withColumn("tokens", T.tokens_of(F.col("normal")))
         .withColumns({
+            "brand_words": F.array_distinct(F.split("brand_key", " ")),
             "core": T.core_tokens(F.col("tokens"), F.col("brand_key"), list(s.stopwords)),
             "variants": T.variants(F.col("normal"), s.variants),
             "packaging": S.T.first_label(F.col("tokens"), s.packaging),
@@ -44,41 +45,46 @@ def _sides():
 
 
 def _titles(pairs: DataFrame, plain: bool = True) -> DataFrame:
-    """Adds ratio, sorted_ratio and plain_ratio, computed for the distinct titles among the pairs."""
-    texts = pairs.select("title_a", "title_b", "normal_a", "normal_b").distinct()
-    rated = texts.select(
-        "title_a", "title_b", "normal_a", "normal_b",
-        T.indel_ratio(F.col("title_a"), F.col("title_b")).alias("ratio"),
-        T.token_sort_ratio(F.col("title_a"), F.col("title_b")).alias("sorted_ratio"),
-        (F.when((F.col("title_a") == "") | (F.col("title_b") == ""), T.indel_ratio(F.col("normal_a"), F.col("normal_b"))) if plain else F.lit(0.0)).alias("plain_ratio"),
-    )
-    return pairs.join(rated, ["title_a", "title_b", "normal_a", "normal_b"])
+    """Adds ratio, sorted_ratio and plain_ratio."""
+    a, b = F.col("title_a"), F.col("title_b")
+    if not plain:
+        return pairs.withColumns({"ratio": T.indel_ratio(a, b), "sorted_ratio": T.token_sort_ratio(a, b), "plain_ratio": F.lit(0.0)})
+    empty = (a == "") | (b == "")
+    normal = lambda c: F.when(empty, F.col(c)).otherwise("")
+    return pairs.withColumns({"ratio": T.indel_ratio(a, b), "sorted_ratio": T.token_sort_ratio(a, b), "plain_ratio": T.indel_ratio(normal("normal_a"), normal("normal_b"))})
 
 
 def scored_pairs(listings: DataFrame, s: S.Scoring = S.PACKAGED) -> DataFrame:
     """Pairs of different stores that are strong matches or worth a review.
 
-    Every pair that can pass shares a word of the brand key, so the join is on those words.
+    Every pair that can pass shares a word of the brand key and a cell of size, so the join is on both;
+    a pair of several shared words counts at the first of them.
     """
     rows = parsed(listings, s)
-    words = rows.withColumn("word", F.explode(F.array_distinct(F.split("brand_key", " "))))
+    words = rows.withColumn("word", F.explode("brand_words"))
+    of_a, of_b = S.size_cells(s)
     a, b = _sides()
-    pairs = words.alias("a").join(words.alias("b"), (a("word") == b("word")) & (a("store") < b("store")) & S.likely(a, b, s))
-    brand, size, variant, packaging = S.brand_score(a, b, s), S.size_score(a, b, s), S.variant_score(a, b), S.packaging_score(a, b)
-    w = s.weights
-    pays = dict(S.penalties(a, b, s, {"brand": brand, "size": size, "packaging": packaging, "title": F.lit(1.0)}))
-    cheap = w[0] * brand + w[1] * size + w[3] * variant + w[4] * packaging
-    before = S.total(pays.values())
-    pairs = pairs.filter(cheap - before + w[2] + 1e-9 >= s.review)
-    pairs = pairs.select(
-        a("id").alias("product_id_a"), b("id").alias("product_id_b"), a("store").alias("store_a"), b("store").alias("store_b"), a("name").alias("name_a"), b("name").alias("name_b"),
-        F.array_join(a("core"), " ").alias("title_a"), F.array_join(b("core"), " ").alias("title_b"), a("normal").alias("normal_a"), b("normal").alias("normal_b"), a("core").alias("core_a"), b("core").alias("core_b"),
-        brand.alias("brand_score"), size.alias("size_score"), variant.alias("variant_score"), packaging.alias("packaging_score"), *[v.alias(f"pay_{k}") for k, v in pays.items()],
-    ).dropDuplicates(["product_id_a", "product_id_b"])
+    first = F.element_at(F.array_intersect(a("brand_words"), b("brand_words")), 1)
+    once = (F.size(a("brand_words")) == 1) | (F.size(b("brand_words")) == 1) | (a("word") == first)
+    meet = (a("word") == b("word")) & (a("cell") == b("cell")) & (a("store") < b("store")) & once & S.likely(a, b, s)
+    # the rows are few for the pairs that they make: a fixed number of parts is not merged into fewer tasks
+    parts = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda cells, name: words.withColumn("cell", F.explode(cells)).repartition(parts, "word", "cell").alias(name)
+    pairs = side(of_a, "a").join(side(of_b, "b"), meet)
+    ids = [x(c).alias(f"{n}_{e}") for e, x in (("a", a), ("b", b)) for c, n in (("id", "product_id"), ("store", "store"), ("name", "name"), ("core", "core"), ("normal", "normal"))]
+    four = {"brand": S.brand_score(a, b, s), "size": S.size_score(a, b, s), "variant": S.variant_score(a, b), "packaging": S.packaging_score(a, b)}
+    known = [*[v.alias(f"{k}_score") for k, v in four.items()], S.variant_conflict(a, b).alias("variants_differ"), S.price_penalty(a, b).alias("price_pay"), (a("size.total").isNotNull() & b("size.total").isNotNull()).alias("sized")]
+    # a column of row numbers keeps the filter below out of the join, where each use of a score would compute it again
+    pairs = pairs.select(*ids, *known, F.monotonically_increasing_id().alias("number"))
+    w, names = s.weights, ["brand_conflict", "size_conflict", "variant_conflict", "packaging_conflict", "low_title_similarity", "unit_price_outlier"]
+    pays = S.penalties(s, {k: F.col(f"{k}_score") for k in four} | {"title": F.lit(1.0)}, F.col("sized"), F.col("variants_differ"), F.col("price_pay"))
+    pairs = pairs.withColumns({f"pay_{k}": v for k, v in pays})
+    cheap = w[0] * F.col("brand_score") + w[1] * F.col("size_score") + w[3] * F.col("variant_score") + w[4] * F.col("packaging_score")
+    pairs = pairs.filter(cheap - S.total(F.col(f"pay_{k}") for k in names) + w[2] + 1e-9 >= s.review).filter("number >= 0")
+    pairs = pairs.withColumns({"title_a": F.array_join("core_a", " "), "title_b": F.array_join("core_b", " ")})
     pairs = _titles(pairs)
     title = S.title_from(F.col("core_a"), F.col("core_b"), F.col("ratio"), F.col("sorted_ratio"), F.col("plain_ratio"))
     pairs = pairs.withColumn("title_score", title).withColumn("pay_low_title_similarity", F.when(F.col("title_score") < s.poor_title, s.penalties[4]).otherwise(0.0))
-    names = list(pays)
     score = w[0] * F.col("brand_score") + w[1] * F.col("size_score") + w[2] * F.col("title_score") + w[3] * F.col("variant_score") + w[4] * F.col("packaging_score")
     final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - S.total(F.col(f"pay_{k}") for k in names)))
     five = [(k, F.col(f"{k}_score")) for k in ("brand", "size", "title", "variant", "packaging")]
@@ -152,7 +158,11 @@ def reciprocal_best(pairs: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder the cluster shares and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/shelfwise"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints/shelfwise"  # one process
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -175,6 +185,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         labels = new.select("id", "component")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

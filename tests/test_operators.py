@@ -47,7 +47,7 @@ def test_blocked_join_loses_no_pair(spark):
     title = S.title_from(a("core"), b("core"), *(f(F.array_join(a("core"), " "), F.array_join(b("core"), " ")) for f in (S.T.indel_ratio, S.T.token_sort_ratio)), S.T.indel_ratio(a("normal"), b("normal")))
     c = {"brand": S.brand_score(a, b, s), "size": S.size_score(a, b, s), "packaging": S.packaging_score(a, b), "title": title}
     w = s.weights
-    final = w[0] * c["brand"] + w[1] * c["size"] + w[2] * title + w[3] * S.variant_score(a, b) + w[4] * c["packaging"] - S.total(v for _, v in S.penalties(a, b, s, c))
+    final = w[0] * c["brand"] + w[1] * c["size"] + w[2] * title + w[3] * S.variant_score(a, b) + w[4] * c["packaging"] - S.total(v for _, v in S.penalties(s, c, a("size.total").isNotNull() & b("size.total").isNotNull(), S.variant_conflict(a, b), S.price_penalty(a, b)))
     want = {(x[0], x[1]) for x in pairs.filter(final >= s.review).select(a("id"), b("id")).collect()}
     assert found == want and want
 
