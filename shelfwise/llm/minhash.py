@@ -28,8 +28,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Slots of the table of shingle counts, which is broadcast.
 SLOTS = 1 << 21
-#: Pieces of the table of counts, cells of size in a factor of e, and rows of a component that meet those of another at once.
-CHUNKS, CELLS, SQUARE = 64, 50.0, 4096
+#: Pieces of the table of counts, and cells of size in a factor of e.
+CHUNKS, CELLS = 64, 50.0
 #: Standard deviations of the signatures' agreement that a pair may lack before it is dropped.
 SLACK = 6.0
 
@@ -220,8 +220,9 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int],
     shingle early in both, at places that the two sizes allow. Rare shingles come first, by counts in
     a table of fixed size. Shingles that only one component has in its prefixes go before anything is
     joined, so what makes up a large group of near copies costs nothing. The rest meet by shingle and
-    cell of size, component by component: rows of one component never meet each other, and the rows
-    of two large ones meet in squares of at most SQUARE by SQUARE rows, each a key of its own.
+    cell of size, where rows of the component that has the shingle most often are compared with those
+    of others alone: a large group that shares a shingle with a few outsiders costs its rows times theirs.
+    Adaptive execution splits the rows of a hot shingle among tasks.
     """
     spark = sets.sparkSession
     p, q = similarity
@@ -243,26 +244,19 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int],
 
     rows = sets.join(labels, sets["uid"] == labels["node"], "left").select("uid", F.coalesce("label", "uid").alias("label"), "set")
     rows = keep(rows.mapInArrow(prefixes, "uid long, label long, shingle long, rest long, n long"), "prefixes")
-    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
+    held = rows.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    several = held.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
     rows = keep(rows.join(several, "shingle"), "shared-prefixes")
     # the smaller set of a pair looks for sizes from its own up to where the overlap no longer suffices
     cell = lambda n: F.floor(F.log(n.cast("double")) * CELLS).cast("int")
-    n, rest = F.col("n"), F.col("rest")
+    n, rest, main = F.col("n"), F.col("rest"), F.col("label") == F.col("most")
     high = F.least(F.floor(n * q / p), F.floor(rest * (p + q) / p) - n)
-    small = rows.withColumn("high", high).filter("high >= n").withColumn("cell", F.explode(F.sequence(cell(n), cell(F.col("high"))))).drop("high")
-    small, large = keep(small, "small"), keep(rows.withColumn("cell", cell(n)), "large")
-    key = ["shingle", "cell"]
-    sizes = lambda side, name: side.groupBy(*key, F.col("label").alias(f"label_{name}")).agg(F.ceil(F.count("*") / SQUARE).cast("int").alias(f"parts_{name}"))
-    meets = keep(sizes(large, "x").join(sizes(small, "y"), key).filter("label_x <> label_y"), "meetings")
-    part = lambda name: F.pmod(F.xxhash64("uid"), F.col(f"parts_{name}")).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"parts_{name}") - 1))
-    square = [*key, "label_x", "label_y", "part_x", "part_y"]
-    x = large.withColumnRenamed("label", "label_x").join(meets, [*key, "label_x"]).withColumn("part_x", part("x")).withColumn("part_y", every("y"))
-    y = small.withColumnRenamed("label", "label_y").join(meets, [*key, "label_y"]).withColumn("part_y", part("y")).withColumn("part_x", every("x"))
-    x = x.select(*square, F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
-    y = y.select(*square, F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
-    fits = "(n_a > n_b or n_a = n_b and a < b) and {p} * n_a <= {q} * n_b and {p} * (n_a + n_b) <= {both} * rest_a and {p} * (n_a + n_b) <= {both} * rest_b"
-    return keep(x.join(y, square).filter(fits.format(p=p, q=q, both=p + q)).select("a", "b").distinct(), "cross")
+    small = rows.withColumn("high", high).filter("high >= n").withColumn("cell", F.explode(F.sequence(cell(n), cell(F.col("high"))))).withColumn("side", F.when(main, 1).otherwise(0))
+    large = rows.withColumn("cell", cell(n)).withColumn("side", F.explode(F.when(main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    x, y = large.alias("x"), small.alias("y")
+    fits = "(x.n > y.n or x.n = y.n and x.uid < y.uid) and {p} * x.n <= {q} * y.n and {p} * (x.n + y.n) <= {both} * x.rest and {p} * (x.n + y.n) <= {both} * y.rest"
+    meet = F.expr("x.shingle = y.shingle and x.cell = y.cell and x.side = y.side and x.label <> y.label and " + fits.format(p=p, q=q, both=p + q))
+    return keep(x.join(y, meet).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "cross")
 
 
 def components(links: DataFrame, keep: Scratch) -> DataFrame:
