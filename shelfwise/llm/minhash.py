@@ -28,8 +28,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Slots of the table of shingle counts, which is broadcast.
 SLOTS = 1 << 21
-#: Pieces of the table of counts, and cells of size in a factor of e.
-CHUNKS, CELLS = 64, 50.0
+#: Pieces of the table of counts.
+CHUNKS = 64
 #: Standard deviations of the signatures' agreement that a pair may lack before it is dropped.
 SLACK = 6.0
 
@@ -219,10 +219,10 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int],
     Exact prefix filtering: in any common order of shingles, two sets of enough overlap share a
     shingle early in both, at places that the two sizes allow. Rare shingles come first, by counts in
     a table of fixed size. Shingles that only one component has in its prefixes go before anything is
-    joined, so what makes up a large group of near copies costs nothing. The rest meet by shingle and
-    cell of size, where rows of the component that has the shingle most often are compared with those
-    of others alone: a large group that shares a shingle with a few outsiders costs its rows times theirs.
-    Adaptive execution splits the rows of a hot shingle among tasks.
+    joined, so what makes up a large group of near copies costs nothing. The rest meet by shingle, where
+    rows of the component that has it most often are compared with those of others alone: a large group
+    that shares a shingle with a few outsiders costs its rows times theirs. Adaptive execution splits
+    the rows of a hot shingle among tasks.
     """
     spark = sets.sparkSession
     p, q = similarity
@@ -247,16 +247,13 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int],
     held = rows.groupBy("shingle", "label").agg(F.count("*").alias("n"))
     several = held.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
     rows = keep(rows.join(several, "shingle"), "shared-prefixes")
-    # the smaller set of a pair looks for sizes from its own up to where the overlap no longer suffices
-    cell = lambda n: F.floor(F.log(n.cast("double")) * CELLS).cast("int")
-    n, rest, main = F.col("n"), F.col("rest"), F.col("label") == F.col("most")
-    high = F.least(F.floor(n * q / p), F.floor(rest * (p + q) / p) - n)
-    small = rows.withColumn("high", high).filter("high >= n").withColumn("cell", F.explode(F.sequence(cell(n), cell(F.col("high"))))).withColumn("side", F.when(main, 1).otherwise(0))
-    large = rows.withColumn("cell", cell(n)).withColumn("side", F.explode(F.when(main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    x, y = large.alias("x"), small.alias("y")
+    # x is the larger set of a pair; only rows whose own place leaves enough overlap can be the smaller one
+    main = F.col("label") == F.col("most")
+    small = rows.filter(F.col("n") * (2 * p) <= F.col("rest") * (p + q))
     fits = "(x.n > y.n or x.n = y.n and x.uid < y.uid) and {p} * x.n <= {q} * y.n and {p} * (x.n + y.n) <= {both} * x.rest and {p} * (x.n + y.n) <= {both} * y.rest"
-    meet = F.expr("x.shingle = y.shingle and x.cell = y.cell and x.side = y.side and x.label <> y.label and " + fits.format(p=p, q=q, both=p + q))
-    return keep(x.join(y, meet).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "cross")
+    meet = F.expr("x.shingle = y.shingle and x.label <> y.label and " + fits.format(p=p, q=q, both=p + q))
+    found = [x.alias("x").join(y.alias("y"), meet).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")) for x, y in ((rows, small.filter(~main)), (rows.filter(~main), small.filter(main)))]
+    return keep(found[0].unionAll(found[1]).distinct(), "cross")
 
 
 def components(links: DataFrame, keep: Scratch) -> DataFrame:
