@@ -18,8 +18,8 @@ LOCAL_SHARED = "/tmp/checkpoints/shelfwise"
 #: Text bytes that one vectorised step works on; a longer single text makes a step of its own.
 STEP_BYTES = 8 << 20
 
-#: Bits of the maps of keys that are broadcast.
-MAP_BITS = 1 << 26
+#: Bits of the maps of keys that are broadcast: to Python workers, and as a table to join with.
+MAP_BITS, DROP_BITS = 1 << 26, 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,17 +87,17 @@ def without_rows(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -
 
     A row is found by its id and ``xxhash64`` of its text. Rows that ``rows`` does not name stay. Of
     those with one id and text as many stay as are kept, one at most. Most rows stay, so texts are not
-    shuffled with their keys: a map of MAP_BITS bits with the keys that lose rows is broadcast, and
+    shuffled with their keys: a map of DROP_BITS bits with the keys that lose rows is broadcast, and
     only rows that it hits are joined. More keys than the map can tell apart make that join larger,
     not wrong.
     """
     found = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("left")).filter("n > `left`").select("doc_id", "text_key", "left")
     found = materialize(found, "rows-to-drop")
-    place = lambda: F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(MAP_BITS))
+    place = lambda: F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(DROP_BITS))
     bits = found.select(place().alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
     own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")) if docs.columns else docs
     own = own.withColumn("p", place()).withColumn("word", F.shiftright("p", 6))
-    own = own.join(F.broadcast(bits), "word", "left")  # MAP_BITS / 64 rows of two numbers at most
+    own = own.join(F.broadcast(bits), "word", "left")  # DROP_BITS / 64 rows of two numbers at most
     hit = F.coalesce(F.expr("shiftright(bits, cast(p % 64 as int)) & 1L"), F.lit(0)) == 1
     key, asked = ["doc_id", "text_key"], found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "left")
     near = own.filter(hit).select("row", *key).join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_key").eqNullSafe(F.col("key")), "left")

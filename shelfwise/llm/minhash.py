@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MAP_BITS, SPACED_LOWER, Scratch, batches_by_bytes, table, text_bytes, without_rows, words
+from .common import MAP_BITS, SPACED_LOWER, Scratch, batches_by_bytes, table, text_bytes, trim, without_rows, words
 
 #: Bands and minima per band: a pair of similarity 0.8 shares no band once in 20 million.
 BANDS, ROWS = 32, 4
@@ -176,6 +176,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], use
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 ok[i] = q * both >= p * (len(u) + len(v) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+        trim()
 
     one = sets.select(F.col("uid").alias("a"), F.col("set").alias("set_a"), F.col("signature").alias("sig_a"))
     two = sets.select(F.col("uid").alias("b"), F.col("set").alias("set_b"), F.col("signature").alias("sig_b"))
@@ -197,6 +198,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
                 np.add.at(total, np.frombuffer(x, np.uint64) & np.uint64(SLOTS - 1), 1)
         some = [c for c in range(CHUNKS) if total[c * size : c * size + size].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[c * size : c * size + size].tobytes() for c in some], pa.binary())], ["chunk", "counts"])
+        trim()
 
     def added(batches):
         total: dict[int, np.ndarray] = {}
@@ -204,6 +206,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
             for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total[c] = total.get(c, 0) + np.frombuffer(data, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+        trim()
 
     schema = "chunk int, counts binary"
     found = sets.select("set").mapInArrow(tables, schema).repartition("chunk").mapInArrow(added, schema).toArrow()  # CHUNKS rows at most
@@ -241,6 +244,7 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: tuple[int, int],
                 out.append((np.full(len(place), uid[i]), np.full(len(place), group[i]), s[first[place]].view(np.int64), n - place, np.full(len(place), n)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["uid", "label", "shingle", "rest", "n"])
+        trim()
 
     rows = sets.join(labels, sets["uid"] == labels["node"], "left").select("uid", F.coalesce("label", "uid").alias("label"), "set")
     rows = keep(rows.mapInArrow(prefixes, "uid long, label long, shingle long, rest long, n long"), "prefixes")

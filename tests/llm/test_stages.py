@@ -63,7 +63,7 @@ def test_full_maps_drop_no_other_row(spark, monkeypatch):
     """With a map of 64 bits nearly every row is asked for, and still only the named ones go."""
     from shelfwise.llm import common
 
-    monkeypatch.setattr(common, "MAP_BITS", 64)
+    monkeypatch.setattr(common, "DROP_BITS", 64)
     docs = spark.createDataFrame([(i % 300 if i % 7 else None, f"text {i % 250}", i) for i in range(900)], "doc_id long, text string, n int")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), (F.col("n") % 3 == 0).alias("kept"))
     want = {}
