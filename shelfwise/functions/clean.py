@@ -114,8 +114,18 @@ def number_fragment(value: Column) -> Column:
     return F.when(value.isNull(), "na").when(whole, F.floor(value).cast("string")).otherwise(rounded)
 
 
+def sortable_time(ts: Column) -> Column:
+    """A time, the earliest there is for null, so that rows without one sort first."""
+    return F.coalesce(ts.cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def labelled(value: Column, labels: dict[str, str]) -> Column:
+    """The label of a value, the value itself where it has none."""
+    return F.coalesce(looked_up(value, labels), value)
+
+
 def currency(value: Column) -> Column:
-    return F.coalesce(F.format_string("$%.2f", value), F.lit("—"))
+    return F.when(value.isNull(), "—").otherwise(F.format_string("$%.2f", value))
 
 
 def title_case(value: Column) -> Column:

@@ -119,8 +119,10 @@ def core_tokens(tokens: Column, brand: Column, stopwords: list[str], units: list
 
 
 def strip_labels(normal: Column, labels: list[str] = V.PRIVATE_LABELS) -> Column:
-    """The text without labels of single stores; of labels that start together the longest is taken out."""
-    return squeeze(F.regexp_replace(normal, rf"\b({'|'.join(sorted(labels, key=len, reverse=True))})\b", ""))
+    """The text without labels of single stores, taken out one by one, the longest first."""
+    for label in sorted(labels, key=len, reverse=True):
+        normal = F.regexp_replace(normal, rf"\b{label}\b", "")
+    return squeeze(normal)
 
 
 def first_match(text: Column, pairs: list[tuple[str, str]], contains: bool = False) -> Column:

@@ -15,6 +15,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 TIERS = ("Budget", "Mid-range", "Premium")
 TIER_FEATURES = ["mean_price", "median_price"]
 ANOMALY_FEATURES = ["mean_price", "price_range", "cv", "num_stores"]
@@ -145,3 +147,14 @@ def price_model(series: DataFrame, trees: int = 200, depth: int = 12):
     out = model.transform(df.filter("not is_train")).drop("features")
     error = F.col("price_sgd") - F.col("predicted_price")
     return model, out.withColumns({"error": error, "abs_error": F.abs(error)})
+
+
+def stored_predictions(existing: DataFrame, predictions: DataFrame, run_date: str) -> DataFrame:
+    """The table of predictions after a run: one row per product, store and date, the run's in place of older ones.
+
+    Of repeated rows of a run the one with the smallest product_id counts.
+    """
+    keys = ["canonical_product_id", "store", "scraped_date_sg"]
+    error = F.col("price_sgd") - F.col("predicted_price")
+    new = predictions.withColumns({"error": error, "abs_error": F.abs(error), "model_run_date": F.lit(run_date)})
+    return sinks.upsert(existing, sinks.first_per_key(new, keys, ["product_id"]).select(*existing.columns), keys, ["price_sgd"])

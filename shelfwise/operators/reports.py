@@ -149,6 +149,112 @@ def category_counts(rows: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(counts, "unified_category", "left").select("unified_category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def filtered(rows: DataFrame, search: str | None = None, name: str = "canonical_name", since=None, until=None, without: dict[str, list] | None = None, **equal) -> DataFrame:
+    """Rows that pass all filters given; a filter of None passes all rows.
+
+    ``search`` is a regular expression that the name contains, whatever the case. ``since`` and
+    ``until`` are bounds of scraped_date_sg, both included. ``without`` leaves out rows whose column has
+    one of the values. Further arguments are columns and the value, or the list of values, they must
+    have. Rows with a null in a column that is searched or must have a value go; ``without`` keeps them.
+    """
+    if search:
+        rows = rows.filter(F.col(name).rlike(f"(?i){search}"))
+    if since is not None:
+        rows = rows.filter(F.col("scraped_date_sg") >= F.lit(since).cast("date"))
+    if until is not None:
+        rows = rows.filter(F.col("scraped_date_sg") <= F.lit(until).cast("date"))
+    for c, values in (without or {}).items():
+        rows = rows.filter(F.col(c).isNull() | ~F.col(c).isin(values))
+    for c, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(c).isin(value) if isinstance(value, (list, tuple, set)) else F.col(c) == F.lit(value))
+    return rows
+
+
+def sorted_table(rows: DataFrame, **order: bool) -> DataFrame:
+    """Rows by columns in turn, True for descending; nulls come last in both directions."""
+    return rows.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order.items()])
+
+
+def described(rows: DataFrame, columns: list[str], places: int = 3) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles of number columns, one row per column."""
+    one = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
+        F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max"),
+    )
+    out = rows.agg(F.array(*map(one, columns)).alias("all")).select(F.inline("all"))
+    number = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), "q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2], "max": F.col("max")}
+    return out.select("column", "count", *[F.round(v, places).alias(k) for k, v in number.items()])
+
+
+def widest(features: DataFrame, k: int = 15) -> DataFrame:
+    """The products whose prices lie furthest apart."""
+    return features.orderBy(F.desc_nulls_last("price_range"), "canonical_product_id").limit(k)
+
+
+def anomaly_summary(found: DataFrame) -> DataFrame:
+    """Per flag (1 usual, -1 odd) the number of products, its share and means."""
+    label = F.when(F.col("flag") == -1, "Anomalous").otherwise("Normal").alias("anomaly_flag")
+    means = [F.avg(c).alias(f"avg_{c}") for c in ("mean_price", "price_range", "cv", "num_stores")]
+    return found.groupBy(label).agg(F.count("*").alias("n"), *means).withColumn("pct", share())
+
+
+def anomaly_categories(found: DataFrame) -> DataFrame:
+    """Odd products per category, 0 for categories without any."""
+    return found.groupBy("unified_category").agg(F.count_if(F.col("flag") == -1).alias("n"))
+
+
+def top_anomalies(found: DataFrame, k: int = 20) -> DataFrame:
+    """The odd products with the lowest scores."""
+    return found.filter("flag = -1").orderBy("score", "canonical_product_id").limit(k)
+
+
+def commodity_kpis(compared: DataFrame) -> DataFrame:
+    """Numbers of cuts, of those with both stores, of categories, the mean spread and the last date, one row."""
+    both = F.col("cheapest_store").isNotNull() & F.col("priciest_store").isNotNull()
+    return compared.agg(
+        F.count("*").alias("cuts"), F.count_if(both).alias("comparable"), F.count_distinct("unified_category").alias("categories"),
+        F.avg("price_spread_sgd").alias("mean_spread"), F.max("scraped_date").alias("last_date"),
+    )
+
+
+def most_competitive(compared: DataFrame) -> DataFrame:
+    """The store that is cheapest most often (the first by name among equals); no row where none is."""
+    counts = compared.filter("cheapest_store is not null").groupBy("cheapest_store").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "cheapest_store").limit(1)
+
+
+def commodity_trend(compared: DataFrame) -> DataFrame:
+    """Mean lowest price and mean spread per date, cut and flag."""
+    return compared.groupBy("scraped_date", "cut", "frozen_flag").agg(F.avg("cheapest_price_sgd").alias("avg_cheapest"), F.avg("price_spread_sgd").alias("avg_spread"))
+
+
+def with_names(rows: DataFrame, names: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Rows with columns of their product, from its first row in order; rows without a name go."""
+    first = names.filter("canonical_product_id is not null").groupBy("canonical_product_id").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_named"))
+    return rows.join(first, "canonical_product_id", "left").select(*rows.columns, *[F.col(f"_named.{c}").alias(c) for c in columns]).filter("canonical_name is not null and canonical_name <> '—'")
+
+
+def cross_table(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
+    """Percent of each column value within a row value, one column per value, 0 where there is none."""
+    counts = df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0, values)
+    total = sum((F.col(v) for v in values[1:]), F.col(values[0]))
+    return counts.select(row, *[(F.col(v) / F.nullif(total, F.lit(0)) * 100).alias(v) for v in values])
+
+
+def predicted_trend(rows: DataFrame, limit: float = 2.0) -> DataFrame:
+    """Change in percent from the first to the last date of actual and of predicted mean prices, and what it means."""
+    daily = rows.groupBy("scraped_date_sg").agg(F.avg("price_sgd").alias("actual"), F.avg("predicted_price").alias("predicted"))
+    ends = [f(c, "scraped_date_sg").alias(f"{n}_{c}") for c in ("actual", "predicted") for n, f in (("first", F.min_by), ("last", F.max_by))]
+    out = daily.agg(F.count("*").alias("days"), *ends).filter("days >= 2")
+    for c in ("actual", "predicted"):
+        change = (F.col(f"last_{c}") - F.col(f"first_{c}")) / F.nullif(F.col(f"first_{c}"), F.lit(0.0)) * 100
+        out = out.withColumn(f"{c}_change_pct", change)
+        verdict = F.when(F.col(f"{c}_change_pct") > limit, "up").when(F.col(f"{c}_change_pct") < -limit, "down").otherwise("stable")
+        out = out.withColumn(f"{c}_verdict", verdict)
+    return out
+
+
 def options(rows: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values, for filters."""
     return rows.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)

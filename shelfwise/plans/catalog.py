@@ -603,10 +603,10 @@ def product_features(spark, sf_dir):
     return rounded(rounded(out, "mean_price", "median_price", "cv"), "std_price", "price_range", places=4)
 
 
-@query(with_sql(OFFERS, _FEATURES) + """, f AS (SELECT quantile_cont(mean_price, 0.75) + 1.0 * (quantile_cont(mean_price, 0.75) - quantile_cont(mean_price, 0.25)) AS a, quantile_cont(price_range, 0.75) + 1.0 * (quantile_cont(price_range, 0.75) - quantile_cont(price_range, 0.25)) AS b,
-  quantile_cont(cv, 0.75) + 1.0 * (quantile_cont(cv, 0.75) - quantile_cont(cv, 0.25)) AS c FROM features) SELECT canonical_product_id FROM features, f WHERE mean_price <= a AND price_range <= b AND cv <= c""")
+@query(with_sql(OFFERS, _FEATURES) + """, f AS (SELECT quantile_cont(mean_price, 0.75) + 3.0 * (quantile_cont(mean_price, 0.75) - quantile_cont(mean_price, 0.25)) AS a, quantile_cont(price_range, 0.75) + 3.0 * (quantile_cont(price_range, 0.75) - quantile_cont(price_range, 0.25)) AS b,
+  quantile_cont(cv, 0.75) + 3.0 * (quantile_cont(cv, 0.75) - quantile_cont(cv, 0.25)) AS c FROM features) SELECT canonical_product_id FROM features, f WHERE mean_price <= a AND price_range <= b AND cv <= c""")
 def iqr_outliers(spark, sf_dir):
-    return features.within_fences(_features(spark, sf_dir), ["mean_price", "price_range", "cv"], 1.0).select("canonical_product_id")
+    return features.within_fences(_features(spark, sf_dir), ["mean_price", "price_range", "cv"]).select("canonical_product_id")
 
 
 _SPREAD = "CASE WHEN price_range / 5000 <= -0.01 THEN NULL WHEN price_range / 5000 <= 1 THEN 'Spread: Low' WHEN price_range / 5000 <= 10 THEN 'Spread: Medium' ELSE 'Spread: High' END"
@@ -740,6 +740,184 @@ def isolation_forest(spark, sf_dir):
 
 @query()
 def rf_price_model(spark, sf_dir):
-    rows = features.positional_split(_series(spark, sf_dir).filter("mean_3 is not null"), ["canonical_product_id", "store", "scraped_date_sg"])
+    rows = features.within_fences(_series(spark, sf_dir).filter("mean_3 is not null"), ["price_sgd"])
+    rows = features.positional_split(rows, ["canonical_product_id", "store", "scraped_date_sg"])
     _, out = learn.price_model(rows)
     return out.select("canonical_product_id", "store", *text("scraped_date_sg"), "price_sgd", "predicted_price", "abs_error")
+
+
+@query()
+def forest_anomalies(spark, sf_dir):
+    found = learn.isolation_forest(_features(spark, sf_dir))
+    return rounded(reports.top_anomalies(found).select("canonical_product_id", "canonical_name", "unified_category", "mean_price", "price_range", "cv", "num_stores", "score"), "score")
+
+
+# Reports on odd products. SQL cannot grow a forest: odd ones are here those beyond a fence, the most varied first.
+
+_ODD = """q AS (SELECT quantile_cont(cv, 0.75) + 0.5 * (quantile_cont(cv, 0.75) - quantile_cont(cv, 0.25)) AS c FROM features),
+odd AS (SELECT features.*, -round(cv, 6) AS score, CASE WHEN round(cv, 6) > round(c, 6) THEN -1 ELSE 1 END AS flag FROM features, q)"""
+
+
+def _odd(spark, sf_dir) -> DataFrame:
+    rows = _features(spark, sf_dir)
+    q = F.percentile("cv", F.array(F.lit(0.25), F.lit(0.75)))
+    limit = rows.agg((q[1] + 0.5 * (q[1] - q[0])).alias("_limit"))  # one row
+    out = rows.crossJoin(F.broadcast(limit))
+    return out.withColumns({"score": -F.round("cv", 6), "flag": F.when(F.round("cv", 6) > F.round("_limit", 6), -1).otherwise(1)}).drop("_limit")
+
+
+@query(with_sql(OFFERS, _FEATURES, _ODD) + """SELECT CASE WHEN flag = -1 THEN 'Anomalous' ELSE 'Normal' END AS anomaly_flag, count(*) AS n, round(avg(mean_price), 4) AS avg_mean_price, round(avg(price_range), 4) AS avg_price_range, round(avg(cv), 6) AS avg_cv,
+round(avg(num_stores), 6) AS avg_num_stores, round(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 6) AS pct FROM odd GROUP BY flag""")
+def anomaly_summary(spark, sf_dir):
+    return rounded(rounded(reports.anomaly_summary(_odd(spark, sf_dir)), "avg_cv", "avg_num_stores", "pct"), "avg_mean_price", "avg_price_range", places=4)
+
+
+@query(with_sql(OFFERS, _FEATURES, _ODD) + "SELECT unified_category, count_if(flag = -1) AS n FROM odd GROUP BY 1")
+def anomaly_categories(spark, sf_dir):
+    return reports.anomaly_categories(_odd(spark, sf_dir))
+
+
+@query(with_sql(OFFERS, _FEATURES, _ODD) + "SELECT canonical_product_id, unified_category, score, num_stores FROM odd WHERE flag = -1 ORDER BY score, canonical_product_id LIMIT 20")
+def top20_anomalies(spark, sf_dir):
+    return reports.top_anomalies(_odd(spark, sf_dir)).select("canonical_product_id", "unified_category", "score", "num_stores")
+
+
+# Tables, filters and text as reports show them
+
+
+@query(with_sql(OFFERS, _FEATURES) + "SELECT canonical_product_id, canonical_name, unified_category, round(price_range, 4) AS price_range FROM features ORDER BY features.price_range DESC, canonical_product_id LIMIT 15")
+def top15_range(spark, sf_dir):
+    return rounded(reports.widest(_features(spark, sf_dir)).select("canonical_product_id", "canonical_name", "unified_category", "price_range"), "price_range", places=4)
+
+
+@query(with_sql(OFFERS, _FEATURES) + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, round(min({c})::DOUBLE, 3) AS min,
+round(quantile_cont({c}, 0.25), 3) AS q1, round(quantile_cont({c}, 0.5), 3) AS median, round(quantile_cont({c}, 0.75), 3) AS q3, round(max({c})::DOUBLE, 3) AS max FROM features""" for c in ("mean_price", "price_range", "cv", "num_stores")))
+def describe_features(spark, sf_dir):
+    return reports.described(_features(spark, sf_dir), ["mean_price", "price_range", "cv", "num_stores"])
+
+
+@query(with_sql(OFFERS) + """SELECT product_id, canonical_name, store FROM offers WHERE regexp_matches(canonical_name, '(?i)GEAR|bolt$') AND scraped_date_sg BETWEEN DATE '1996-01-01' AND DATE '1998-12-01'
+AND unified_category NOT IN ('ECONOMY', 'LARGE') AND store IN ('asia', 'europe')""")
+def filtered_offers(spark, sf_dir):
+    out = reports.filtered(views.offers(spark, sf_dir), "GEAR|bolt$", since="1996-01-01", until="1998-12-01", without={"unified_category": ["ECONOMY", "LARGE"]}, store=["asia", "europe"])
+    return out.select("product_id", "canonical_name", "store")
+
+
+_STORE_NAMES = {"asia": "Asia", "europe": "Europe", "middle east": "Middle East"}
+
+
+@query(with_sql(OFFERS) + """SELECT CASE store WHEN 'asia' THEN 'Asia' WHEN 'europe' THEN 'Europe' WHEN 'middle east' THEN 'Middle East' ELSE store END AS store_label, count(DISTINCT canonical_product_id) AS discounted_products
+FROM offers WHERE discount_sgd > 0 GROUP BY 1""")
+def discount_labels(spark, sf_dir):
+    return reports.discount_summary(views.offers(spark, sf_dir)).select(C.labelled(F.col("store"), _STORE_NAMES).alias("store_label"), "discounted_products")
+
+
+@query("SELECT p_partkey, printf('$%.2f', p_retailprice) AS price, p_name || ' (' || p_size || 'g)' AS label FROM part")
+def display_fields(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "part")
+    return rows.select("p_partkey", C.currency(F.col("p_retailprice")).alias("price"), C.with_size(F.col("p_name"), F.concat(F.col("p_size").cast("string"), F.lit("g"))).alias("label"))
+
+
+@query("""SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS local_date, CAST(CAST(CAST(ts AS TIMESTAMP) + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS singapore_date,
+CAST(CAST(coalesce(CASE WHEN event_type <> 'click' THEN CAST(ts AS TIMESTAMP) END, TIMESTAMP '0001-01-01') AS DATE) AS VARCHAR) AS sort_day FROM events""")
+def event_dates(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp_ntz")
+    out = {"local_date": C.local_date(ts), "singapore_date": C.singapore_date(F.col("ts")), "sort_day": F.to_date(C.sortable_time(F.when(F.col("event_type") != "click", ts)))}
+    return views.table(spark, sf_dir, "events").select("event_id", *[v.cast("string").alias(k) for k, v in out.items()])
+
+
+@query(with_sql(OFFERS, PREFERRED) + """SELECT canonical_product_id, CAST(scraped_date_sg AS VARCHAR) AS scraped_date_sg,
+'{' || string_agg('"' || store || '":{"price_sgd":' || CAST(price_sgd AS VARCHAR) || ',"product_id":"' || product_id || '"}', ',' ORDER BY store) || '}' AS store_prices
+FROM preferred WHERE price_sgd IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT store) >= 2""")
+def store_prices_json(spark, sf_dir):
+    out = pricing.daily_recommendations(views.offers(spark, sf_dir))
+    return out.select("canonical_product_id", *text("scraped_date_sg"), F.to_json("store_prices").alias("store_prices"))
+
+
+@query(with_sql(OFFERS, _FEATURES, _TIERS) + """, named AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_product_id ORDER BY scraped_at, product_id) AS k FROM offers WHERE scraped_at >= DATE '2001-08-01') WHERE k = 1)
+SELECT t.canonical_product_id, tier, n.canonical_name, n.canonical_brand FROM tiers t JOIN named n USING (canonical_product_id)""")
+def tier_names(spark, sf_dir):
+    names = views.offers(spark, sf_dir).filter("scraped_at >= date'2001-08-01'")
+    return reports.with_names(_tiers(spark, sf_dir).select("canonical_product_id", "tier"), names, ["canonical_name", "canonical_brand"], ["scraped_at", "product_id"])
+
+
+@query(with_sql(OFFERS, _FEATURES, _TIERS) + "SELECT unified_category, " + ", ".join(f"""round(count_if(tier = '{t}')::DOUBLE / count(*) * 100, 6) AS "{t}\"""" for t in learn.TIERS) + " FROM tiers GROUP BY 1")
+def category_tier_pivot(spark, sf_dir):
+    return rounded(reports.cross_table(_tiers(spark, sf_dir), "unified_category", "tier", list(learn.TIERS)), *learn.TIERS)
+
+
+# Commodity reports
+
+#: Lowest and highest price of each cut, pack and month over the stores: a stored comparison of all dates.
+_CUT_DAYS = """cut_days AS (SELECT scraped_date, cut, frozen_flag, weight_g, min({'p': price_sgd, 's': store}) AS low, max({'p': price_sgd, 's': store}) AS high FROM commodities GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT store) >= 2)"""
+
+
+def _cut_days(spark, sf_dir) -> DataFrame:
+    low, high = F.min(F.struct("price_sgd", "store")), F.max(F.struct("price_sgd", "store"))
+    out = views.commodities(spark, sf_dir).groupBy("scraped_date", "cut", "frozen_flag", "weight_g").agg(low.alias("low"), high.alias("high"), F.count_distinct("store").alias("stores")).filter("stores >= 2")
+    return out.select("scraped_date", "cut", "frozen_flag", F.col("frozen_flag").alias("unified_category"), F.col("low.store").alias("cheapest_store"), F.col("low.price_sgd").alias("cheapest_price_sgd"), F.col("high.store").alias("priciest_store"), (F.col("high.price_sgd") - F.col("low.price_sgd")).alias("price_spread_sgd"))
+
+
+@query(with_sql(COMMODITIES, _CUT_DAYS) + "SELECT CAST(scraped_date AS VARCHAR) AS scraped_date, cut, frozen_flag, round(avg(low.p), 4) AS avg_cheapest, round(avg(high.p - low.p), 4) AS avg_spread FROM cut_days GROUP BY ALL")
+def commodity_trend(spark, sf_dir):
+    return rounded(reports.commodity_trend(_cut_days(spark, sf_dir)), "avg_cheapest", "avg_spread", places=4).withColumn("scraped_date", F.col("scraped_date").cast("string"))
+
+
+@query(with_sql(COMMODITIES, _CUT_DAYS) + "SELECT count(*) AS cuts, count(*) AS comparable, count(DISTINCT frozen_flag) AS categories, round(avg(high.p - low.p), 4) AS mean_spread, CAST(max(scraped_date) AS VARCHAR) AS last_date FROM cut_days")
+def commodity_kpis(spark, sf_dir):
+    return rounded(reports.commodity_kpis(_cut_days(spark, sf_dir)), "mean_spread", places=4).withColumn("last_date", F.col("last_date").cast("string"))
+
+
+@query(with_sql(COMMODITIES, _CUT_DAYS) + "SELECT low.s AS cheapest_store, count(*) AS n FROM cut_days GROUP BY 1 ORDER BY n DESC, cheapest_store LIMIT 1")
+def most_competitive_store(spark, sf_dir):
+    return reports.most_competitive(_cut_days(spark, sf_dir))
+
+
+@query(with_sql(COMMODITIES, _COMPARED) + "SELECT cut, frozen_flag, round(high.p - low.p, 4) AS price_spread_sgd FROM compared ORDER BY price_spread_sgd DESC")
+def commodity_sorted(spark, sf_dir):
+    return reports.sorted_table(commodity.comparison(views.commodities(spark, sf_dir)), price_spread_sgd=True, cut=False).select("cut", "frozen_flag", "price_spread_sgd")
+
+
+# Predictions
+
+
+@query(with_sql(OFFERS, PREFERRED, _SERIES) + """, q AS (SELECT quantile_cont(price_sgd, 0.75) + 3.0 * (quantile_cont(price_sgd, 0.75) - quantile_cont(price_sgd, 0.25)) AS top FROM lagged WHERE mean_3 IS NOT NULL)
+SELECT product_id, price_sgd FROM lagged, q WHERE mean_3 IS NOT NULL AND price_sgd <= top""")
+def price_fence(spark, sf_dir):
+    return features.within_fences(_series(spark, sf_dir).filter("mean_3 is not null"), ["price_sgd"]).select("product_id", "price_sgd")
+
+
+@query(with_sql(OFFERS, PREFERRED, _SERIES) + """, p AS (SELECT *, row_number() OVER (ORDER BY scraped_date_sg, canonical_product_id, store) AS k, count(*) OVER () AS total FROM lagged WHERE mean_3 IS NOT NULL)
+SELECT product_id, k <= floor(total * 0.8::DOUBLE) AS is_train FROM p""")
+def chronological_split(spark, sf_dir):
+    rows = _series(spark, sf_dir).filter("mean_3 is not null")
+    return features.positional_split(rows, ["canonical_product_id", "store", "scraped_date_sg"], date="scraped_date_sg").select("product_id", "is_train")
+
+
+@query(with_sql(OFFERS, PREFERRED, _SERIES) + """, p AS (SELECT * FROM lagged WHERE mean_3 IS NOT NULL)
+SELECT canonical_product_id, store, CAST(scraped_date_sg AS VARCHAR) AS scraped_date_sg, CASE WHEN scraped_date_sg >= DATE '1995-01-01' THEN '2026-04-02' ELSE '2026-04-01' END AS model_run_date,
+round(abs(price_sgd - CASE WHEN scraped_date_sg >= DATE '1995-01-01' THEN mean_3 ELSE prev_price END), 4) AS abs_error FROM p
+WHERE scraped_date_sg >= DATE '1995-01-01' OR scraped_date_sg < DATE '1996-01-01'""")
+def prediction_upsert(spark, sf_dir):
+    """Predictions of two runs, the last price up to 1995 and then the mean of three since 1995."""
+    rows = _series(spark, sf_dir).filter("mean_3 is not null")
+    of = lambda part, c: rows.filter(part).withColumn("predicted_price", F.col(c))
+    columns = "canonical_product_id, store, scraped_date_sg, price_sgd, predicted_price, error, abs_error, model_run_date".split(", ")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    none = spark.createDataFrame([], ", ".join(f"{c} {types.get(c, 'string' if c == 'model_run_date' else 'double')}" for c in columns))
+    first = learn.stored_predictions(none, of("scraped_date_sg < date'1996-01-01'", "prev_price"), "2026-04-01")
+    out = learn.stored_predictions(first, of("scraped_date_sg >= date'1995-01-01'", "mean_3"), "2026-04-02")
+    return rounded(out.select("canonical_product_id", "store", *text("scraped_date_sg"), "model_run_date", "abs_error"), "abs_error", places=4)
+
+
+@query(with_sql(OFFERS, PREFERRED, _SERIES) + """, d AS (SELECT scraped_date_sg, avg(price_sgd) AS a, avg(mean_3) AS p FROM lagged WHERE mean_3 IS NOT NULL GROUP BY 1),
+t AS (SELECT count(*) AS days, (arg_max(a, scraped_date_sg) / arg_min(a, scraped_date_sg) - 1) * 100 AS x, (arg_max(p, scraped_date_sg) / arg_min(p, scraped_date_sg) - 1) * 100 AS y FROM d)
+SELECT days, round(x, 4) AS actual_change_pct, round(y, 4) AS predicted_change_pct, CASE WHEN x > 2 THEN 'up' WHEN x < -2 THEN 'down' ELSE 'stable' END AS actual_verdict, CASE WHEN y > 2 THEN 'up' WHEN y < -2 THEN 'down' ELSE 'stable' END AS predicted_verdict FROM t""")
+def predicted_trend(spark, sf_dir):
+    out = reports.predicted_trend(_series(spark, sf_dir).filter("mean_3 is not null").withColumn("predicted_price", F.col("mean_3")))
+    return rounded(out.select("days", "actual_change_pct", "predicted_change_pct", "actual_verdict", "predicted_verdict"), "actual_change_pct", "predicted_change_pct", places=4)
+
+
+@query(with_sql(LISTINGS, _scored_sql(S.PACKAGED)) + "SELECT product_id_a, product_id_b, match_score, match_status FROM matches WHERE match_status <> 'no_match' ORDER BY match_score DESC, store_a, store_b, name_a, product_id_a, product_id_b LIMIT 20")
+def top20_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).orderBy(*resolve.pair_order()).limit(20).select("product_id_a", "product_id_b", "match_score", "match_status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,21 @@ def raw_listings(spark: SparkSession, base: str, store: str = "*", date: str = "
     return spark.read.schema(RAW).option("multiLine", True).json(path).withColumns({"path_store": F.regexp_extract(file, "([^/]+)/[^/]+/[^/]+$", 1), "path_date": F.regexp_extract(file, "([^/]+)/[^/]+$", 1)})
 
 
+#: Columns of processed files.
+PROCESSED = T.StructType([T.StructField(n, T.DoubleType() if n.endswith("_sgd") else T.StringType()) for n in UNIFIED])
+
+
+def processed_listings(spark: SparkSession, base: str, date: str, stores: list[str]) -> DataFrame:
+    """All rows of ``base/<store>/<date>/*.json`` of the stores; one without a folder for the date gives none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for store in stores:
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{base}/{store}/{date}/*.json")
+        if pattern.getFileSystem(conf).globStatus(pattern):
+            found.append(str(pattern))
+    return spark.read.schema(PROCESSED).option("multiLine", True).json(found) if found else spark.createDataFrame([], PROCESSED)
+
+
 def unify(raw: DataFrame) -> DataFrame:
     """Raw rows in the unified schema; rows of other categories are left out."""
     price, original, discount = C.to_float(F.col("price_sgd")), C.to_float(F.col("original_price_sgd")), C.to_float(F.col("discount_sgd"))
@@ -86,18 +103,43 @@ def price_in(text: Column) -> Column:
     return C.to_float(F.regexp_replace(text, "[^0-9.]", ""))
 
 
+#: Words of lines that are no name, lines that say a listing is not sold, ends of sizes.
+NO_NAME = ["save", "off", "buy", "any", "spend", "multiple promo", "sold"]
+SIZE_ENDS = [" g", " kg", " ml", " l"]
+
+
 def from_lines(text: Column) -> Column:
-    """Fields of a listing given as lines of text, as a struct.
+    """Fields of a listing given as lines of text, as a struct; null without a price or a name.
 
-    Lines with a dollar sign and no slash are prices: the first the present, the second the former
-    one. The unit is the first line that is nothing but a size; the name is the longest other line.
+    A line with a dollar sign and no slash that is a number without that sign is a price: the first the
+    present, the second the former one. The unit is the first line of at most four words that ends with
+    a unit or has an x. The name is the first line that is neither of these, nor one of promotions,
+    in brackets, a bare number, a code ending in D or W, or of three characters or fewer.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    prices = F.filter(lines, lambda x: F.contains(x, F.lit("$")) & ~F.contains(x, F.lit("/")))
-    units = F.filter(lines, lambda x: x.rlike(r"(?i)^[0-9]+(\.[0-9]+)?\s*(kg|g|mg|ml|l|cl|pcs?|s|x\s*[0-9].*)$"))
-    rest = F.filter(lines, lambda x: ~F.contains(x, F.lit("$")) & ~F.array_contains(units, x) & ~x.rlike(r"^[-+]?[0-9.,%()\s]+$"))
-    longest = F.array_sort(rest, lambda x, y: F.length(y) - F.length(x))
-    return F.struct(F.try_element_at(longest, F.lit(1)).alias("name"), price_in(F.try_element_at(prices, F.lit(1))).alias("price_sgd"), price_in(F.try_element_at(prices, F.lit(2))).alias("original_price_sgd"), F.try_element_at(units, F.lit(1)).alias("unit"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    number = lambda x: F.trim(F.replace(x, F.lit("$"), F.lit("")))
+    plain = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+    prices = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit("$")) & ~F.contains(x, F.lit("/")) & number(x).rlike(plain)), lambda x: number(x).try_cast("double"))
+
+    def sized(x: Column) -> Column:
+        low = F.lower(x)
+        marks = [F.endswith(low, F.lit(e)) for e in SIZE_ENDS] + [F.contains(low, F.lit(c)) for c in ("x", "×")]
+        return reduce(lambda a, b: a | b, marks) & (F.size(F.split(low, r"\s+")) <= 4)
+
+    unit = F.try_element_at(F.filter(lines, sized), F.lit(1))
+
+    def named(x: Column) -> Column:
+        low = F.lower(x)
+        no = [F.contains(low, F.lit(w)) for w in NO_NAME] + [
+            low == "out of stock", F.contains(x, F.lit("$")), F.coalesce(x == unit, F.lit(False)), F.startswith(x, F.lit("(")) & F.endswith(x, F.lit(")")),
+            F.replace(x, F.lit("."), F.lit("")).rlike("^[0-9]+$"), F.endswith(x, F.lit("D")), F.endswith(x, F.lit("W")), F.length(x) <= 3,
+        ]
+        return ~reduce(lambda a, b: a | b, no)
+
+    name = F.try_element_at(F.filter(lines, named), F.lit(1))
+    price, original = F.try_element_at(prices, F.lit(1)), F.try_element_at(prices, F.lit(2))
+    fields = F.struct(name.alias("name"), price.alias("price_sgd"), original.alias("original_price_sgd"), F.round(original - price, 2).alias("discount_sgd"), unit.alias("unit"))
+    return F.when(price.isNotNull() & name.isNotNull(), fields)
 
 
 def from_cards(html: Column, link: str = r'href="([^"]*)"', name: str = r'class="[^"]*name[^"]*"[^>]*>([^<]*)<', price: str = r'class="[^"]*price[^"]*"[^>]*>([^<]*)<') -> Column:
