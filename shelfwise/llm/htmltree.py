@@ -63,14 +63,24 @@ class Forest:
         self._block += 1
         stack = [self._node("#root", "", -1, None)]
         names = ["#root"]
+        # places of open elements in the stack, by name and of those that are no inline ones: nothing looks through the stack
+        where: dict[str, list[int]] = {}
+        blocks = [0]
         at, ends = 0, self.end
 
         def close(to: int) -> None:
             while len(stack) > to:
                 ends[stack.pop()] = len(self.texts)
-                if names.pop() not in INLINE:
+                gone = names.pop()
+                if names:
+                    where[gone].pop()
+                if gone not in INLINE:
+                    blocks.pop()
                     self._block += 1
 
+        def nearest(kinds: set[str]) -> int:
+            return max((where[k][-1] for k in kinds if where.get(k)), default=0)
+
         def say(text: str) -> None:
             if text and not text.isspace():
                 text = html.unescape(text) if "&" in text else text
@@ -92,26 +102,18 @@ class Forest:
                 continue
             name = name.lower()
             if m[1] or m[4]:
-                if name in names:
-                    close(len(names) - 1 - names[::-1].index(name))
+                if where.get(name):
+                    close(where[name][-1])
                 continue
             if name in CLOSES:
                 kinds, holders = CLOSES[name]
-                for i in range(len(names) - 1, 0, -1):
-                    if names[i] in holders:
-                        break
-                    if names[i] in kinds:
-                        close(i)
-                        break
+                if (place := nearest(kinds)) > nearest(holders):
+                    close(place)
             inline = name in INLINE
             if not inline:
                 # a block ends an open paragraph
-                for i in range(len(names) - 1, 0, -1):
-                    if names[i] == "p":
-                        close(i)
-                        break
-                    if names[i] not in INLINE:
-                        break
+                if names[blocks[-1]] == "p":
+                    close(blocks[-1])
                 self._block += 1
             rest = m[3] if m[2] else m[6]
             attr = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(rest)) if rest and "=" in rest else ""
@@ -125,6 +127,9 @@ class Forest:
                 at = found.end() if found else len(page)
                 ends[node] = len(self.texts)
             else:
+                where.setdefault(name, []).append(len(stack))
+                if not inline:
+                    blocks.append(len(stack))
                 stack.append(node)
                 names.append(name)
         if at < len(page):

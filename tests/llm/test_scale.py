@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from shelfwise.llm import minhash, toxicity
+from shelfwise.llm.htmltree import Forest
 from tests.conftest import DATA
 
 
@@ -83,3 +84,14 @@ def test_every_link_of_the_documents_is_found(spark):
             links += len(linked)
             assert all(part[j] == part[i] for j in linked)
     assert links > 20
+
+
+@pytest.mark.parametrize("make", [lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<div>" * n + "</x>" * n, lambda n: "<span>" * n + "<li>x" * n])
+def test_parser_does_not_look_through_open_elements(make):
+    def seconds(n):
+        page, t = make(n), time.process_time()
+        Forest().add(page)
+        return time.process_time() - t
+
+    seconds(1000)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.02)  # ten times the markup; a square would be a hundred times
