@@ -7,8 +7,8 @@ suffix is binary-searched in every shard. The search narrows a range of the arra
 it yields the longest verbatim match and its places, and for each window of an item the range of all
 its occurrences. A document's words never continue in the next document.
 
-The benchmark is read in blocks of bounded size; each block is broadcast and all rows are scanned
-against it, so neither side is ever shuffled. Words are compared as bytes, not as hashes.
+The benchmark is read in blocks of bounded size and broadcast; a shard's array is built once and
+searched for each block in turn, so neither side is ever shuffled. All blocks are in memory at once. Words are compared as bytes, not as hashes.
 """
 
 from __future__ import annotations
@@ -64,23 +64,31 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
 
 
 class Shard:
-    """The suffix array of some documents' words, sorted to ``depth`` words."""
+    """The suffix array of some documents' words, sorted as deep as the longest item of the blocks.
 
-    def __init__(self, column: pa.Array, block: Block):
+    Word ids are the shard's own, so that one array serves all blocks.
+    """
+
+    def __init__(self, column: pa.Array, *blocks: Block):
         raw, offsets = text_bytes(column)
         coded, self.rows, _ = words(raw, offsets, ALNUM)
-        known = pc.index_in(coded.dictionary, value_set=block.vocabulary)
-        local = np.arange(len(known)) + 1 + len(block.vocabulary)
-        ids = np.where(known.is_null().to_numpy(zero_copy_only=False), local, known.fill_null(0).to_numpy(zero_copy_only=False) + 1)
-        self.ids = ids[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        self.words = coded.dictionary
+        self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
         n = len(self.ids)
         sizes = np.diff(self.rows)
         self.left = np.repeat(self.rows[1:], sizes) - np.arange(n)
-        #: bits of a word id and words in a packed key
-        self.bits = max(1, int(len(local) + len(block.vocabulary)).bit_length())
+        #: bits of a word id, or of that of an unknown word, and words in a packed key
+        self.bits = max(1, int(len(self.words) + 1).bit_length())
         self.pack = 62 // self.bits
         self.key = self.packed(self.ids, self.left)
-        self.array = self.sorted(block.depth)
+        self.array = self.sorted(max((b.depth for b in blocks), default=0))
+
+    def known(self, block: Block) -> np.ndarray:
+        """The block's words by this shard's ids; words that it has not share one that no text has."""
+        if not len(block.ids):
+            return block.ids
+        found = pc.index_in(block.vocabulary, value_set=self.words).fill_null(len(self.words))
+        return (found.to_numpy(zero_copy_only=False).astype(np.int64) + 1)[block.ids - 1]
 
     def packed(self, ids: np.ndarray, left: np.ndarray) -> np.ndarray:
         """The first words of each suffix in one integer, 0 where the text has ended."""
@@ -145,7 +153,7 @@ class Shard:
         first, last = np.zeros(m, np.int64), np.zeros(m, np.int64)
         if not n or not m:
             return length, place, first, last
-        keys = self.packed(block.ids, block.left)
+        keys = self.packed(self.known(block), block.left)
         live = np.arange(m)
         lo, hi, done = np.zeros(m, np.int64), np.full(m, n), 0
         while len(live):
@@ -190,28 +198,24 @@ class Shard:
         return np.cumsum(edge)[:n] > 0, *np.divmod(pairs, max(1, len(block.names)))
 
 
-def _scan(broadcast, final: bool):
-    """Adds one block's hits to each row's state; the last block turns the state into the result."""
+def _shards(batches, broadcasts):
+    """Each batch with its shard and the blocks; the array is built once for all of these."""
+    held = [b.value for b in broadcasts]
+    for batch in batches_by_bytes(batches, "text"):
+        yield batch, Shard(batch.column("text"), *held), held
+
 
+def _scan(broadcasts):
     def run(batches):
-        block = broadcast.value
-        for batch in batches_by_bytes(batches, "text"):
-            shard = Shard(batch.column("text"), block)
-            hit, rows, items = shard.hits(block)
-            old, had = batch.column("_hit").to_pylist(), batch.column("_items").to_pylist()
-            for r, bits in enumerate(old):
-                if bits:
-                    a, b = shard.rows[r], shard.rows[r + 1]
-                    hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-            named = [set(x or ()) for x in had]
-            for r, i in zip(rows.tolist(), items.tolist()):
-                if block.names[i] is not None:
-                    named[r].add(block.names[i])
+        for batch, shard, held in _shards(batches, broadcasts):
+            hit, named = np.zeros(len(shard.ids), bool), [set() for _ in range(batch.num_rows)]
+            for block in held:
+                some, rows, items = shard.hits(block)
+                hit |= some
+                for r, i in zip(rows.tolist(), items.tolist()):
+                    if block.names[i] is not None:
+                        named[r].add(block.names[i])
             named = [sorted(x) for x in named]
-            if not final:
-                packed = [np.packbits(hit[a:b]).tobytes() for a, b in zip(shard.rows[:-1], shard.rows[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(packed, pa.binary()), pa.array(named, pa.list_(pa.string()))], ["doc_id", "text", "_hit", "_items"])
-                continue
             sums = np.r_[0, np.cumsum(hit)]
             n_hit = sums[shard.rows[1:]] - sums[shard.rows[:-1]]
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
@@ -222,6 +226,12 @@ def _scan(broadcast, final: bool):
     return run
 
 
+def _sent(benchmark: DataFrame, item_col: str, window: int) -> list:
+    """All blocks as broadcasts: together about the size of the benchmark."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(b) for b in blocks(benchmark, item_col, "text", window)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Per document its words, the words inside copied windows and the items they come from.
 
@@ -231,34 +241,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marks words but is not named or counted; items of one id count once. Repeated documents each get
     their row; an empty benchmark finds nothing. Other columns are not read.
     """
-    spark = docs.sparkSession
-    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_items"))
-    final = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    held = None
-    for block in blocks(benchmark, item_col, "text", window):
-        if held is not None:
-            state = state.mapInArrow(_scan(spark.sparkContext.broadcast(held), False), state.schema)
-        held = block
-    return state.mapInArrow(_scan(spark.sparkContext.broadcast(held or Block([], window)), True), final)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_scan(_sent(benchmark, item_col, window)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; all columns stay as they are."""
+    broadcasts = _sent(benchmark, item_col, window)
 
-    def keep(broadcast):
-        def run(batches):
-            for batch in batches_by_bytes(batches, text_col):
-                shard = Shard(batch.column(text_col), broadcast.value)
-                _, rows, _ = shard.hits(broadcast.value)
-                clean = np.ones(batch.num_rows, bool)
+    def run(batches):
+        held = [b.value for b in broadcasts]
+        for batch in batches_by_bytes(batches, text_col):
+            shard, clean = Shard(batch.column(text_col), *held), np.ones(batch.num_rows, bool)
+            for block in held:
+                _, rows, _ = shard.hits(block)
                 clean[rows] = False
-                yield batch.filter(pa.array(clean))
-
-        return run
+            yield batch.filter(pa.array(clean))
 
-    for block in blocks(benchmark, item_col, "text", window):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -268,11 +268,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     word never occurs has no row.
     """
 
-    def best(broadcast):
-        def run(batches):
-            block = broadcast.value
-            for batch in batches_by_bytes(batches, "text"):
-                shard = Shard(batch.column("text"), block)
+    broadcasts = _sent(benchmark, item_col, WINDOW)
+
+    def run(batches):
+        for batch, shard, held in _shards(batches, broadcasts):
+            for block in held:
                 length, place, _, _ = shard.search(block)
                 some = np.flatnonzero(length)
                 row = np.searchsorted(shard.rows, place[some], side="right") - 1
@@ -281,14 +281,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     ["item_id", "item_word", "n_words", "doc_id", "doc_word"],
                 )
 
-        return run
-
-    rows, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
-    for block in blocks(benchmark, item_col, "text", WINDOW):
-        found = rows.mapInArrow(best(docs.sparkSession.sparkContext.broadcast(block)), "item_id string, item_word long, n_words long, doc_id long, doc_word long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "item_id string, item_word long, n_words long, doc_id long, doc_word long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(run, "item_id string, item_word long, n_words long, doc_id long, doc_word long")
     top = F.max_by(F.struct("n_words", "doc_id", "doc_word"), F.struct("n_words", -F.col("doc_id"), -F.col("doc_word")))
     return out.groupBy("item_id", "item_word").agg(top.alias("top")).select("item_id", "item_word", "top.*")
 
