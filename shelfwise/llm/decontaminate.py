@@ -73,10 +73,11 @@ class Shard:
         raw, offsets = text_bytes(column)
         coded, self.rows, _ = words(raw, offsets, ALNUM)
         self.words = coded.dictionary
-        self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        # 32 bits hold all ids and places: a shard has less than 2^31 bytes
+        self.ids = coded.indices.to_numpy(zero_copy_only=False) + np.int32(1)
         n = len(self.ids)
-        sizes = np.diff(self.rows)
-        self.left = np.repeat(self.rows[1:], sizes) - np.arange(n)
+        self.left = np.repeat(self.rows[1:].astype(np.int32), np.diff(self.rows))
+        self.left -= np.arange(n, dtype=np.int32)
         #: bits of a word id, or of that of an unknown word, and words in a packed key
         self.bits = max(1, int(len(self.words) + 1).bit_length())
         self.pack = 62 // self.bits
@@ -101,12 +102,14 @@ class Shard:
 
     def sorted(self, depth: int) -> np.ndarray:
         n = len(self.ids)
-        order = np.argsort(self.key)
+        order = np.argsort(self.key).astype(np.int32)
         held = self.key[order]
         start = np.r_[True, held[1:] != held[:-1]][:n]
+        del held
         width = self.pack
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+        places, none = np.arange(n, dtype=np.int32), np.int32(0)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(start, places, none))
         while width < depth:
             # suffixes that still share their place with another
             alone = start & np.r_[start[1:], True][:n]
@@ -114,12 +117,12 @@ class Shard:
             if not len(at):
                 break
             own = order[at]
-            after = np.where(self.left[own] > width, rank[np.minimum(own + width, n - 1)] + 1, 0)
-            new = (rank[own] << 32) | after
+            after = np.where(self.left[own] > width, rank[np.minimum(own.astype(np.int64) + width, n - 1)] + 1, 0)
+            new = (rank[own].astype(np.int64) << 32) | after
             by = np.argsort(new)
             order[at], new = own[by], new[by]
             start[at[1:]] |= new[1:] != new[:-1]
-            rank[order[at]] = np.maximum.accumulate(np.where(start, np.arange(n), 0))[at]
+            rank[order[at]] = np.maximum.accumulate(np.where(start, places, none))[at]
             width *= 2
         return order
 
@@ -129,7 +132,7 @@ class Shard:
         n = len(self.ids)
         while (going := lo < hi).any():
             mid = (lo + hi) >> 1
-            at = self.array[np.minimum(mid, n - 1)]
+            at = self.array[np.minimum(mid, n - 1)].astype(np.int64)
             key = np.where(self.left[at] > skip, self.key[np.minimum(at + skip, n - 1)], 0) >> mask_bits
             low = (key <= want) if upper else (key < want)
             lo = np.where(going & low, mid + 1, lo)
