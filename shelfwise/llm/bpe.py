@@ -27,6 +27,8 @@ from .common import SPACED, batches_by_bytes, ragged, table, text_bytes, words
 
 #: Words of more bytes are merged exactly at once: the vectorised match would take a step a token.
 LONG_WORD = 200
+#: Text bytes encoded in one step, which takes some 20 times as much memory.
+STEP = 2 << 20
 #: Words whose exact merging a process remembers.
 REMEMBERED = 200_000
 END = "</w>"
@@ -382,7 +384,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
     def run(batches):
         model = load(path or tokenizer_path())
-        for batch in batches_by_bytes(batches, "text"):
+        for batch in batches_by_bytes(batches, "text", STEP):
             found = model.encode(batch.column("text"))
             ids, at = found.flat()
             data, edges = memoryview(ids.astype("<u4")).cast("B"), (at * 4).tolist()
