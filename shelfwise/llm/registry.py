@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, htmltext, minhash, repair, sharding, toxicity, urls, warc
+from . import bpe, decontaminate, exact_dedup, htmltext, infill, minhash, repair, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_ids": repair.op8_token_ids,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op3_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_url_filter": urls.ORACLE_SQL,
+    "op11_fill_in_middle": infill.ORACLE_SQL,
 }
