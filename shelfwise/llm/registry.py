@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, htmltext, infill, minhash, repair, sharding, toxicity, urls, warc
+from . import bpe, decontaminate, exact_dedup, filters, htmltext, infill, minhash, repair, sharding, token_counts, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_filter_audit": filters.op13_filter_audit,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_url_filter": urls.ORACLE_SQL,
     "op11_fill_in_middle": infill.ORACLE_SQL,
+    "op13_filter_audit": filters.ORACLE_SQL,
 }
