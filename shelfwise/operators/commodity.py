@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.steps import written
 from .pricing import latest
 
 GROUP = ["cut", "frozen_flag"]
@@ -26,23 +27,24 @@ def modal_weights(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Per group the weight that stands for its most common pack.
 
     Each weight counts those within the tolerance; the first with the most wins, and the upper median
-    of what it counted is the result. Weights are counted as (weight, rows, first order) before, so a
-    group costs the square of its distinct weights, not of its rows.
+    of what it counted is the result. Weights are counted as (weight, rows, first order) before. Each
+    then stands three times in its group's order, as itself and as both ends of its band, so running
+    counts tell what is within: a sort of the different weights, without comparing them pair by pair.
     """
-    counted = rows.groupBy(*GROUP, "weight_g").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    low, high = 1 - tolerance, 1 + tolerance
-    a, b = counted.alias("a"), counted.alias("b")
-    near = (F.col("b.weight_g") >= F.col("a.weight_g") * low) & (F.col("b.weight_g") <= F.col("a.weight_g") * high)
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in GROUP]
-    around = a.join(b, same[0] & same[1] & near).groupBy(*[F.col(f"a.{g}").alias(g) for g in GROUP], F.col("a.weight_g").alias("weight_g"), F.col("a.first").alias("first")).agg(
-        F.sum("b.n").alias("members"), F.array_sort(F.collect_list(F.struct(F.col("b.weight_g").alias("w"), F.col("b.n").alias("n")))).alias("packs")
-    )
-    best = around.groupBy(*GROUP).agg(F.max_by(F.struct("members", "packs"), F.struct("members", -F.col("first"))).alias("top"))
-    middle = F.floor(F.col("top.members") / 2)
-    # the pack at the middle place, counting each weight as often as it occurs
-    step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["w"].isNotNull(), acc["w"]).when(acc["seen"] + x["n"] > middle, x["w"]).alias("w"))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("w"))
-    return best.select(*GROUP, F.aggregate("top.packs", start, step)["w"].alias("modal_weight_g"), F.col("top.members").alias("members"))
+    counted = rows.filter("weight_g is not null").groupBy(*GROUP, "weight_g").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    place = lambda value, kind: F.struct(value.alias("value"), F.lit(kind).alias("kind"))
+    weight = F.col("weight_g")
+    # among equals the lower ends come before the weights and the upper ends behind
+    places = F.explode(F.array(place(weight * (1 - tolerance), 0), place(weight, 1), place(weight * (1 + tolerance), 2)))
+    marked = counted.withColumn("place", places).select("*", "place.value", "place.kind").drop("place")
+    order = Window.partitionBy(*GROUP).orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("seen", F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).over(order))
+    seen = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seen")))
+    ranked = marked.groupBy(*GROUP, "weight_g", "n", "first").agg(seen(0).alias("below"), seen(1).alias("upto"), (seen(2) - seen(0)).alias("members"))
+    top = F.max(F.struct("members", -F.col("first"), "below")).over(Window.partitionBy(*GROUP))
+    ranked = ranked.withColumn("top", top)
+    middle = F.col("top.below") + F.floor(F.col("top.members") / 2)
+    return ranked.filter((F.col("upto") - F.col("n") <= middle) & (middle < F.col("upto"))).select(*GROUP, F.col("weight_g").alias("modal_weight_g"), F.col("top.members").alias("members"))
 
 
 def comparison(rows: DataFrame, tolerance: float = TOLERANCE, least_stores: int = 2) -> DataFrame:
@@ -51,12 +53,12 @@ def comparison(rows: DataFrame, tolerance: float = TOLERANCE, least_stores: int
     Only each store's last date counts. Among equal prices a store's first row counts, and of stores
     the one met first is the cheapest, the one met last the priciest.
     """
-    rows = latest(rows, ["store"], "scraped_date")
+    rows = latest(written(rows.select(*GROUP, "store", "price_sgd", "weight_g", "scraped_date", "ord")), ["store"], "scraped_date")
     modal = modal_weights(rows, tolerance)
     near = rows.join(modal.drop("members"), GROUP).filter(F.col("weight_g").between(F.col("modal_weight_g") * (1 - tolerance), F.col("modal_weight_g") * (1 + tolerance)))
-    w = Window.partitionBy(*GROUP, "store")
-    near = near.withColumns({"_n": F.row_number().over(w.orderBy("price_sgd", "ord")), "_met": F.min("ord").over(w)})
-    offers = near.filter("_n = 1").withColumn("unit_price", F.col("price_sgd") / F.col("weight_g") * 100)
+    best = F.min_by(F.struct("price_sgd", "weight_g", "scraped_date"), F.struct(F.col("price_sgd").isNotNull(), "price_sgd", "ord"))
+    offers = near.groupBy(*GROUP, "modal_weight_g", "store").agg(best.alias("best"), F.min("ord").alias("_met")).select("*", "best.*").drop("best")
+    offers = offers.withColumn("unit_price", F.col("price_sgd") / F.col("weight_g") * 100)
     entry = F.struct(F.col("store").alias("key"), F.struct("price_sgd", "weight_g", F.round("unit_price", 4).alias("unit_price_per_100g")).alias("value"))
     low, high = F.min(F.struct("price_sgd", "_met", "store", "unit_price", "scraped_date")), F.max(F.struct("price_sgd", "_met", "store", "unit_price"))
     out = offers.groupBy(*GROUP, "modal_weight_g").agg(low.alias("low"), high.alias("high"), F.count("*").alias("store_count"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("store_prices"))

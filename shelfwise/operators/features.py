@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
 from .numbering import numbered, tile
+from .quantiles import quantiles
 
 SERIES = ["canonical_product_id", "store"]
 
@@ -41,9 +43,11 @@ def product_features(rows: DataFrame, least_stores: int = 2) -> DataFrame:
 
 def within_fences(df: DataFrame, columns: list[str], factor: float = 3.0) -> DataFrame:
     """Rows at or below third quartile plus ``factor`` ranges in all columns; fences are from all rows."""
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    fences = df.agg(*[(q(c)[1] + factor * (q(c)[1] - q(c)[0])).alias(f"_{c}") for c in columns])  # one row
-    out = df.crossJoin(F.broadcast(fences))
+    rows = written(df)
+    fence = F.col("q")[1] + factor * (F.col("q")[1] - F.col("q")[0])
+    found = quantiles(rows, columns, [0.25, 0.75]).select("column", fence.alias("fence"))
+    fences = found.agg(*[F.max(F.when(F.col("column") == c, F.col("fence"))).alias(f"_{c}") for c in columns])  # one row
+    out = rows.crossJoin(F.broadcast(fences))
     return out.filter(reduce(lambda x, y: x & y, [F.col(c) <= F.col(f"_{c}") for c in columns])).select(*df.columns)
 
 
@@ -70,10 +74,11 @@ def shopping_advice(tier: Column, cv: Column, stores: Column) -> Column:
 
 def series_features(rows: DataFrame, date: str = "scraped_date_sg") -> DataFrame:
     """Last price, mean of the last three of these, calendar parts and category codes, per product and store."""
+    rows = written(rows)
     w = Window.partitionBy(*SERIES).orderBy(date)
     out = rows.withColumn("prev_price", F.lag("price_sgd").over(w)).withColumn("mean_3", F.avg("prev_price").over(w.rowsBetween(-2, 0)))
     # codes number the sorted distinct values: small tables
-    code = lambda c: out.select(c).distinct().withColumn(f"{c}_code", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("long"))
+    code = lambda c: rows.select(c).distinct().withColumn(f"{c}_code", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("long"))
     out = out.join(F.broadcast(code("store")), "store", "left").join(F.broadcast(code("unified_category")), "unified_category", "left")
     return out.withColumns({"month": F.month(date), "weekday": F.weekday(date), "day": F.dayofmonth(date)})
 

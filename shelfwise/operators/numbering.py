@@ -1,7 +1,7 @@
 """Global row numbers without gathering all rows in one task.
 
-Rows are cut into ranges of the order and written once, so the cut is stable; sizes of the ranges, a
-row each, give where every range's numbers begin.
+Rows are written, cut into ranges of the order and written again, so the cut is stable and finding its
+borders computes nothing anew; sizes of the ranges, a row each, give where every range's numbers begin.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import written
+from ..sources.steps import written
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """Adds ``name``, the row's number from 1 in the given ascending order, and ``<name>_total``, the number of rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    cut = written(written(df).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))  # a row per range
     ranges = Window.orderBy("_part")
     bases = sizes.select("_part", (F.sum("_size").over(ranges) - F.col("_size")).alias("_base"), F.sum("_size").over(Window.partitionBy()).alias(f"{name}_total"))

@@ -95,8 +95,12 @@ def exploded_prices(recommendations: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, by: list[str], date: str = "scraped_date_sg") -> DataFrame:
     """The rows of each key's last date."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("_last", F.max(date).over(w)).filter(F.col(date) == F.col("_last")).drop("_last")
+    # a row per key: a key may have most of the rows, so these are not brought together
+    last = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max(date).alias("_last"))
+    same = F.col(date) == F.col("_last")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(last, same, "left_semi")
 
 
 def latest_day(rows: DataFrame, date: str = "scraped_date_sg") -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
+from .quantiles import quantiles
+
 
 def whole() -> Window:
     """All rows of a small frame."""
@@ -70,8 +73,10 @@ def savings_buckets(spreads: DataFrame) -> DataFrame:
 
 
 def category_spreads(marts: DataFrame) -> DataFrame:
-    out = marts.filter("price_spread_sgd > 0 and compared_store_count >= 2")
-    return out.groupBy("unified_category").agg(F.count("*").alias("n"), F.median("price_spread_sgd").alias("median_spread"), F.avg("price_spread_sgd").alias("mean_spread"))
+    out = written(marts.filter("price_spread_sgd > 0 and compared_store_count >= 2").select("unified_category", "price_spread_sgd"))
+    middle = quantiles(out, ["price_spread_sgd"], [0.5], ["unified_category"]).select(F.col("unified_category").alias("_of"), F.col("q")[0].alias("median_spread"))
+    means = out.groupBy("unified_category").agg(F.count("*").alias("n"), F.avg("price_spread_sgd").alias("mean_spread"))
+    return means.join(middle, F.col("unified_category").eqNullSafe(F.col("_of"))).select("unified_category", "n", "median_spread", "mean_spread")
 
 
 def top_spreads(marts: DataFrame, k: int, category: str | None = None) -> DataFrame:
@@ -115,8 +120,10 @@ def top_categories(df: DataFrame, group: str, category: str, k: int = 8) -> Data
 
 def tier_summary(tiers: DataFrame) -> DataFrame:
     """Per tier its size, share, means and quartiles, and whether its prices vary most."""
-    q = F.percentile("mean_price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = tiers.groupBy("tier").agg(F.count("*").alias("n"), F.avg("mean_price").alias("mean_price"), F.avg("price_range").alias("mean_range"), F.avg("cv").alias("mean_cv"), q.alias("q"))
+    tiers = written(tiers.select("tier", "mean_price", "price_range", "cv"))
+    q = quantiles(tiers, ["mean_price"], [0.25, 0.5, 0.75], ["tier"]).select(F.col("tier").alias("_of"), "q")
+    out = tiers.groupBy("tier").agg(F.count("*").alias("n"), F.avg("mean_price").alias("mean_price"), F.avg("price_range").alias("mean_range"), F.avg("cv").alias("mean_cv"))
+    out = out.join(q, F.col("tier").eqNullSafe(F.col("_of")), "left")
     most = F.col("mean_cv") == F.max("mean_cv").over(whole())
     return out.select("tier", "n", share().alias("pct"), "mean_price", "mean_range", "mean_cv", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), most.alias("varies_most"))
 
@@ -178,11 +185,12 @@ def sorted_table(rows: DataFrame, **order: bool) -> DataFrame:
 
 def described(rows: DataFrame, columns: list[str], places: int = 3) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of number columns, one row per column."""
+    rows = written(rows.select(*columns))
     one = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-        F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max"),
+        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
     )
     out = rows.agg(F.array(*map(one, columns)).alias("all")).select(F.inline("all"))
+    out = out.join(quantiles(rows, columns, [0.25, 0.5, 0.75]).select("column", "q"), "column", "left")
     number = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), "q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2], "max": F.col("max")}
     return out.select("column", "count", *[F.round(v, places).alias(k) for k, v in number.items()])
 

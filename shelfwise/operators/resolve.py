@@ -7,8 +7,6 @@ reach the review limit.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from ..functions import clean as C
 from ..functions import score as S
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..sources.steps import written
 
 
 
@@ -155,19 +154,6 @@ def reciprocal_best(pairs: DataFrame) -> DataFrame:
     return strong.withColumns({"_a": F.row_number().over(of_a), "_b": F.row_number().over(of_b)}).filter("_a = 1 and _b = 1").drop("_a", "_b")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder the cluster shares and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "/tmp/checkpoints/shelfwise"  # one process
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """id and component, the smallest id reachable, for every node.
 

@@ -12,7 +12,9 @@ from ..functions import score as S
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import commodity, features, learn, pricing, reports, resolve
+from ..operators.quantiles import quantiles
 from ..sources import sinks
+from ..sources.steps import written
 from ..streaming import ingest
 from . import views
 from .views import COMMODITIES, LISTINGS, MART, OFFERS, PREFERRED, with_sql
@@ -414,7 +416,7 @@ near AS (SELECT least(product_id_a, product_id_b) AS low, greatest(product_id_a,
 SELECT DISTINCT low, high, match_score, match_status FROM near""")
 def candidate_pairs_dedup(spark, sf_dir):
     ids = views.listings(spark, sf_dir).filter("store = 's0'").select(F.col("id").alias("product_id"))
-    return reports.candidates_for(resolve.written(_pairs(spark, sf_dir)), ids)
+    return reports.candidates_for(written(_pairs(spark, sf_dir)), ids)
 
 
 # Commodities
@@ -759,9 +761,9 @@ odd AS (SELECT features.*, -round(cv, 6) AS score, CASE WHEN round(cv, 6) > roun
 
 
 def _odd(spark, sf_dir) -> DataFrame:
-    rows = _features(spark, sf_dir)
-    q = F.percentile("cv", F.array(F.lit(0.25), F.lit(0.75)))
-    limit = rows.agg((q[1] + 0.5 * (q[1] - q[0])).alias("_limit"))  # one row
+    rows = written(_features(spark, sf_dir))
+    q = F.col("q")
+    limit = quantiles(rows, ["cv"], [0.25, 0.75]).select((q[1] + 0.5 * (q[1] - q[0])).alias("_limit"))  # one row
     out = rows.crossJoin(F.broadcast(limit))
     return out.withColumns({"score": -F.round("cv", 6), "flag": F.when(F.round("cv", 6) > F.round("_limit", 6), -1).otherwise(1)}).drop("_limit")
 
