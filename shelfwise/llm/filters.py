@@ -127,6 +127,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         rows = keep(read.withColumn("digest", sha256_binary(F.col("text"))).mapInArrow(_masks, "doc_id long, part string, digest binary, mask long"), "filter-masks")
         # only texts with several ids have copies; a hot text is one row here
         copied = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
+        copied = keep(copied, "copied-texts")  # a side of its own, so that a hot text's rows are split among tasks in the join
         marks = labels.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
         known = rows.join(copied, "digest", "left").join(marks, F.col("doc_id") == F.col("labelled"), "left")
         no = F.lit(False)
