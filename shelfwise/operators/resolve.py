@@ -15,6 +15,7 @@ from ..functions import score as S
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..sources.steps import written
+from .blocks import block_join
 
 
 
@@ -59,17 +60,15 @@ def scored_pairs(listings: DataFrame, s: S.Scoring = S.PACKAGED) -> DataFrame:
     Every pair that can pass shares a word of the brand key and a cell of size, so the join is on both;
     a pair of several shared words counts at the first of them.
     """
-    rows = parsed(listings, s)
+    rows = written(parsed(listings, s))
     words = rows.withColumn("word", F.explode("brand_words"))
     of_a, of_b = S.size_cells(s)
     a, b = _sides()
     first = F.element_at(F.array_intersect(a("brand_words"), b("brand_words")), 1)
     once = (F.size(a("brand_words")) == 1) | (F.size(b("brand_words")) == 1) | (a("word") == first)
-    meet = (a("word") == b("word")) & (a("cell") == b("cell")) & (a("store") < b("store")) & once & S.likely(a, b, s)
-    # the rows are few for the pairs that they make: a fixed number of parts is not merged into fewer tasks
-    parts = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda cells, name: words.withColumn("cell", F.explode(cells)).repartition(parts, "word", "cell").alias(name)
-    pairs = side(of_a, "a").join(side(of_b, "b"), meet)
+    meet = (a("store") < b("store")) & once & S.likely(a, b, s)
+    side = lambda cells: words.withColumn("cell", F.explode(cells))
+    pairs = block_join(side(of_a), side(of_b), ["word", "cell"], meet)
     ids = [x(c).alias(f"{n}_{e}") for e, x in (("a", a), ("b", b)) for c, n in (("id", "product_id"), ("store", "store"), ("name", "name"), ("core", "core"), ("normal", "normal"))]
     four = {"brand": S.brand_score(a, b, s), "size": S.size_score(a, b, s), "variant": S.variant_score(a, b), "packaging": S.packaging_score(a, b)}
     known = [*[v.alias(f"{k}_score") for k, v in four.items()], S.variant_conflict(a, b).alias("variants_differ"), S.price_penalty(a, b).alias("price_pay"), (a("size.total").isNotNull() & b("size.total").isNotNull()).alias("sized")]
@@ -102,47 +101,74 @@ KIND_QUALIFIERS = ["organic", "bio", "baby", "mini", "sweet", "seedless", "cherr
 def parsed_produce(listings: DataFrame) -> DataFrame:
     listings = listings.withColumn("normal", T.normalize_text(F.col("name")))
     normal = F.col("normal")
-    rows = listings.withColumns({"origin": T.origin_of(normal), "qualifiers": T.variants(normal, V.QUALIFIERS, True), "produce_type": T.produce_type(normal), "stripped": T.strip_labels(normal)})
+    rows = listings.withColumns({
+        "origin": T.origin_of(normal),
+        "qualifiers": T.variants(normal, V.QUALIFIERS, True),
+        "produce_type": T.produce_type(normal),
+        "stripped": T.strip_labels(normal),
+    })
     return rows.withColumn("core", T.core_tokens(T.tokens_of(F.col("stripped")), F.col("origin"), T.PRODUCE_NOISE, T.PRODUCE_UNIT_WORDS))
 
 
+def produce_classes(listings: DataFrame) -> DataFrame:
+    """id, store, name and the class of each listing: the smallest id of its store and name.
+
+    Scores of produce depend on names alone, so listings of one store and name pair alike.
+    """
+    first = listings.groupBy(F.col("store").alias("_store"), F.col("name").alias("_name")).agg(F.min("id").alias("class_id"))
+    same = F.col("store").eqNullSafe(F.col("_store")) & F.col("name").eqNullSafe(F.col("_name"))
+    return listings.select("id", "store", "name").join(first, same).select("id", "store", "name", "class_id")
+
+
+#: Weights of type, origin, qualifiers and title of produce, what conflicts of origin and
+#: qualifiers cost, and the limits of a strong match and of a review.
+PRODUCE_WEIGHTS, PRODUCE_PAYS, PRODUCE_STRONG, PRODUCE_REVIEW = (0.40, 0.25, 0.20, 0.15), (0.20, 0.25), (0.88, 0.60), 0.72
+
+
 def scored_produce_pairs(listings: DataFrame) -> DataFrame:
-    """Pairs of fruit and vegetables of different stores.
+    """Pairs of fruit and vegetables of different stores, between the first listings of each store and name.
 
-    A pair that can pass has equal types, or an unknown type and a shared word: two joins' union.
+    All other pairs are those of the same classes (``produce_classes``). A pair that can pass has equal
+    types, or an unknown type and a shared word: two joins' union.
     """
-    rows = parsed_produce(listings)
+    firsts = listings.groupBy("store", "name").agg(F.min("id").alias("id"))
+    rows = written(parsed_produce(firsts))
     a, b = _sides()
     variety = lambda q: F.filter(q, lambda x: ~x.isin(KIND_QUALIFIERS))
     apart = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
-    fits = (a("store") < b("store")) & ~(apart(a("qualifiers"), b("qualifiers")) & apart(variety(a("qualifiers")), variety(b("qualifiers"))))
-    left = ["id", "store", "name", "origin", "qualifiers", "produce_type", "core", "normal"]
-    pick = [F.struct(*[a(c).alias(c) for c in left]).alias("a"), F.struct(*[b(c).alias(c) for c in left]).alias("b")]
-    same = rows.alias("a").join(rows.alias("b"), (a("produce_type") == b("produce_type")) & fits).select(*pick)
-    words = rows.withColumn("word", F.explode(F.array_distinct("core")))
-    loose = words.alias("a").join(words.alias("b"), (a("word") == b("word")) & (a("produce_type").isNull() | b("produce_type").isNull()) & fits).select(*pick)
-    pairs = same.unionByName(loose).withColumns({"product_id_a": F.col("a.id"), "product_id_b": F.col("b.id")}).dropDuplicates(["product_id_a", "product_id_b"])
+    kinds = lambda x, y: F.when(x == y, 1.0).otherwise(0.0)
     x, y = a("qualifiers"), b("qualifiers")
-    kind = F.when(a("produce_type").isNull() | b("produce_type").isNull(), F.when(F.arrays_overlap(a("core"), b("core")), 0.5).otherwise(0.0)).when(a("produce_type") == b("produce_type"), 1.0).otherwise(0.0)
-    origin = F.when(a("origin").isNull() | b("origin").isNull(), 0.6).when(a("origin") == b("origin"), 1.0).otherwise(0.0)
-    qualifier = F.when((F.size(x) == 0) & (F.size(y) == 0), 0.8).when((F.size(x) == 0) | (F.size(y) == 0), 0.5).when(x == y, 1.0).when(F.arrays_overlap(x, y), 0.5).otherwise(0.0)
-    pays = {"origin_conflict": F.when(origin == 0, 0.20).otherwise(0.0), "qualifier_conflict": F.when(qualifier == 0, 0.25).otherwise(0.0)}
-    cheap = 0.40 * kind + 0.25 * origin + 0.20 * qualifier - S.total(pays.values())
-    pairs = pairs.filter((kind > 0) & (cheap + 0.15 + 1e-9 >= 0.72)).select(
-        "product_id_a", "product_id_b", a("store").alias("store_a"), b("store").alias("store_b"), a("name").alias("name_a"), b("name").alias("name_b"),
-        F.array_join(a("core"), " ").alias("title_a"), F.array_join(b("core"), " ").alias("title_b"), a("normal").alias("normal_a"), b("normal").alias("normal_b"), a("core").alias("core_a"), b("core").alias("core_b"),
-        kind.alias("produce_type_score"), origin.alias("origin_score"), qualifier.alias("qualifier_score"), *[v.alias(f"pay_{k}") for k, v in pays.items()],
-    )
+    type_a, type_b = a("produce_type"), b("produce_type")
+    kind = F.when(type_a.isNull() | type_b.isNull(), F.when(F.arrays_overlap(a("core"), b("core")), 0.5).otherwise(0.0)).otherwise(kinds(type_a, type_b))
+    origin = F.when(a("origin").isNull() | b("origin").isNull(), 0.6).otherwise(kinds(a("origin"), b("origin")))
+    none_x, none_y = F.size(x) == 0, F.size(y) == 0
+    qualifier = F.when(none_x & none_y, 0.8).when(none_x | none_y, 0.5).when(x == y, 1.0).when(F.arrays_overlap(x, y), 0.5).otherwise(0.0)
+    pays = {"origin_conflict": F.when(origin == 0, PRODUCE_PAYS[0]).otherwise(0.0), "qualifier_conflict": F.when(qualifier == 0, PRODUCE_PAYS[1]).otherwise(0.0)}
+    w = PRODUCE_WEIGHTS
+    cheap = w[0] * kind + w[1] * origin + w[2] * qualifier - S.total(pays.values())
+    # only pairs that the best title would bring to a review leave the join
+    fits = (a("store") < b("store")) & ~(apart(x, y) & apart(variety(x), variety(y))) & (kind > 0) & (cheap + w[3] + 1e-9 >= PRODUCE_REVIEW)
+    ids = [s(c).alias(f"{n}_{e}") for e, s in (("a", a), ("b", b)) for c, n in (("id", "product_id"), ("store", "store"), ("name", "name"), ("core", "core"))]
+    known = [*ids, kind.alias("produce_type_score"), origin.alias("origin_score"), qualifier.alias("qualifier_score"), *[v.alias(f"pay_{k}") for k, v in pays.items()]]
+    same = block_join(rows, rows, ["produce_type"], fits).select(*known)
+    words = rows.withColumn("word", F.explode(F.array_distinct("core")))
+    untyped, typed = words.filter("produce_type is null"), words.filter("produce_type is not null")
+    loose = block_join(untyped, words, ["word"], fits).select(*known).unionByName(block_join(typed, untyped, ["word"], fits).select(*known))
+    # a pair that shares several words was found by each
+    pairs = same.unionByName(loose.dropDuplicates(["product_id_a", "product_id_b"]))
+    pairs = pairs.withColumns({"title_a": F.array_join("core_a", " "), "title_b": F.array_join("core_b", " ")})
     pairs = _titles(pairs, plain=False)
     title = S.title_from(F.col("core_a"), F.col("core_b"), F.col("ratio"), F.col("sorted_ratio"), F.lit(0.0), (0.40, 0.35, 0.25))
     pairs = pairs.withColumn("title_score", title)
-    score = 0.40 * F.col("produce_type_score") + 0.25 * F.col("origin_score") + 0.20 * F.col("qualifier_score") + 0.15 * F.col("title_score")
-    final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - S.total(F.col(f"pay_{k}") for k in pays)))
-    pairs = pairs.withColumn("final", final).withColumn("match_status", S.status(F.col("final"), F.col("title_score"), (0.88, 0.60), 0.72))
     four = [(k, F.col(f"{k}_score")) for k in ("produce_type", "origin", "qualifier", "title")]
+    score = S.total(part * value for part, (_, value) in zip(w, four))
+    final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - S.total(F.col(f"pay_{k}") for k in pays)))
+    pairs = pairs.withColumn("final", final).withColumn("match_status", S.status(F.col("final"), F.col("title_score"), PRODUCE_STRONG, PRODUCE_REVIEW))
     return pairs.filter("match_status <> 'no_match'").select(
-        "product_id_a", "product_id_b", "store_a", "store_b", "name_a", "name_b", *[F.round(v, 4).alias(f"{k}_score") for k, v in four],
-        F.round("final", 4).alias("match_score"), "match_status", S.explanation(four, [(k, F.col(f"pay_{k}")) for k in pays]).alias("explanation"),
+        "product_id_a", "product_id_b", "store_a", "store_b", "name_a", "name_b",
+        *[F.round(v, 4).alias(f"{k}_score") for k, v in four],
+        F.round("final", 4).alias("match_score"), "match_status",
+        S.explanation(four, [(k, F.col(f"pay_{k}")) for k in pays]).alias("explanation"),
     )
 
 
@@ -239,6 +265,61 @@ def canonical_key(category: Column, brand: Column, name: Column, size: Column, p
     return F.concat_ws("-", C.slugify(category), F.substring(brand, 1, 20), F.substring(F.sha1(text), 1, 12))
 
 
+#: Category of produce, as its keys' signature and as its keys have it.
+PRODUCE_CATEGORY, PRODUCE_PREFIX = "fruits-and-vegetables", "fruits-vegetables"
+
+
+def produce_key(kind: Column, origin: Column, qualifiers: Column) -> Column:
+    """fruits-vegetables-type-origin-digest; the digest is the start of the SHA-1 of what tells the product, as JSON."""
+    kind, origin = F.coalesce(kind, F.lit("unknown")), F.coalesce(origin, F.lit("unknown"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(qualifiers, _json_text), ", "), F.lit("]"))
+    fields = {"category": F.lit(f'"{PRODUCE_CATEGORY}"'), "origin": _json_text(origin), "produce_type": _json_text(kind), "qualifiers": listed}
+    text = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in fields.items()]), F.lit("}"))
+    return F.concat_ws("-", F.lit(PRODUCE_PREFIX), C.slugify(kind), C.slugify(origin), F.substring(F.sha1(text), 1, 12))
+
+
+def canonical_produce(listings: DataFrame, groups: DataFrame, category: str = "Fruits & Vegetables", typed_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Canonical fruit and vegetables and their members; groups of one key are one product.
+
+    A group's name, type and origin are those of its listing with the longest text without labels (the
+    smallest id among equals), its qualifiers those of all. Products of equal type, origin and
+    qualifiers have one key, whether their groups match or not: so have all of which nothing is known,
+    unless ``typed_only`` leaves these out. Of groups with one key the largest, then that with the
+    smallest id, gives name and times. Members tell which listings a product has; products count them.
+    """
+    rows = written(parsed_produce(listings).join(groups, "id"))
+    best = F.max_by(F.struct("name", "produce_type", "origin"), F.struct(F.length("stripped"), -F.col("id")))
+    # few different sets of qualifiers and few stores, however many listings
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    grouped = rows.groupBy("component").agg(
+        best.alias("best"), union("qualifiers").alias("qualifiers"), F.count("*").alias("size"), F.array_sort(F.collect_set("store")).alias("stores"), F.min("id").alias("first_id"),
+        F.min("scraped_at").alias("first_seen_at"), F.max("scraped_at").alias("last_seen_at"),
+    )
+    grouped = grouped.withColumn("canonical_key", produce_key(F.col("best.produce_type"), F.col("best.origin"), F.col("qualifiers")))
+    grouped = written(grouped.filter("best.produce_type is not null") if typed_only else grouped)
+    rank = F.struct(-F.col("size"), "first_id")
+    first = F.min_by(F.struct(F.col("best.name").alias("name"), "qualifiers", "first_seen_at", "last_seen_at"), rank)
+    merged = grouped.groupBy("canonical_key").agg(first.alias("f"), F.sum("size").alias("member_count"), union("stores").alias("stores_present"))
+    products = merged.select("canonical_key", F.col("f.name").alias("canonical_name"), F.lit(category).alias("unified_category"), F.col("f.qualifiers").alias("variant_tokens"), "member_count", "stores_present", "f.first_seen_at", "f.last_seen_at")
+    members = rows.join(grouped.select("component", "canonical_key", "size"), "component").select(
+        "canonical_key", F.col("id").alias("product_id"), "store", "name", F.when(F.col("size") == 1, F.lit(1.0)).alias("match_confidence")
+    )
+    return products, members
+
+
+def match_produce(listings: DataFrame, reciprocal: bool = True, typed_only: bool = False):
+    """Pairs, best pairs, canonical products and members of fruit and vegetables.
+
+    Best pairs are between first listings of a store and name, as ties go to the smallest id; without
+    ``reciprocal`` there are none, and only keys bring listings together.
+    """
+    listings = written(listings)
+    pairs = written(scored_produce_pairs(listings))
+    best = written(reciprocal_best(pairs if reciprocal else pairs.limit(0)))
+    products, members = canonical_produce(listings, components(listings, best), typed_only=typed_only)
+    return pairs, best, products, members
+
+
 def run_summary(listings: DataFrame, pairs: DataFrame, best: DataFrame, products: DataFrame) -> DataFrame:
     """Counts of one matching run, a single row."""
     one = lambda df, *aggs: df.agg(*aggs)

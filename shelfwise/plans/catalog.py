@@ -359,18 +359,74 @@ def pair_scores_meat(spark, sf_dir):
 _PRODUCE = ["Fuji Apple China", "Red Apple", "Baby Kailan", "Kailan Malaysia", "Organic Broccoli Australia", "Broccoli sg", "Cherry Tomato", "Tomato Malaysia", "Purple Sweet Potato", "Potato", "Old Ginger", "Young Ginger China", "Seedless Grape", "Shine Muscat Grape Korea", "Pisang Mas", "Banana Philippines", "Enoki Mushroom", "Oyster Mushroom Korea", "Gold Kiwi", "Green Kiwi New Zealand", "Wonder Leaf", "Wonder Leaf Premium"]
 
 
-def _produce(spark, sf_dir) -> DataFrame:
-    """Parts as fruit and vegetables of four stores."""
-    name = F.element_at(F.array(*map(F.lit, _PRODUCE)), (F.col("p_partkey") % len(_PRODUCE) + 1).cast("int"))
-    store = F.concat(F.lit("s"), F.pmod(F.xxhash64("p_partkey"), F.lit(4)).cast("string"))
-    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), store.alias("store"), name.alias("name"))
+_PRODUCE_NAME = (
+    "CASE (p_partkey // 4) % {n} {names} END || CASE p_size % 3 WHEN 0 THEN ' premium' WHEN 1 THEN ' ' || split_part(p_name, ' ', 1) ELSE '' END".format(
+        n=len(_PRODUCE), names=" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PRODUCE))
+    )
+)
 
+#: Parts as fruit and vegetables of four stores.
+_GROCERIES = f"""listings AS (
+  SELECT p_partkey AS id, 's' || p_partkey % 4 AS store, {_PRODUCE_NAME} AS name,
+         TIMESTAMP '2026-04-01 00:00:00' + to_days(CAST(p_partkey % 5 AS INTEGER)) AS scraped_at FROM part)"""
 
-@query()
+
+def _produce(spark, sf_dir) -> DataFrame:
+    """Parts as fruit and vegetables of four stores."""
+    key = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, _PRODUCE)), (F.floor(key / 4) % len(_PRODUCE) + 1).cast("int"))
+    more = F.when(F.col("p_size") % 3 == 0, " premium").when(F.col("p_size") % 3 == 1, F.concat(F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1)))).otherwise("")
+    seen = F.to_timestamp_ntz(F.lit("2026-04-01 00:00:00")) + F.make_dt_interval(days=(key % 5).cast("int"))
+    return views.table(spark, sf_dir, "part").select(key.alias("id"), F.concat(F.lit("s"), (key % 4).cast("string")).alias("store"), F.concat(kind, more).alias("name"), seen.alias("scraped_at"))
+
+
+def _rounded_sql(value: str) -> str:
+    """Four places by the number's shortest decimal form, half up, as Spark rounds doubles."""
+    return f"round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE"
+
+
+def _produce_sql() -> str:
+    stop = [*T.PRODUCE_NOISE, *T.PRODUCE_UNIT_WORDS]
+    w, pays, kinds = resolve.PRODUCE_WEIGHTS, resolve.PRODUCE_PAYS, resolve.KIND_QUALIFIERS
+    apart = lambda x, y: f"(len({x}) > 0 AND len({y}) > 0 AND NOT list_has_any({x}, {y}))"
+    title = f"""CASE WHEN ta = '' OR tb = '' THEN 0.0::DOUBLE ELSE 0.40::DOUBLE * ({_ratio_sql('sa', 'sb')}) + 0.35::DOUBLE * ({_ratio_sql('ta', 'tb')})
+      + 0.25::DOUBLE * len(list_intersect(string_split(ta, ' '), string_split(tb, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(ta, ' '), string_split(tb, ' ')))) END"""
+    return rf"""named AS (
+  SELECT name, normal, {_labels_sql('normal')} AS stripped, {_first_sql('normal', _ORIGIN_PAIRS)} AS origin, {_first_sql('normal', _TYPE_PAIRS)} AS kind,
+         list_filter(string_split({_groups_sql('normal', V.QUALIFIERS, ('\\b', '\\b'))}, ','), lambda x: x <> '') AS q
+  FROM (SELECT name, {_NORMAL.format('name')} AS normal FROM (SELECT DISTINCT name FROM listings))
+), words AS (
+  SELECT *, list_filter(q, lambda x: NOT list_contains({kinds!r}, x)) AS v,
+         list_filter(string_split(stripped, ' '), lambda t: t <> '' AND NOT list_contains({stop!r}, t) AND NOT list_contains(string_split(coalesce(origin, ''), ' '), t) AND NOT regexp_matches(t, '^\d+(\.\d+)?$')) AS core
+  FROM named
+), firsts AS (SELECT min(id) AS id, store, l.name, any_value(origin) AS origin, any_value(kind) AS kind, any_value(q) AS q, any_value(v) AS v, any_value(core) AS core
+  FROM listings l JOIN words USING (name) GROUP BY store, l.name
+), pairs AS (
+  SELECT a.id AS product_id_a, b.id AS product_id_b, a.store AS store_a, b.store AS store_b, a.name AS name_a, b.name AS name_b, array_to_string(a.core, ' ') AS ta, array_to_string(b.core, ' ') AS tb,
+         CASE WHEN a.kind = b.kind THEN 1.0 ELSE 0.5 END::DOUBLE AS kind, CASE WHEN a.origin IS NULL OR b.origin IS NULL THEN 0.6 WHEN a.origin = b.origin THEN 1.0 ELSE 0.0 END::DOUBLE AS origin,
+         CASE WHEN len(a.q) = 0 AND len(b.q) = 0 THEN 0.8 WHEN len(a.q) = 0 OR len(b.q) = 0 THEN 0.5 WHEN a.q = b.q THEN 1.0 WHEN list_has_any(a.q, b.q) THEN 0.5 ELSE 0.0 END::DOUBLE AS qualifier
+  FROM firsts a JOIN firsts b ON a.store < b.store AND (a.kind = b.kind OR ((a.kind IS NULL OR b.kind IS NULL) AND list_has_any(a.core, b.core)))
+  WHERE NOT ({apart('a.q', 'b.q')} AND {apart('a.v', 'b.v')})
+), rated AS (SELECT ta, tb, {title} AS title FROM (SELECT DISTINCT ta, tb, {_SORTED.format('ta')} AS sa, {_SORTED.format('tb')} AS sb FROM pairs)),
+scored AS (SELECT *, greatest(0.0, least(1.0, {w[0]}::DOUBLE * kind + {w[1]}::DOUBLE * origin + {w[2]}::DOUBLE * qualifier + {w[3]}::DOUBLE * title - (CASE WHEN origin = 0 THEN {pays[0]} ELSE 0 END::DOUBLE + CASE WHEN qualifier = 0 THEN {pays[1]} ELSE 0 END::DOUBLE))) AS final
+  FROM pairs JOIN rated USING (ta, tb)),
+matches AS (SELECT product_id_a, product_id_b, store_a, store_b, name_a, name_b, kind AS produce_type_score, origin AS origin_score, qualifier AS qualifier_score, {_rounded_sql('title')} AS title_score, {_rounded_sql('final')} AS match_score,
+    CASE WHEN final >= {resolve.PRODUCE_STRONG[0]} AND title >= {resolve.PRODUCE_STRONG[1]} THEN 'strong_match' WHEN final >= {resolve.PRODUCE_REVIEW} THEN 'review' ELSE 'no_match' END AS match_status FROM scored)"""
+
+
+_PRODUCE_MATCHES = with_sql(_GROCERIES, _produce_sql())
+
+
+@query(_PRODUCE_MATCHES + "SELECT * FROM matches WHERE match_status <> 'no_match'")
 def pair_scores_produce(spark, sf_dir):
     return resolve.scored_produce_pairs(_produce(spark, sf_dir)).drop("explanation")
 
 
+@query(with_sql(_GROCERIES) + "SELECT id, store, name, min(id) OVER (PARTITION BY store, name) AS class_id FROM listings")
+def produce_classes(spark, sf_dir):
+    return resolve.produce_classes(_produce(spark, sf_dir))
+
+
 _BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id_a, store_b ORDER BY match_score DESC, store_a, store_b, name_a, product_id_a, product_id_b) AS x,
     row_number() OVER (PARTITION BY product_id_b, store_a ORDER BY match_score DESC, store_a, store_b, name_a, product_id_a, product_id_b) AS y FROM matches WHERE match_status = 'strong_match') WHERE x = 1 AND y = 1)"""
 
@@ -410,6 +466,28 @@ def match_summary(spark, sf_dir):
     return resolve.run_summary(listings, pairs, best, products).select("input_products", "strong_match_pairs_raw", "review_pairs", "strong_match_pairs")
 
 
+_PRODUCE_GROUPS = f"""{_BEST}, {_REACH}, groups AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+rows AS (SELECT l.*, component, stripped, origin, kind, q, row_number() OVER (PARTITION BY component ORDER BY length(stripped) DESC, id) AS k FROM listings l JOIN words USING (name) JOIN groups USING (id)),
+grouped AS (SELECT component, count(*) AS size, min(id) AS first_id, list_sort(list_distinct(flatten(list(q)))) AS q, list_distinct(list(store)) AS stores, min(scraped_at) AS seen, max(scraped_at) AS last,
+  max(CASE WHEN k = 1 THEN name END) AS name, coalesce(max(CASE WHEN k = 1 THEN kind END), 'unknown') AS kind, coalesce(max(CASE WHEN k = 1 THEN origin END), 'unknown') AS origin FROM rows GROUP BY 1),
+keyed AS (SELECT *, 'fruits-vegetables-' || replace(kind, ' ', '-') || '-' || replace(origin, ' ', '-') || '-' || substr(sha1('{{"category": "fruits-and-vegetables", "origin": "' || origin || '", "produce_type": "' || kind
+  || '", "qualifiers": [' || array_to_string(list_transform(q, lambda x: '"' || x || '"'), ', ') || ']}}'), 1, 12) AS canonical_key FROM grouped)"""
+
+
+@query(_PRODUCE_MATCHES[:-1] + f"""), {_PRODUCE_GROUPS}, r AS (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY size DESC, first_id) AS n FROM keyed)
+SELECT canonical_key, max(CASE WHEN n = 1 THEN name END) AS canonical_name, 'Fruits & Vegetables' AS unified_category, max(CASE WHEN n = 1 THEN array_to_string(q, ',') END) AS variant_tokens, CAST(sum(size) AS BIGINT) AS member_count,
+array_to_string(list_sort(list_distinct(flatten(list(stores)))), ',') AS stores_present, CAST(max(CASE WHEN n = 1 THEN seen END) AS VARCHAR) AS first_seen_at, CAST(max(CASE WHEN n = 1 THEN last END) AS VARCHAR) AS last_seen_at FROM r GROUP BY 1""")
+def canonical_products_produce(spark, sf_dir):
+    products = resolve.match_produce(_produce(spark, sf_dir))[2]
+    lists = {c: F.array_join(c, ",") for c in ("variant_tokens", "stores_present")}
+    return products.withColumns(lists | {c: F.col(c).cast("string") for c in ("first_seen_at", "last_seen_at")})
+
+
+@query(_PRODUCE_MATCHES[:-1] + f"""), {_PRODUCE_GROUPS} SELECT canonical_key, id AS product_id, store, rows.name, CASE WHEN size = 1 THEN 1.0::DOUBLE END AS match_confidence FROM rows JOIN keyed USING (component)""")
+def canonical_members_produce(spark, sf_dir):
+    return resolve.match_produce(_produce(spark, sf_dir))[3]
+
+
 @query(with_sql(LISTINGS, _scored_sql(S.PACKAGED)) + """, ids AS (SELECT id FROM listings WHERE store = 's0'),
 near AS (SELECT least(product_id_a, product_id_b) AS low, greatest(product_id_a, product_id_b) AS high, match_score, match_status FROM matches
   WHERE match_status <> 'no_match' AND (product_id_a IN (SELECT id FROM ids) OR product_id_b IN (SELECT id FROM ids)))
