@@ -14,7 +14,8 @@ from ..functions import vocabulary as V
 from ..operators import commodity, features, learn, pricing, reports, resolve
 from ..operators.quantiles import quantiles
 from ..sources import sinks
-from ..sources.steps import written
+from ..sources.steps import shared_dir, written
+from ..sources.versions import Table
 from ..streaming import ingest
 from . import views
 from .views import COMMODITIES, LISTINGS, MART, OFFERS, PREFERRED, with_sql
@@ -543,6 +544,8 @@ def cut_trend(spark, sf_dir):
 
 # Upserts
 
+_MARTS_SQL = with_sql(OFFERS, PREFERRED, MART)
+
 
 def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Events as a table and a later delivery that overlaps it, keyed by user and type."""
@@ -568,10 +571,21 @@ def upsert_last_wins(spark, sf_dir):
     return sinks.upsert(old, new, ["user_id", "event_type"], ["event_id"]).drop("ts")
 
 
+@query(_MARTS_SQL + """SELECT canonical_product_id, CAST(scraped_date_sg AS VARCHAR) AS scraped_date_sg, unified_category, price_spread_sgd FROM marts
+WHERE unified_category NOT IN ('ECONOMY', 'SMALL') OR (unified_category = 'ECONOMY' AND price_spread_sgd > 1000)""")
+def slice_replace(spark, sf_dir):
+    """A table of marts by category, in whose second version one category has fewer rows and one has none."""
+    rows = written(marts(spark, sf_dir).select("canonical_product_id", "scraped_date_sg", "unified_category", "price_spread_sgd"))
+    table = Table(spark, shared_dir(spark, "table"), "unified_category")
+    table.replace(rows)
+    table.replace_slices(rows.filter("unified_category = 'ECONOMY' and price_spread_sgd > 1000"), ["ECONOMY", "SMALL"])
+    return table.read().withColumn("scraped_date_sg", F.col("scraped_date_sg").cast("string"))
+
+
 # Reports
 
 
-_MARTS = with_sql(OFFERS, PREFERRED, MART)
+_MARTS = _MARTS_SQL
 
 
 @query(_MARTS + """SELECT canonical_product_id, CAST(scraped_date_sg AS VARCHAR) AS scraped_date_sg, price_spread_sgd FROM marts

@@ -11,14 +11,19 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The table after new rows came in whose keys it had not; of new rows of one key the first."""
+def missing(existing: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The new rows whose keys the table has not; of new rows of one key the first."""
     fresh = first_per_key(new, keys, order)
     same = [fresh[k].eqNullSafe(existing[k]) for k in keys]
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    return existing.unionByName(fresh.join(existing, condition, "left_anti"))
+    return fresh.join(existing, condition, "left_anti")
+
+
+def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The table after new rows came in whose keys it had not; of new rows of one key the first."""
+    return existing.unionByName(missing(existing, new, keys, order))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -51,20 +56,6 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], format: str = "pa
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(format).save(path)
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside the table, then put it in its place; the table may be an input of ``df``."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    new, old, at = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}__new", f"{path}__old", path))
-    fs = at.getFileSystem(conf)
-    df.write.mode("overwrite").parquet(f"{path}__new")
-    if fs.exists(at):
-        fs.delete(old, True)
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.listings import RAW, unify
-from ..sources.sinks import insert_missing, replace_table
+from ..sources.sinks import missing
+from ..sources.versions import Table
 
 
 def unified_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,18 +20,14 @@ def unified_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Insert what the table lacks, for all files there are now."""
+    """Insert what the table (``sources.versions``) lacks, for all files there are now.
+
+    A micro-batch adds one version with its new rows alone; one that is tried again adds none twice.
+    """
 
     def insert(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema(batch.schema).parquet(table)
-            known.take(1)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], batch.schema)
-        replace_table(spark, insert_missing(known, batch, ["name", "store", "scraped_at"], ["product_url"]), table)
+        new = lambda known: missing(known, batch, ["name", "store", "scraped_at"], ["product_url"])
+        Table(batch.sparkSession, table).append(new, batch.schema)
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
