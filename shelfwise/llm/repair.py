@@ -37,6 +37,8 @@ from .files import opened, own_name
 
 #: Text bytes of one shard of a file.
 SHARD_BYTES = 8 << 20
+#: Input bytes of one file, as they are stored.
+FILE_BYTES = 128 << 20
 #: A rule must save more than it costs: it is three numbers, and each use saves one.
 USES = 4
 #: Ids that a symbol kept expanded while decoding stands for, at most.
@@ -44,7 +46,7 @@ SHORT = 16
 #: Symbols have 3 bytes.
 SYMBOLS = 1 << 24
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 END_ID = 2
 MAGIC = b"RPG1"
 
@@ -314,7 +316,9 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4])], [x.split()[0] for x in schema.split(", ")])
 
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # as many files as the input has parts of FILE_BYTES by Spark's estimate, and no fewer than tasks
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(parts, F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"), "text")
     index = materialize(rows.mapInArrow(run, schema), "ids-index")
