@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import commodity, features, learn, pricing, reports, resolve
 from ..operators.quantiles import quantiles
-from ..sources import sinks
+from ..sources import pages, sinks
 from ..sources.steps import shared_dir, written
 from ..sources.versions import Table
 from ..streaming import ingest
@@ -582,6 +582,17 @@ def slice_replace(spark, sf_dir):
     return table.read().withColumn("scraped_date_sg", F.col("scraped_date_sg").cast("string"))
 
 
+@query(with_sql(LISTINGS) + "SELECT id, store, name, price_sgd FROM listings WHERE store = 's1' AND id % 5 = 2")
+def paged_scan(spark, sf_dir):
+    """One store's listings of a day, from all listings as stored pages."""
+    folder = shared_dir(spark, "pages")
+    rows = views.listings(spark, sf_dir).select("id", "store", "name", "price_sgd", "category", "scraped_at")
+    pages.write_pages(rows, folder, "id")
+    table = pages.paged_table(spark, folder, rows.schema, key="id")
+    day = [F.to_timestamp_ntz(F.lit(f"2026-04-0{d} 00:00:00")) for d in (3, 4)]
+    return table.filter((F.col("store") == "s1") & (F.col("scraped_at") >= day[0]) & (F.col("scraped_at") < day[1])).select("id", "store", "name", "price_sgd")
+
+
 # Reports
 
 
