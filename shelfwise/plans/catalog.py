@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import commodity, features, learn, pricing, reports, resolve
 from ..operators.quantiles import quantiles
-from ..sources import pages, sinks
+from ..sources import cards, pages, sinks
 from ..sources.steps import shared_dir, written
 from ..sources.versions import Table
 from ..streaming import ingest
@@ -593,6 +593,29 @@ def paged_scan(spark, sf_dir):
     return table.filter((F.col("store") == "s1") & (F.col("scraped_at") >= day[0]) & (F.col("scraped_at") < day[1])).select("id", "store", "name", "price_sgd")
 
 
+@query(with_sql(LISTINGS) + """SELECT id // 40 AS page, name || ' ' || unit AS name, split_part(name, ' ', 1) AS brand, unit, price_sgd,
+CASE WHEN id % 3 = 0 THEN round(price_sgd + 1.25, 2) END AS original_price_sgd, CASE WHEN id % 3 = 0 THEN 1.25::DOUBLE END AS discount_sgd,
+CASE WHEN id % 2 = 0 THEN 'Buy 2 | Save & win' END AS promo_text, 'https://coldstorage.com.sg/p/' || id AS product_url FROM listings WHERE id % 7 <> 5""")
+def listing_cards(spark, sf_dir):
+    """Listings from pages of 40 product cards each, with nested markup, former prices, cards without price and repeated cards."""
+    item, price = "product-item_product-item__", "product-price_product-price__price__qk_1n"
+    l = views.listings(spark, sf_dir)  # noqa: E741
+    key = F.col("id").cast("string")
+    amount = lambda value: F.format_string("$<b>%.2f</b>", value)
+    card = F.concat(
+        F.lit(f'<div data-n="1" class="x {item}BWbnO"><a href="/p/'), key, F.lit(f'" class="{item}details__wi7dH"><p class="{item}name__piwWX">'), F.col("name"), F.lit(" <i>"), F.col("unit"), F.lit("</i></p></a>"),
+        F.when(F.col("id") % 2 == 0, f'<div class="{item}blurbs__yInZN"><b class="blurb_blurb__oN_zE">Buy 2</b><b class="blurb_blurb__oN_zE">Save &amp; win</b></div>').otherwise(""),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit(f"<s class='{price} is-price--original'>"), amount(F.col("price_sgd") + 1.25), F.lit("</s>"))).otherwise(""),
+        F.when(F.col("id") % 7 != 5, F.concat(F.lit(f'<span class="{price}">'), amount(F.col("price_sgd")), F.lit("</span>"))).otherwise(""),
+        F.lit("</div>"),
+    )
+    page = F.floor(F.col("id") / 40)
+    pages_of = l.select(page.alias("page"), F.struct("id", F.concat(card, F.when(F.col("id") % 5 == 0, card).otherwise("")).alias("card")).alias("c")).groupBy("page")
+    html = pages_of.agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["card"]), "\n").alias("html"))
+    out = cards.card_listings(html, "coldstorage")
+    return out.select("page", "name", "brand", "unit", "price_sgd", "original_price_sgd", "discount_sgd", "promo_text", "product_url")
+
+
 # Reports
 
 

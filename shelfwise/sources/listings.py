@@ -98,11 +98,6 @@ def from_records(records: Column) -> Column:
     )
 
 
-def price_in(text: Column) -> Column:
-    """The number that a price's text shows."""
-    return C.to_float(F.regexp_replace(text, "[^0-9.]", ""))
-
-
 #: Words of lines that are no name, lines that say a listing is not sold, ends of sizes.
 NO_NAME = ["save", "off", "buy", "any", "spend", "multiple promo", "sold"]
 SIZE_ENDS = [" g", " kg", " ml", " l"]
@@ -142,13 +137,6 @@ def from_lines(text: Column) -> Column:
     return F.when(price.isNotNull() & name.isNotNull(), fields)
 
 
-def from_cards(html: Column, link: str = r'href="([^"]*)"', name: str = r'class="[^"]*name[^"]*"[^>]*>([^<]*)<', price: str = r'class="[^"]*price[^"]*"[^>]*>([^<]*)<') -> Column:
-    """Name, prices, discount and url of a product card's markup, as a struct."""
-    prices = F.regexp_extract_all(html, F.lit(price), F.lit(1))
-    now, before = price_in(F.try_element_at(prices, F.lit(1))), price_in(F.try_element_at(prices, F.lit(2)))
-    return F.struct(C.clean_text(F.regexp_extract(html, name, 1)).alias("name"), now.alias("price_sgd"), before.alias("original_price_sgd"), C.compute_discount(now, before).alias("discount_sgd"), F.nullif(F.regexp_extract(html, link, 1), F.lit("")).alias("product_url"))
-
-
 def validated(rows: DataFrame) -> DataFrame:
     """Trimmed text, numbers as numbers, and a discount where the prices tell one."""
     fields = {f.name: C.clean_text(F.col(f.name)) for f in rows.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in ("price_sgd", "original_price_sgd", "discount_sgd")}
