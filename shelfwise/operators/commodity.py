@@ -69,6 +69,31 @@ def comparison(rows: DataFrame, tolerance: float = TOLERANCE, least_stores: int
     )
 
 
+#: What stored comparisons tell of each store's offer.
+OFFER = "struct<price_sgd double, weight_g double, unit_price_per_100g double>"
+
+
+def offers_of_text(rows: DataFrame, keys: list[str], text: str = "store_prices") -> tuple[DataFrame, DataFrame]:
+    """Offers of each store from comparisons' text (a JSON object of objects), and what is no offer.
+
+    Offers have the keys, store, price, weight and unit price; those without a unit price, or with one
+    of 0, tell nothing and are left out. Apart go, as they stand, texts that are no object (without a
+    store) and entries that are no object of numbers; null texts have neither.
+    """
+    entries = F.from_json(text, "map<string,string>")
+    kept = rows.select(*keys, F.col(text).alias("_text"), entries.alias("_entries"))
+    # a text that is no object parses to null or to no entry
+    strange = F.col("_entries").isNull() | ((F.size("_entries") == 0) & ~F.col("_text").rlike(r"^\s*\{\s*\}\s*$"))
+    whole = kept.filter(F.col("_text").isNotNull() & strange).select(*keys, F.lit(None).cast("string").alias("store"), F.col("_text").alias("entry"))
+    each = kept.filter(~strange).select(*keys, F.explode("_entries").alias("store", "entry"))
+    each = each.withColumn("offer", F.from_json("entry", OFFER))
+    # fields that are there but no number parse to null
+    numbers = [F.col(f"offer.{c}").isNotNull() | F.coalesce(F.get_json_object("entry", f"$.{c}"), F.lit("null")).isin("null") for c in ("price_sgd", "weight_g", "unit_price_per_100g")]
+    fine = F.coalesce(F.col("entry").rlike(r"^\s*\{") & numbers[0] & numbers[1] & numbers[2], F.lit(False))
+    offers = each.filter(fine).select(*keys, "store", "offer.*").filter("unit_price_per_100g <> 0")
+    return offers, whole.unionByName(each.filter(~fine).select(*keys, "store", "entry"))
+
+
 def unit_price_extremes(comparisons: DataFrame) -> DataFrame:
     """Per cut the stores with the lowest and highest unit price, and the spread, where there is one."""
     offers = comparisons.select("cut", F.explode("store_prices").alias("store", "offer")).select("cut", "store", F.col("offer.unit_price_per_100g").alias("unit_price")).filter("unit_price > 0")

@@ -93,7 +93,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Mean absolute error, root mean squared error and R², one row."""
     e = F.col(actual) - F.col(predicted)
     sums = df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e * e).alias("_mse"), F.var_pop(actual).alias("_var"), F.count("*").alias("n"))
-    return sums.select("mae", "rmse", (1 - F.col("_mse") / F.col("_var")).alias("r2"), "n")
+    return sums.select("mae", "rmse", (1 - F.col("_mse") / F.nullif("_var", F.lit(0.0))).alias("r2"), "n")
 
 
 def deal_status(difference: Column, percent: Column, threshold: Column) -> Column:

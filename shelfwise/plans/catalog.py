@@ -11,7 +11,7 @@ from ..functions import clean as C
 from ..functions import score as S
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import commodity, features, learn, pricing, reports, resolve
+from ..operators import commodity, features, learn, model_runs, pricing, reports, resolve
 from ..operators.quantiles import quantiles
 from ..sources import cards, pages, sinks
 from ..sources.steps import shared_dir, written
@@ -535,6 +535,14 @@ def unit_price_extremes(spark, sf_dir):
     return commodity.unit_price_extremes(commodity.comparison(views.commodities(spark, sf_dir)))
 
 
+@query(with_sql(COMMODITIES, _COMPARED) + """SELECT n.cut, n.frozen_flag, n.store, n.price_sgd, n.weight_g, round(n.price_sgd / n.weight_g * 100, 4) AS unit_price_per_100g
+FROM near n JOIN compared c USING (cut, frozen_flag) WHERE n.n = 1 AND n.price_sgd > 0""")
+def offers_from_text(spark, sf_dir):
+    """Offers of all stores from the comparisons' maps written as text."""
+    compared = commodity.comparison(views.commodities(spark, sf_dir)).select("cut", "frozen_flag", F.to_json("store_prices").alias("store_prices"))
+    return commodity.offers_of_text(compared, ["cut", "frozen_flag"])[0]
+
+
 @query(with_sql(COMMODITIES) + "SELECT cut, frozen_flag, CAST(scraped_date AS VARCHAR) AS scraped_date, round(avg(price_sgd / weight_g * 100), 6) AS mean_unit_price, count(*) AS n FROM commodities GROUP BY 1, 2, 3")
 def cut_trend(spark, sf_dir):
     unit = F.col("price_sgd") / F.col("weight_g") * 100
@@ -810,6 +818,36 @@ def _deals(spark, sf_dir) -> DataFrame:
     return features.deals(_series(spark, sf_dir).filter("mean_3 is not null").withColumn("predicted_price", F.col("mean_3")), 1000.0)
 
 
+_CENTS = "round(CAST(CAST(round({0}, 6) AS VARCHAR) AS DECIMAL(38, 20)), 2)::DOUBLE"
+
+
+@query(with_sql(OFFERS, PREFERRED, _SERIES) + f""", p AS (SELECT *, row_number() OVER (ORDER BY scraped_date_sg, canonical_product_id, store) AS k, count(*) OVER () AS total FROM lagged WHERE mean_3 IS NOT NULL),
+tested AS (SELECT * FROM p WHERE k > floor(total * 0.8::DOUBLE)), error AS (SELECT avg(abs(price_sgd - mean_3)) AS mae FROM tested),
+cents AS (SELECT *, {_CENTS.format('price_sgd')} AS actual, {_CENTS.format('mean_3')} AS predicted FROM tested),
+apart AS (SELECT *, {_CENTS.format('actual - predicted')} AS difference FROM cents), rated AS (SELECT *, {_CENTS.format('difference / predicted * 100')} AS percent FROM apart)
+SELECT canonical_product_id, store, CAST(scraped_date_sg AS VARCHAR) AS scraped_date_sg, predicted AS predicted_price, difference, percent,
+CASE WHEN difference <= -mae AND percent <= -5 THEN 'Good deal' WHEN difference >= mae AND percent >= 5 THEN 'Overpriced' ELSE 'Normal price' END AS deal FROM rated, error""")
+def model_run_deals(spark, sf_dir):
+    """Two runs on the last fifth of the series, by the last price and by the mean of three; deals by the newer one's error."""
+    rows = _series(spark, sf_dir).filter("mean_3 is not null")
+    tested = written(features.positional_split(rows, ["canonical_product_id", "store", "scraped_date_sg"], date="scraped_date_sg").filter("not is_train"))
+    tables = model_runs.ModelTables(spark, shared_dir(spark, "models"))
+    tables.store_run(tested.withColumn("predicted_price", F.col("prev_price")), "2026-04-01")
+    tables.store_run(tested.withColumn("predicted_price", F.col("mean_3")), "2026-04-02")
+    return tables.deals().select("canonical_product_id", "store", *text("scraped_date_sg"), "predicted_price", "difference", "percent", "deal")
+
+
+@query(with_sql(OFFERS, _FEATURES, _TIERS) + f"""SELECT canonical_product_id, CASE WHEN canonical_product_id % 3 = 0 THEN 'Budget' ELSE tier END AS price_tier, round(mean_price, 4) AS mean_price, num_prices AS num_observations, num_stores,
+{_ADVICE_SQL.replace('tier =', "CASE WHEN canonical_product_id % 3 = 0 THEN 'Budget' ELSE tier END =")} AS shopping_advice FROM tiers""")
+def stored_clusters(spark, sf_dir):
+    """Clusters of a run that takes all products for cheap, and of a later one with a part of the products."""
+    tiers = written(_tiers(spark, sf_dir))
+    tables = model_runs.ModelTables(spark, shared_dir(spark, "models"))
+    tables.store_clusters(tiers.withColumn("tier", F.lit("Budget")))
+    tables.store_clusters(tiers.filter("canonical_product_id % 3 <> 0"))
+    return tables.clusters.read().select("canonical_product_id", "price_tier", "mean_price", "num_observations", "num_stores", "shopping_advice")
+
+
 @query(with_sql(OFFERS, PREFERRED, _SERIES, _DEALS) + "SELECT k.deal, count(d.deal) AS n FROM (SELECT unnest(['Good deal', 'Normal price', 'Overpriced']) AS deal) k LEFT JOIN deals d USING (deal) GROUP BY 1")
 def deal_status(spark, sf_dir):
     return features.deal_counts(_deals(spark, sf_dir))
