@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..functions import registered
 from ..functions import score as S
 from ..functions import text as T
 from ..functions import vocabulary as V
@@ -274,6 +275,21 @@ def cut_extract(spark, sf_dir):
     return _named(spark, sf_dir).select("p_partkey", T.cut_of(T.normalize_loose(F.col("name"))).alias("cut"), T.is_frozen(F.col("name")).alias("frozen"))
 
 
+@query(rf"""
+WITH t AS (SELECT p_partkey, p_name, p_retailprice, {_SIZE_TEXT} AS s FROM part),
+p AS (SELECT *, regexp_extract(s, '(\d+)\s*x\s*(\d+(?:\.\d+)?)\s*(ml|l|g|kg)', ['n', 'v', 'u']) AS m, regexp_extract(s, '(\d+(?:\.\d+)?)\s*(ml|l|g|kg)', ['v', 'u']) AS o, regexp_extract(s, '(\d+)\s*s\b', 1) AS k FROM t),
+q AS (SELECT *, CASE WHEN m.n <> '' THEN TRY_CAST(m.n AS DOUBLE) * TRY_CAST(m.v AS DOUBLE) * CASE WHEN m.u IN ('l', 'kg') THEN 1000 ELSE 1 END
+  WHEN o.v <> '' THEN TRY_CAST(o.v AS DOUBLE) * CASE WHEN o.u IN ('l', 'kg') THEN 1000 ELSE 1 END ELSE TRY_CAST(k AS DOUBLE) END AS total, coalesce(nullif(m.u, ''), nullif(o.u, ''), 'count') AS u FROM p)
+SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS slug, round(total, 2) AS total, CASE WHEN u IN ('g', 'kg') THEN 'g' WHEN u IN ('l', 'ml') THEN 'ml' ELSE 'count' END AS unit,
+CASE WHEN u IN ('g', 'kg') THEN round(p_retailprice / total * 100, 4) END AS unit_price, printf('$%.2f', p_retailprice) AS shown FROM q""")
+def sql_functions(spark, sf_dir):
+    """Sizes, keys and unit prices of parts by ``spark.sql`` with the functions' names."""
+    registered.register(spark)
+    views.table(spark, sf_dir, "part").createOrReplaceTempView("shelfwise_part")
+    return spark.sql(f"""WITH t AS (SELECT *, {_SIZE_TEXT} AS s FROM shelfwise_part)
+SELECT p_partkey, slug(p_name) AS slug, size_total(s) AS total, size_unit(s) AS unit, unit_price(p_retailprice, weight_g(s)) AS unit_price, price_text(p_retailprice) AS shown FROM t""")
+
+
 # Similarity
 
 
