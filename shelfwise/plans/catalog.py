@@ -12,7 +12,7 @@ from ..functions import registered
 from ..functions import score as S
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import commodity, features, learn, model_runs, pricing, reports, resolve
+from ..operators import commodity, features, learn, model_runs, pricing, reports, resolve, runs
 from ..operators.quantiles import quantiles
 from ..sources import cards, pages, sinks
 from ..sources.steps import shared_dir, written
@@ -359,8 +359,8 @@ matches AS (SELECT product_id_a, product_id_b, store_a, store_b, name_a, name_b,
     CASE WHEN final >= {s.strong[0]} AND title >= {s.strong[1]} THEN 'strong_match' WHEN final >= {s.review} THEN 'review' ELSE 'no_match' END AS match_status FROM scored)"""
 
 
-_MATCHES = "SELECT product_id_a, product_id_b, store_a, store_b, size_score, title_score, variant_score, packaging_score, match_score, match_status FROM matches WHERE match_status <> 'no_match'"
-_MATCH_COLUMNS = ["product_id_a", "product_id_b", "store_a", "store_b", "size_score", "title_score", "variant_score", "packaging_score", "match_score", "match_status"]
+_MATCHES = "SELECT product_id_a, product_id_b, store_a, store_b, 1.0::DOUBLE AS brand_score, size_score, title_score, variant_score, packaging_score, match_score, match_status FROM matches WHERE match_status <> 'no_match'"
+_MATCH_COLUMNS = ["product_id_a", "product_id_b", "store_a", "store_b", "brand_score", "size_score", "title_score", "variant_score", "packaging_score", "match_score", "match_status"]
 
 
 @query(with_sql(LISTINGS, _scored_sql(S.PACKAGED)) + _MATCHES)
@@ -463,24 +463,52 @@ def components(spark, sf_dir):
     return resolve.components(listings, resolve.reciprocal_best(_pairs(spark, sf_dir)))
 
 
-@query()
+#: Canonical products of the groups: a row for each key, members by id. The listings' sizes are grams of one piece.
+_CANONICAL = _BEST + ", " + _REACH + """, grouped AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+rows AS (SELECT p.*, component, TIMESTAMP '2026-04-01 00:00:00' + to_days(CAST(id % 5 AS INTEGER)) AS seen,
+  row_number() OVER (PARTITION BY component ORDER BY len(core) DESC, length(name) DESC, id) AS k FROM parsed p JOIN grouped USING (id)),
+brands AS (SELECT component, brand AS top_brand FROM (SELECT component, brand, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, length(brand) DESC, min(id)) AS n FROM rows GROUP BY component, brand) WHERE n = 1),
+packs AS (SELECT component, packaging AS pack FROM (SELECT component, packaging, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, min(id)) AS n FROM rows WHERE packaging IS NOT NULL GROUP BY component, packaging) WHERE n = 1),
+groups AS (SELECT component, max(CASE WHEN k = 1 THEN name END) AS name, max(CASE WHEN k = 1 THEN normal END) AS normal, count(*) AS member_count, max(size) AS size, min(seen) AS first_seen, max(seen) AS last_seen, list(store) AS stores, list(id) AS ids,
+  list_sort(list_distinct(flatten(list(core))))[1:8] AS core, list_sort(list_distinct(flatten(list(list_filter(string_split(variants, ','), lambda x: x <> ''))))) AS variants FROM rows GROUP BY 1),
+keyed AS (SELECT *, 'beverages-' || substr(top_brand, 1, 20) || '-' || substr(sha1('{"brand": "' || top_brand || '", "category": "beverages", "core_tokens": [' || array_to_string(list_transform(core, lambda x: '"' || x || '"'), ', ')
+  || '], "name": "' || normal || '", "pack_count": 1, "packaging": "' || coalesce(pack, 'na') || '", "size_total": "' || CAST(size AS BIGINT) || '", "size_unit": "g", "variant_tokens": ['
+  || array_to_string(list_transform(variants, lambda x: '"' || x || '"'), ', ') || ']}'), 1, 12) AS canonical_key FROM groups JOIN brands USING (component) LEFT JOIN packs USING (component)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY member_count DESC, component) AS n FROM keyed),
+products AS (SELECT canonical_key, arg_max(name, length(name) * 1000000 - n) AS canonical_name, max(CASE WHEN n = 1 THEN top_brand END) AS brand, 'Beverages' AS unified_category, max(CASE WHEN n = 1 THEN size END) AS size_total_value,
+  'g' AS size_base_unit, max(CASE WHEN n = 1 THEN CAST(size AS BIGINT) || 'g' END) AS size_display, 1 AS pack_count, max(CASE WHEN n = 1 THEN pack END) AS packaging, array_to_string(list_sort(list_distinct(flatten(list(variants)))), ',') AS variant_tokens,
+  CAST(sum(member_count) AS BIGINT) AS member_count, array_to_string(list_sort(list_distinct(flatten(list(stores)))), ',') AS stores_present, array_to_string(list_sort(list_distinct(flatten(list(ids)))), ',') AS source_product_ids,
+  CAST(min(first_seen) AS VARCHAR) AS first_seen_at, CAST(max(last_seen) AS VARCHAR) AS last_seen_at FROM ranked GROUP BY 1)"""
+_MATCHED = with_sql(LISTINGS, _scored_sql(S.PACKAGED), _CANONICAL)
+
+
+@query(_MATCHED + "SELECT * FROM products")
 def canonical_products(spark, sf_dir):
     products = resolve.match(views.listings(spark, sf_dir), "Beverages")[2]
-    lists = [c for c in ("variant_tokens", "stores_present", "source_product_ids")]
-    return products.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in lists}).withColumns({c: F.col(c).cast("string") for c in ("first_seen_at", "last_seen_at")})
+    lists = ("variant_tokens", "stores_present", "source_product_ids")
+    return products.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in lists} | {c: F.col(c).cast("string") for c in ("first_seen_at", "last_seen_at")})
 
 
-@query()
+@query(_MATCHED + "SELECT canonical_key, rows.id AS product_id, store, CASE WHEN member_count = 1 THEN 1.0::DOUBLE END AS match_confidence FROM rows JOIN keyed USING (component)")
 def canonical_members(spark, sf_dir):
     return resolve.match(views.listings(spark, sf_dir), "Beverages")[3].select("canonical_key", "product_id", "store", "match_confidence")
 
 
-@query(with_sql(LISTINGS, _scored_sql(S.PACKAGED), _BEST) + """
-SELECT (SELECT count(*) FROM listings) AS input_products, count_if(match_status = 'strong_match') AS strong_match_pairs_raw, count_if(match_status = 'review') AS review_pairs, (SELECT count(*) FROM best) AS strong_match_pairs FROM matches""")
+@query(_MATCHED + """
+SELECT (SELECT count(*) FROM listings) AS input_products, count_if(match_status = 'strong_match') AS strong_match_pairs_raw, count_if(match_status = 'review') AS review_pairs, (SELECT count(*) FROM best) AS strong_match_pairs,
+(SELECT count(*) FROM products) AS canonical_groups, (SELECT count_if(contains(stores_present, ',')) FROM products) AS cross_store_groups FROM matches""")
 def match_summary(spark, sf_dir):
     listings = views.listings(spark, sf_dir)
     pairs, best, products, _ = resolve.match(listings, "Beverages")
-    return resolve.run_summary(listings, pairs, best, products).select("input_products", "strong_match_pairs_raw", "review_pairs", "strong_match_pairs")
+    return resolve.run_summary(listings, pairs, best, products)
+
+
+@query(_MATCHED + """SELECT row_number() OVER (ORDER BY member_count DESC, CAST(split_part(source_product_ids, ',', 1) AS BIGINT)) AS position, canonical_key, member_count FROM products""")
+def run_artifacts(spark, sf_dir):
+    """The products file of a run, read again: largest groups first."""
+    folder = shared_dir(spark, "run")
+    runs.write_run(views.listings(spark, sf_dir), "Beverages", folder)
+    return runs.read_artifact(spark, folder, "canonical_products", "position bigint, canonical_key string, member_count bigint")
 
 
 _PRODUCE_GROUPS = f"""{_BEST}, {_REACH}, groups AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),

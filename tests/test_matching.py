@@ -115,3 +115,27 @@ def test_pairs_of_first_listings_stand_for_all(spark):
     as_named = expanded.withColumns({c: F.regexp_replace(c, r" \d+$", "") for c in ("name_a", "name_b")})
     key = lambda d: sorted(map(tuple, resolve.reciprocal_best(d).select("product_id_a", "product_id_b").collect()))
     assert key(pairs) == key(as_named)
+
+
+def test_run_files_are_in_order(spark, tmp_path):
+    from shelfwise.operators import runs
+
+    names = ["pokka green tea", "pokka green tea", "oat milk", "acme oat milk", "jasmine"]
+    rows = [(i, f"s{i % 3}", names[i % 5], "pokka" if i % 5 < 2 else "acme", "100g", 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, store string, name string, brand string, unit string, price_sgd double").withColumn("scraped_at", F.lit("2026-01-01").cast("timestamp"))
+    folder = f"file://{tmp_path}/run"
+    for _ in range(2):  # a run that is written again replaces its files
+        summary = runs.write_run(df, "Dairy", folder).first()
+    products = runs.read_artifact(spark, folder, "canonical_products", "position int, canonical_key string, member_count int, source_product_ids array<int>").orderBy("position").collect()
+    assert [p.position for p in products] == list(range(1, len(products) + 1))
+    order = [(-p.member_count, p.source_product_ids[0]) for p in products]
+    assert order == sorted(order) and sum(p.member_count for p in products) == 30
+    members = runs.read_artifact(spark, folder, "canonical_product_members", "position int, canonical_key string, store string, product_id int").orderBy("position").collect()
+    place = {p.canonical_key: p.position for p in products}
+    order = [(place[m.canonical_key], m.store, m.product_id) for m in members]
+    assert order == sorted(order) and len(members) == 30
+    pairs = runs.read_artifact(spark, folder, "strong_match_pairs", "position int, match_score double, product_id_a int").orderBy("position").collect()
+    assert len(pairs) == summary.strong_match_pairs and [p.match_score for p in pairs] == sorted((p.match_score for p in pairs), reverse=True)
+    top = runs.read_artifact(spark, folder, "top_pairs", "position int, match_score double")
+    assert top.count() == min(20, summary.strong_match_pairs_raw + summary.review_pairs)
+    assert runs.read_artifact(spark, folder, "summary", "canonical_groups int, category string").collect() == [(len(products), "Dairy")]
