@@ -6,6 +6,8 @@ random sample, trees in parallel, scores by a function that all tasks share.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import sinks
+from ..sources.steps import written
+from .quantiles import quantiles
 
 TIERS = ("Budget", "Mid-range", "Premium")
 TIER_FEATURES = ["mean_price", "median_price"]
@@ -68,11 +72,20 @@ def _path(n) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, r: np.random.Generator, most: int) -> list[tuple[int, float, int, int, float]]:
-    """An isolation tree as rows (feature, limit, left, right, depth); leaves have feature -1."""
+def draw(*parts) -> float:
+    """A number from 0 up to 1 that depends on the parts alone: the start of the MD5 of their text."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2.0**32
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, most: int) -> list[tuple[int, float, int, int, float]]:
+    """An isolation tree as rows (feature, limit, left, right, depth); leaves have feature -1.
+
+    A node's number tells its place: the root is 1, those below node i are 2 i and 2 i + 1. By seed, tree
+    and number it draws its feature, of those whose values differ, and its limit between their ends.
+    """
     nodes: list = []
 
-    def grow(rows: np.ndarray, depth: int) -> int:
+    def grow(rows: np.ndarray, depth: int, number: int) -> int:
         me = len(nodes)
         nodes.append(None)
         low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
@@ -80,14 +93,14 @@ def _grow(x: np.ndarray, r: np.random.Generator, most: int) -> list[tuple[int, f
         if depth >= most or len(rows) <= 1 or not len(open_):
             nodes[me] = (-1, 0.0, 0, 0, depth + float(_path(len(rows))))
             return me
-        f = int(r.choice(open_))
-        limit = float(r.uniform(low[f], high[f]))
-        left = grow(rows[rows[:, f] < limit], depth + 1)
-        right = grow(rows[rows[:, f] >= limit], depth + 1)
+        f = int(open_[int(draw(seed, tree, number, "feature") * len(open_))])
+        limit = float(low[f] + draw(seed, tree, number, "limit") * (high[f] - low[f]))
+        left = grow(rows[rows[:, f] < limit], depth + 1, 2 * number)
+        right = grow(rows[rows[:, f] >= limit], depth + 1, 2 * number + 1)
         nodes[me] = (f, limit, left, right, 0.0)
         return me
 
-    grow(x, 0)
+    grow(x, 0, 1)
     return nodes
 
 
@@ -104,24 +117,28 @@ def _depths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
 def isolation_forest(features: DataFrame, key: str = "canonical_product_id", trees: int = 200, sample: int = 256, contamination: float = 0.03, seed: int = 42) -> DataFrame:
     """Features with anomaly score (lower is odder) and flag (-1 for the share ``contamination`` of rows).
 
-    Each tree's sample is the rows with the smallest hashes of key and tree, so it is the same however
-    the rows are dealt. A forest is bounded by trees and sample, whatever the number of rows.
+    Each tree's sample is the rows with the smallest hashes of seed, tree and key, so it is the same
+    however the rows are dealt. A forest is bounded by trees and sample, whatever the number of rows.
+    Features count to six places and scores to nine, so last digits of means decide nothing.
     """
-    spark, columns = features.sparkSession, ANOMALY_FEATURES
-    n = features.count()
+    columns = ANOMALY_FEATURES
+    features = written(features)
+    spark, n = features.sparkSession, features.count()
     size = min(sample, n)
     if not size:
         return features.withColumns({"score": F.lit(0.0), "flag": F.lit(1)})
-    # a few times the sample by a hash limit, then exactly the smallest
-    share = min(1.0, 4.0 * size / n)
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1 << 30))
-    rows = features.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_draw", draw).filter(F.col("_draw") < int(share * (1 << 30)) + 1)
+    # a few times the sample by a hash limit, then exactly the smallest; a row stands only in the trees that draw it
+    share = int(min(1.0, 4.0 * size / n) * (1 << 32)) + 1
+    places = lambda c: F.round(F.col(c).cast("double"), 6)
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.md5(F.concat_ws(":", F.lit(str(seed)), t.cast("string"), F.col(key).cast("string"))).alias("draw")))
+    drawn = F.filter(hashed, lambda h: F.conv(F.substring(h["draw"], 1, 8), 16, 10).cast("long") < share)
+    rows = features.select(key, *[places(c).alias(c) for c in columns], F.explode(drawn).alias("_d")).select(key, *columns, "_d.*")
     most = int(np.ceil(np.log2(max(2, size))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["_draw", key]).head(size)
-        found = _grow(pdf[columns].to_numpy(float), np.random.default_rng([seed, t]), most)
+        pdf = pdf.sort_values(["draw", key]).head(size)
+        found = _grow(pdf[columns].to_numpy(float), seed, t, most)
         return pd.DataFrame(found, columns=["feature", "split", "below", "above", "depth"]).assign(tree=t, node=range(len(found)))
 
     schema = "feature int, split double, below int, above int, depth double, tree int, node int"
@@ -134,9 +151,10 @@ def isolation_forest(features: DataFrame, key: str = "canonical_product_id", tre
         x = np.column_stack([p.to_numpy(float) for p in parts])
         return pd.Series(-(2.0 ** (-np.mean([_depths(t, x) for t in forest.value], axis=0) / norm)))
 
-    scored = features.withColumn("raw_score", anomaly(*[F.col(c).cast("double") for c in columns]))
-    limit = scored.agg(F.percentile_approx("raw_score", contamination, 10_000).alias("_limit"))  # one row
-    return scored.crossJoin(F.broadcast(limit)).withColumns({"score": F.col("raw_score") - F.col("_limit"), "flag": F.when(F.col("raw_score") < F.col("_limit"), -1).otherwise(1)}).drop("raw_score", "_limit")
+    scored = written(features.withColumn("raw_score", F.round(anomaly(*[places(c) for c in columns]), 9)))
+    limit = quantiles(scored, ["raw_score"], [contamination]).select(F.round(F.col("q")[0], 9).alias("_limit"))  # one row
+    out = scored.crossJoin(F.broadcast(limit))
+    return out.withColumns({"score": F.col("raw_score") - F.col("_limit"), "flag": F.when(F.col("raw_score") < F.col("_limit"), -1).otherwise(1)}).drop("raw_score", "_limit")
 
 
 def price_model(series: DataFrame, trees: int = 200, depth: int = 12):

@@ -13,7 +13,6 @@ from ..functions import score as S
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import commodity, features, learn, model_runs, pricing, reports, resolve, runs
-from ..operators.quantiles import quantiles
 from ..sources import cards, pages, sinks
 from ..sources.steps import shared_dir, written
 from ..sources.versions import Table
@@ -943,11 +942,6 @@ def kmeans_sweep(spark, sf_dir):
     return learn.kmeans_sweep(_features(spark, sf_dir))
 
 
-@query()
-def isolation_forest(spark, sf_dir):
-    return learn.isolation_forest(_features(spark, sf_dir)).select("canonical_product_id", "score", "flag")
-
-
 @query()
 def rf_price_model(spark, sf_dir):
     rows = features.within_fences(_series(spark, sf_dir).filter("mean_3 is not null"), ["price_sgd"])
@@ -956,38 +950,74 @@ def rf_price_model(spark, sf_dir):
     return out.select("canonical_product_id", "store", *text("scraped_date_sg"), "price_sgd", "predicted_price", "abs_error")
 
 
-@query()
-def forest_anomalies(spark, sf_dir):
-    found = learn.isolation_forest(_features(spark, sf_dir))
-    return rounded(reports.top_anomalies(found).select("canonical_product_id", "canonical_name", "unified_category", "mean_price", "price_range", "cv", "num_stores", "score"), "score")
+# The isolation forest and its reports
+
+
+def _forest_sql(trees: int = 200, sample: int = 256, share: float = 0.03, seed: int = 42) -> str:
+    """The forest of ``learn.isolation_forest`` level by level: trees draw by hashes, so SQL grows the same ones."""
+    columns, most = ["mean_price", "price_range", "cv", "num_stores"], 8
+    drawn = lambda what: f"(('0x' || substr(md5('{seed}:' || tree || ':' || node || ':{what}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    path = "CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329::DOUBLE) - 2 * (n - 1) / n::DOUBLE WHEN n = 2 THEN 1.0 ELSE 0.0 END::DOUBLE"
+    ends = ", ".join(f"min(x[{i + 1}]) AS l{i}, max(x[{i + 1}]) AS h{i}" for i in range(4))
+    open_ = "list_filter([" + ", ".join(f"CASE WHEN h{i} > l{i} THEN {i + 1} END" for i in range(4)) + "], lambda i: i IS NOT NULL)"
+    lows, highs = "[" + ", ".join(f"l{i}" for i in range(4)) + "]", "[" + ", ".join(f"h{i}" for i in range(4)) + "]"
+    parts = [
+        f"points AS (SELECT *, [{', '.join(f'round({c}::DOUBLE, 6)' for c in columns)}] AS x FROM features)",
+        f"""s0 AS (SELECT tree, x, 1 AS node FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY md5('{seed}:' || tree || ':' || canonical_product_id)) AS k
+  FROM points, range({trees}) t(tree)) WHERE k <= {sample})""",
+        f"deepest AS (SELECT ceil(log2(greatest(2, least({sample}, count(*)))::DOUBLE)) AS most, least({sample}, count(*)) AS n FROM points)",
+    ]
+    for k in range(most):
+        parts += [
+            f"n{k} AS (SELECT tree, node, count(*) AS n, {ends} FROM s{k} GROUP BY tree, node)",
+            f"d{k} AS (SELECT tree, node, n, {open_} AS free, {lows} AS low, {highs} AS high FROM n{k})",
+            f"c{k} AS (SELECT tree, node, f, low[f] + {drawn('limit')} * (high[f] - low[f]) AS cut FROM (SELECT *, free[1 + CAST(floor({drawn('feature')} * len(free)) AS INTEGER)] AS f FROM d{k} WHERE n > 1 AND len(free) > 0 AND {k} < (SELECT most FROM deepest)))",
+            f"e{k} AS (SELECT tree, node, {k} + {path} AS depth FROM d{k} WHERE n <= 1 OR len(free) = 0 OR {k} >= (SELECT most FROM deepest))",
+            f"s{k + 1} AS (SELECT s.tree, x, 2 * s.node + CASE WHEN x[f] < cut THEN 0 ELSE 1 END AS node FROM s{k} s JOIN c{k} c ON s.tree = c.tree AND s.node = c.node)",
+        ]
+    parts.append(f"e{most} AS (SELECT tree, node, {most} + {path} AS depth FROM (SELECT tree, node, count(*) AS n FROM s{most} GROUP BY tree, node))")
+    # a side of a cut without rows in the sample is a leaf as well
+    parts.append("cuts AS (" + " UNION ALL ".join(f"SELECT *, {k} AS level FROM c{k}" for k in range(most)) + ")")
+    parts.append("ends AS (" + " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(most + 1)) + ")")
+    parts.append(f"w0 AS (SELECT canonical_product_id, x, tree, 1 AS node, 0 AS level FROM points, range({trees}) t(tree))")
+    for k in range(most):
+        parts.append(f"""w{k + 1} AS (SELECT canonical_product_id, x, w.tree, CASE WHEN c.f IS NULL THEN w.node WHEN x[f] < cut THEN 2 * w.node ELSE 2 * w.node + 1 END AS node, w.level + CASE WHEN c.f IS NULL THEN 0 ELSE 1 END AS level
+  FROM w{k} w LEFT JOIN cuts c ON w.tree = c.tree AND w.node = c.node)""")
+    parts.append(f"""raw AS (SELECT canonical_product_id, round(-power(2.0::DOUBLE, -avg(coalesce(depth, level)) / (SELECT {path} FROM deepest)), 9) AS raw FROM w{most} w LEFT JOIN ends e ON w.tree = e.tree AND w.node = e.node GROUP BY 1)""")
+    parts.append(f"""odd AS (SELECT features.*, round(raw - limit_, 6) AS score, CASE WHEN raw < limit_ THEN -1 ELSE 1 END AS flag FROM features JOIN raw USING (canonical_product_id), (SELECT round(quantile_cont(raw, {share}), 9) AS limit_ FROM raw))""")
+    return ",\n".join(parts)
+
+
+_ODD = with_sql(OFFERS, _FEATURES, _forest_sql())
 
 
-# Reports on odd products. SQL cannot grow a forest: odd ones are here those beyond a fence, the most varied first.
+def _odd(spark, sf_dir) -> DataFrame:
+    return rounded(learn.isolation_forest(_features(spark, sf_dir)), "score")
 
-_ODD = """q AS (SELECT quantile_cont(cv, 0.75) + 0.5 * (quantile_cont(cv, 0.75) - quantile_cont(cv, 0.25)) AS c FROM features),
-odd AS (SELECT features.*, -round(cv, 6) AS score, CASE WHEN round(cv, 6) > round(c, 6) THEN -1 ELSE 1 END AS flag FROM features, q)"""
 
+@query(_ODD + " SELECT canonical_product_id, score, flag FROM odd")
+def isolation_forest(spark, sf_dir):
+    return _odd(spark, sf_dir).select("canonical_product_id", "score", "flag")
 
-def _odd(spark, sf_dir) -> DataFrame:
-    rows = written(_features(spark, sf_dir))
-    q = F.col("q")
-    limit = quantiles(rows, ["cv"], [0.25, 0.75]).select((q[1] + 0.5 * (q[1] - q[0])).alias("_limit"))  # one row
-    out = rows.crossJoin(F.broadcast(limit))
-    return out.withColumns({"score": -F.round("cv", 6), "flag": F.when(F.round("cv", 6) > F.round("_limit", 6), -1).otherwise(1)}).drop("_limit")
+
+@query(_ODD + """ SELECT canonical_product_id, canonical_name, unified_category, round(mean_price, 4) AS mean_price, round(price_range, 4) AS price_range, round(cv, 6) AS cv, num_stores, score FROM odd WHERE flag = -1 ORDER BY score, canonical_product_id LIMIT 20""")
+def forest_anomalies(spark, sf_dir):
+    top = reports.top_anomalies(_odd(spark, sf_dir)).select("canonical_product_id", "canonical_name", "unified_category", "mean_price", "price_range", "cv", "num_stores", "score")
+    return rounded(rounded(top, "mean_price", "price_range", places=4), "cv")
 
 
-@query(with_sql(OFFERS, _FEATURES, _ODD) + """SELECT CASE WHEN flag = -1 THEN 'Anomalous' ELSE 'Normal' END AS anomaly_flag, count(*) AS n, round(avg(mean_price), 4) AS avg_mean_price, round(avg(price_range), 4) AS avg_price_range, round(avg(cv), 6) AS avg_cv,
+@query(_ODD + """ SELECT CASE WHEN flag = -1 THEN 'Anomalous' ELSE 'Normal' END AS anomaly_flag, count(*) AS n, round(avg(mean_price), 4) AS avg_mean_price, round(avg(price_range), 4) AS avg_price_range, round(avg(cv), 6) AS avg_cv,
 round(avg(num_stores), 6) AS avg_num_stores, round(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 6) AS pct FROM odd GROUP BY flag""")
 def anomaly_summary(spark, sf_dir):
     return rounded(rounded(reports.anomaly_summary(_odd(spark, sf_dir)), "avg_cv", "avg_num_stores", "pct"), "avg_mean_price", "avg_price_range", places=4)
 
 
-@query(with_sql(OFFERS, _FEATURES, _ODD) + "SELECT unified_category, count_if(flag = -1) AS n FROM odd GROUP BY 1")
+@query(_ODD + " SELECT unified_category, count_if(flag = -1) AS n FROM odd GROUP BY 1")
 def anomaly_categories(spark, sf_dir):
     return reports.anomaly_categories(_odd(spark, sf_dir))
 
 
-@query(with_sql(OFFERS, _FEATURES, _ODD) + "SELECT canonical_product_id, unified_category, score, num_stores FROM odd WHERE flag = -1 ORDER BY score, canonical_product_id LIMIT 20")
+@query(_ODD + " SELECT canonical_product_id, unified_category, score, num_stores FROM odd WHERE flag = -1 ORDER BY score, canonical_product_id LIMIT 20")
 def top20_anomalies(spark, sf_dir):
     return reports.top_anomalies(_odd(spark, sf_dir)).select("canonical_product_id", "unified_category", "score", "num_stores")
 
