@@ -46,6 +46,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a frame's stored bytes from its inputs' sizes; 0 where these are not known."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 class Scratch:
     """Materialised steps of one operator, removed once its result has been written.
 

@@ -7,13 +7,17 @@ suffix is binary-searched in every shard. The search narrows a range of the arra
 it yields the longest verbatim match and its places, and for each window of an item the range of all
 its occurrences. A document's words never continue in the next document.
 
-The benchmark is read in blocks of bounded size and broadcast; a shard's array is built once and
-searched for each block in turn, so neither side is ever shuffled. All blocks are in memory at once. Words are compared as bytes, not as hashes.
+The benchmark is cut into blocks of bounded size, files of the shared folder. A shard's array is built
+once and searched for each block in turn, so neither side is ever shuffled. A worker keeps blocks while
+they fit into a bounded memory and reads the others again for every shard, so a benchmark of any size
+is searched whole. Words are compared as bytes, not as hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, batches_by_bytes, ragged, table, text_bytes, words
+from .common import ALNUM, batches_by_bytes, estimated_bytes, ragged, shared_dir, table, text_bytes, words
+from .files import opened, own_name
 
 #: Consecutive words that make a verbatim copy; a shorter item counts as a whole.
 WINDOW = 10
 
-#: Text bytes of one broadcast block of the benchmark, and items at most.
+#: Text bytes of one block of the benchmark, and items at most.
 BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 100_000
+#: Bytes of blocks that a worker keeps.
+HELD_BYTES = 128 << 20
 
 
 class Block:
@@ -50,26 +57,79 @@ class Block:
         self.span = np.where(self.left >= span, span, 0)
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
-    """The benchmark in blocks; the driver holds one at a time."""
-    rows, held = [], 0
-    for item, text in benchmark.select(item_col, text_col).toLocalIterator():
-        rows.append((item, text))
-        held += len(text or "")
-        if held >= BLOCK_BYTES or len(rows) >= BLOCK_ITEMS:
-            yield Block(rows, window)
-            rows, held = [], 0
-    if rows:
-        yield Block(rows, window)
+@dataclass(frozen=True)
+class Blocks:
+    """The benchmark as files of pickled blocks; ``depth`` is the length of its longest item in words."""
+
+    folder: str
+    files: tuple[str, ...]
+    depth: int
+
+    def __iter__(self):
+        """The blocks one after another, from memory or from their files."""
+        if _held.get("folder") != self.folder:
+            _held.clear()
+            _held.update(folder=self.folder, bytes=0)
+        fs, root = opened(self.folder)
+        for file in self.files:
+            if (block := _held.get(file)) is None:
+                with fs.open_input_stream(f"{root}/{file}") as f:
+                    data = f.read()
+                block = pickle.loads(data)
+                if _held["bytes"] + len(data) <= HELD_BYTES:
+                    _held["bytes"] += len(data)
+                    _held[file] = block
+            yield block
+
+
+#: Blocks that this process keeps, by file, with their folder and bytes.
+_held: dict = {}
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Blocks:
+    """The benchmark in blocks, written by executors; the driver sees their names."""
+    spark = benchmark.sparkSession
+    folder, most, items = shared_dir(spark, "benchmark-blocks"), BLOCK_BYTES, BLOCK_ITEMS
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+    def run(batches):
+        fs, root = opened(folder)
+        fs.create_dir(root, recursive=True)
+        rows, held, made = [], 0, []
+
+        def close():
+            block = Block(rows, window)
+            made.append((own_name("block", len(made), ".pickle"), block.depth))
+            with fs.open_output_stream(f"{root}/{made[-1][0]}", compression=None) as f:
+                f.write(pickle.dumps(block))
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows.append((item, text))
+                held += len((text or "").encode())
+                if held >= most or len(rows) >= items:
+                    close()
+                    rows, held = [], 0
+        if rows:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.string()), pa.array([d for _, d in made], pa.int64())], ["file", "depth"])
+
+    # as many tasks as there are parts of some blocks by Spark's estimate, so that small input files share a block
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col))
+    if size := estimated_bytes(benchmark):
+        rows = rows.coalesce(1 + size // (8 * BLOCK_BYTES))
+    found = rows.mapInArrow(run, "file string, depth long").collect()  # a row per block
+    return Blocks(folder, tuple(sorted(r.file for r in found)), max((r.depth for r in found), default=0))
 
 
 class Shard:
-    """The suffix array of some documents' words, sorted as deep as the longest item of the blocks.
+    """The suffix array of some documents' words, sorted as deep as the longest item, in words.
 
     Word ids are the shard's own, so that one array serves all blocks.
     """
 
-    def __init__(self, column: pa.Array, *blocks: Block):
+    def __init__(self, column: pa.Array, depth: int):
         raw, offsets = text_bytes(column)
         coded, self.rows, _ = words(raw, offsets, ALNUM)
         self.words = coded.dictionary
@@ -82,7 +142,7 @@ class Shard:
         self.bits = max(1, int(len(self.words) + 1).bit_length())
         self.pack = 62 // self.bits
         self.key = self.packed(self.ids, self.left)
-        self.array = self.sorted(max((b.depth for b in blocks), default=0))
+        self.array = self.sorted(depth)
 
     def known(self, block: Block) -> np.ndarray:
         """The block's words by this shard's ids; words that it has not share one that no text has."""
@@ -201,16 +261,10 @@ class Shard:
         return np.cumsum(edge)[:n] > 0, *np.divmod(pairs, max(1, len(block.names)))
 
 
-def _shards(batches, broadcasts):
-    """Each batch with its shard and the blocks; the array is built once for all of these."""
-    held = [b.value for b in broadcasts]
-    for batch in batches_by_bytes(batches, "text"):
-        yield batch, Shard(batch.column("text"), *held), held
-
-
-def _scan(broadcasts):
+def _scan(held: Blocks):
     def run(batches):
-        for batch, shard, held in _shards(batches, broadcasts):
+        for batch in batches_by_bytes(batches, "text"):
+            shard = Shard(batch.column("text"), held.depth)
             hit, named = np.zeros(len(shard.ids), bool), [set() for _ in range(batch.num_rows)]
             for block in held:
                 some, rows, items = shard.hits(block)
@@ -229,12 +283,6 @@ def _scan(broadcasts):
     return run
 
 
-def _sent(benchmark: DataFrame, item_col: str, window: int) -> list:
-    """All blocks as broadcasts: together about the size of the benchmark."""
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(b) for b in blocks(benchmark, item_col, "text", window)]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Per document its words, the words inside copied windows and the items they come from.
 
@@ -245,17 +293,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     their row; an empty benchmark finds nothing. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(_sent(benchmark, item_col, window)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return rows.mapInArrow(_scan(blocks(benchmark, item_col, "text", window)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; all columns stay as they are."""
-    broadcasts = _sent(benchmark, item_col, window)
+    held = blocks(benchmark, item_col, "text", window)
 
     def run(batches):
-        held = [b.value for b in broadcasts]
         for batch in batches_by_bytes(batches, text_col):
-            shard, clean = Shard(batch.column(text_col), *held), np.ones(batch.num_rows, bool)
+            shard, clean = Shard(batch.column(text_col), held.depth), np.ones(batch.num_rows, bool)
             for block in held:
                 _, rows, _ = shard.hits(block)
                 clean[rows] = False
@@ -270,11 +317,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     Of equally long matches the smallest doc_id wins, then the earliest word. A suffix whose first
     word never occurs has no row.
     """
-
-    broadcasts = _sent(benchmark, item_col, WINDOW)
+    held = blocks(benchmark, item_col, "text", WINDOW)
 
     def run(batches):
-        for batch, shard, held in _shards(batches, broadcasts):
+        for batch in batches_by_bytes(batches, "text"):
+            shard = Shard(batch.column("text"), held.depth)
             for block in held:
                 length, place, _, _ = shard.search(block)
                 some = np.flatnonzero(length)

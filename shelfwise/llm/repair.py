@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import END, Encoded, WordBpe, load, tokenizer_path
-from .common import batches_by_bytes, materialize, ragged, shared_dir, table
+from .common import batches_by_bytes, estimated_bytes, materialize, ragged, shared_dir, table
 from .files import opened, own_name
 
 #: Text bytes of one shard of a file.
@@ -317,7 +317,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, id_col: str
 
     spark = docs.sparkSession
     # as many files as the input has parts of FILE_BYTES by Spark's estimate, and no fewer than tasks
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = estimated_bytes(docs)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(parts, F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"), "text")

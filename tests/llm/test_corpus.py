@@ -86,6 +86,21 @@ def test_contamination(spark, monkeypatch):
     assert kept == {x[0] for x in brute_contamination(docs, items) if not x[5]}
 
 
+def test_blocks_are_read_again_where_they_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    b = spark.createDataFrame([(i, f"item number {i} of many") for i in range(20)], "item_id long, text string").repartition(6)
+    held = decontaminate.blocks(b, "item_id", "text", 10)
+    assert len(held.files) >= 7 and held.depth == 5
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 0)
+    for _ in range(2):
+        assert sorted(int(n) for block in held for n in block.names) == list(range(20))
+        assert not [k for k in decontaminate._held if k.startswith("block")]
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 1 << 20)
+    assert len(list(held)) == len([k for k in decontaminate._held if k.startswith("block")]) == len(held.files)
+    d = spark.createDataFrame([(1, "an ITEM number 7 of many, item number 19 of many"), (2, "item number 77 of many")], "doc_id long, text string")
+    assert {x.doc_id: (x.n_items, x.n_hit) for x in decontaminate.contamination(d, b).collect()} == {1: (2, 10), 2: (0, 0)}
+
+
 def test_contamination_of_odd_texts(spark):
     b = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     got = decontaminate.contamination(frame(spark), b).collect()
@@ -106,7 +121,7 @@ def test_suffix_array_is_sorted():
     r = random.Random(2)
     texts = [" ".join(r.choices("ab", k=r.randint(0, 50))) for _ in range(20)]
     block = decontaminate.Block([(1, " ".join(r.choices("ab", k=40)))], 10)
-    shard = decontaminate.Shard(pa.array(texts), block)
+    shard = decontaminate.Shard(pa.array(texts), block.depth)
     suffix = [tuple(shard.ids[i : i + min(shard.left[i], block.depth)]) for i in shard.array]
     assert suffix == sorted(suffix)
 
