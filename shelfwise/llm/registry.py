@@ -24,7 +24,7 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
-    "op6_url_filter": urls.ORACLE_SQL,
+    "op6_url_filter": urls.oracle_sql(),
     "op11_fill_in_middle": infill.ORACLE_SQL,
     "op13_filter_audit": filters.ORACLE_SQL,
 }

@@ -26,8 +26,6 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Public suffixes of two labels that the SQL twin knows; to it all others have one. The query itself takes the full list.
-LONG_SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "co.in", "co.jp", "co.kr", "co.nz", "com.cn", "com.mx", "com.tr", "co.za"]
 #: A host is blocked if its posterior rate less so many standard deviations is above the limit.
 DEVIATIONS, LIMIT = 1.645, 0.5
 #: Bounds of the estimated prior strengths, in pages.
@@ -161,7 +159,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labelled_outcomes(table(spark, sf_dir, "labels")))
 
 
-_LONG = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+@lru_cache(1)
+def _suffixes_sql() -> str:
+    """The rules of ``public_suffixes`` as rows (name, labels), from one text."""
+    rules = ",".join(f"{name} {labels}" for name, labels in public_suffixes().items())
+    return f"SELECT split_part(x, ' ', 1) AS name, CAST(split_part(x, ' ', 2) AS INTEGER) AS labels FROM (SELECT unnest(string_split('{rules}', ',')) AS x)"
 
 
 def _strength_sql(source: str) -> str:
@@ -178,7 +180,9 @@ def _rule_sql(pick) -> str:
     return f"CASE {whens} END"
 
 
-ORACLE_SQL = rf"""
+def oracle_sql() -> str:
+    """The same verdicts in SQL, with the whole list of suffixes."""
+    return rf"""
 WITH r AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
@@ -187,13 +191,13 @@ WITH r AS (
 ), c AS (
   SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare, count(*) AS n, sum(bad) AS bad
   FROM r JOIN o USING (page_id) GROUP BY host
-), p AS (SELECT *, string_split(bare, '.') AS parts FROM c),
-l AS (
-  SELECT host, n, bad, bare, regexp_matches(bare, '^[0-9.]+$') OR starts_with(bare, '[') AS address,
-         array_to_string(parts[-1:], '.') AS one, array_to_string(parts[-2:], '.') AS two, array_to_string(parts[-3:], '.') AS three FROM p
-), h AS (
-  SELECT host, n, bad, CASE WHEN address THEN bare WHEN two IN ({_LONG}) THEN three ELSE two END AS domain,
-         CASE WHEN address THEN bare WHEN two IN ({_LONG}) THEN two ELSE one END AS suffix FROM l
+), p AS (SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$') OR starts_with(bare, '[') AS address FROM c),
+ends AS (SELECT host, i, array_to_string(parts[i:], '.') AS exact, array_to_string(list_concat(['*'], parts[i + 1:]), '.') AS wild FROM (SELECT host, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+rules AS ({_suffixes_sql()}),
+told AS (SELECT host, arg_min(coalesce(a.labels, b.labels), i) AS labels FROM ends LEFT JOIN rules a ON exact = a.name LEFT JOIN rules b ON wild = b.name WHERE coalesce(a.labels, b.labels) IS NOT NULL GROUP BY host),
+h AS (
+  SELECT host, n, bad, CASE WHEN address THEN bare ELSE array_to_string(parts[-(coalesce(labels, 1) + 1):], '.') END AS domain,
+         CASE WHEN address THEN bare ELSE array_to_string(parts[-coalesce(labels, 1):], '.') END AS suffix FROM p LEFT JOIN told USING (host)
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 m0 AS ({_strength_sql("s")}), m1 AS ({_strength_sql("d")}), m2 AS ({_strength_sql("h")}),
