@@ -29,7 +29,7 @@ from .common import SPACED, batches_by_bytes, ragged, table, text_bytes, words
 LONG_WORD = 200
 #: Text bytes encoded in one step, which takes some 20 times as much memory.
 STEP = 2 << 20
-#: Words whose exact merging a process remembers.
+#: Words whose exact merging a task remembers.
 REMEMBERED = 200_000
 END = "</w>"
 FAR = np.int64(1) << 40
@@ -398,6 +398,8 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             if full:
                 out += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), decoded]
             yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in schema.split(", ")])
+        # workers live on beside those of other stages
+        model.merged.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

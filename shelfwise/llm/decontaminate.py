@@ -33,6 +33,8 @@ WINDOW = 10
 
 #: Text bytes of one block of the benchmark, and items at most.
 BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 100_000
+#: Text bytes of a shard where documents are only kept or dropped, beside the workers of other stages.
+FILTER_BYTES = 4 << 20
 #: Bytes of blocks that a worker keeps.
 HELD_BYTES = 128 << 20
 
@@ -301,7 +303,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     held = blocks(benchmark, item_col, "text", window)
 
     def run(batches):
-        for batch in batches_by_bytes(batches, text_col):
+        for batch in batches_by_bytes(batches, text_col, FILTER_BYTES):
             shard, clean = Shard(batch.column(text_col), held.depth), np.ones(batch.num_rows, bool)
             for block in held:
                 _, rows, _ = shard.hits(block)
