@@ -100,12 +100,20 @@ def packaging_score(a, b) -> Column:
     return F.when(x.isNull() & y.isNull(), 0.7).when(x.isNull() | y.isNull(), 0.5).when(x == y, 1.0).otherwise(0.0)
 
 
-def price_penalty(a, b) -> Column:
-    """For prices per size that differ by more than 2.5 or 4 times."""
+#: Penalties by the step of ``price_step``.
+PRICE_PAYS = (0.0, 0.10, 0.18)
+
+
+def price_step(a, b) -> Column:
+    """1, or 2 or 3 for prices per size that differ by more than 2.5 or 4 times: places of PRICE_PAYS."""
     known = (a("price_sgd") != 0) & (b("price_sgd") != 0) & (a("size.total") != 0) & (b("size.total") != 0) & (a("size.unit") == b("size.unit"))
     x, y = a("price_sgd") / F.nullif(a("size.total"), F.lit(0.0)), b("price_sgd") / F.nullif(b("size.total"), F.lit(0.0))
     ratio = F.greatest(x, y) / F.nullif(F.least(x, y), F.lit(0.0))
-    return F.when(known & (ratio > 4), 0.18).when(known & (ratio > 2.5), 0.10).otherwise(0.0)
+    return F.when(known & (ratio > 4), 3).when(known & (ratio > 2.5), 2).otherwise(1)
+
+
+def price_penalty(a, b) -> Column:
+    return F.element_at(F.array(*map(F.lit, PRICE_PAYS)), price_step(a, b))
 
 
 def variant_conflict(a, b) -> Column:

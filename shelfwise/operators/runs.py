@@ -26,22 +26,25 @@ def ordered(rows: DataFrame, order: list[str]) -> DataFrame:
 def write_run(listings: DataFrame, category: str, folder: str, s: S.Scoring = S.PACKAGED) -> DataFrame:
     """Match a category's listings and write the run's files below ``folder``; returns the summary, one row.
 
-    Pairs are ordered by score, stores, name and ids; products by members, the most first, then by the
+    Review pairs are of first copies, with the numbers of copies of both; ``listing_copies`` tells each
+    listing's first copy, and so all other pairs. Strong pairs are best pairs, which are of first copies
+    alone. Pairs are ordered by score, stores, name and ids; products by members, the most first, then by the
     smallest id; members by their product, store and id. A run that is written again replaces its files.
     """
     pairs, best, products, members = resolve.match(listings, category, s)
-    products, members = written(products), written(members)
+    products, members, copies = written(products), written(members), written(resolve.copies(listings))
     low = pairs.withColumn("_low", -F.col("match_score"))
     by_score = ["_low", "store_a", "store_b", "name_a", "product_id_a", "product_id_b"]
     kept = written(products.withColumns({"_less": -F.col("member_count"), "_first": F.element_at("source_product_ids", 1)}))
     in_order = written(ordered(kept, ["_less", "_first"]))
     of_product = members.join(in_order.select("canonical_key", F.col("position").alias("_product")), "canonical_key")
     files = {
-        "strong_match_pairs": ordered(best.withColumn("_low", -F.col("match_score")), by_score),
+        "strong_match_pairs": ordered(best.drop("copies_a", "copies_b").withColumn("_low", -F.col("match_score")), by_score),
         "review_pairs": ordered(low.filter("match_status = 'review'"), by_score),
-        "top_pairs": ordered(pairs.orderBy(*resolve.pair_order()).limit(SHOWN).withColumn("_low", -F.col("match_score")), by_score),
+        "top_pairs": ordered(resolve.top_pairs(pairs, copies, SHOWN).withColumn("_low", -F.col("match_score")), by_score),
         "canonical_products": in_order.orderBy("position"),
         "canonical_product_members": ordered(of_product, ["_product", "store", "product_id"]),
+        "listing_copies": ordered(copies, ["copy_id", "id"]),
     }
     for name, rows in files.items():
         rows.drop("_low", "_less", "_first", "_product").write.mode("overwrite").json(f"{folder}/{name}")

@@ -139,3 +139,44 @@ def test_run_files_are_in_order(spark, tmp_path):
     top = runs.read_artifact(spark, folder, "top_pairs", "position int, match_score double")
     assert top.count() == min(20, summary.strong_match_pairs_raw + summary.review_pairs)
     assert runs.read_artifact(spark, folder, "summary", "canonical_groups int, category string").collect() == [(len(products), "Dairy")]
+
+
+def copied(spark, n):
+    """Listings with ``n`` copies each, of few texts, some of other prices, and without a store, price or unit."""
+    names = ["green tea", "green tea", "zero lemon tea", "oat milk", "milk"]
+    rows = [(i, f"s{i % 3}" if i % 11 else None, f"pokka {names[i % 5]}", "pokka" if i % 4 else None, "100g" if i % 7 else None, (1.0, 3.0, 5.0, None)[i % 13 % 4]) for i in range(1, 41)]
+    rows = [(i + 1000 * k, *x) for k in range(n) for i, *x in rows]
+    return spark.createDataFrame(rows, "id int, store string, name string, brand string, unit string, price_sgd double").withColumn("scraped_at", F.lit("2026-01-01").cast("timestamp"))
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    compared = []
+    scored = resolve._scored_classes
+
+    def counting(classes, s):
+        compared.append(classes.count())
+        return scored(classes, s)
+
+    monkeypatch.setattr(resolve, "_scored_classes", counting)
+    key = lambda d: Counter((x.product_id_a % 1000, x.product_id_b % 1000, x.match_score, x.match_status, x.explanation) for x in d.collect())
+    one, three = key(resolve.scored_pairs(copied(spark, 1))), key(resolve.scored_pairs(copied(spark, 3)))
+    assert three == {k: 9 * v for k, v in one.items()} and any("unit_price_outlier" in k[4] for k in one)
+    assert compared[0] == compared[1]
+
+
+def test_pairs_of_first_copies_stand_for_all(spark):
+    listings = copied(spark, 2)
+    pairs, copies = resolve.scored_pairs(listings), resolve.copies(listings)
+    few = resolve.scored_copies(listings)
+    first = dict(map(tuple, copies.collect()))
+    all_pairs = [(x.product_id_a, x.product_id_b, x.match_score, x.match_status) for x in pairs.collect()]
+    stood_for = Counter((first[a], first[b], *x) for a, b, *x in all_pairs)
+    assert {(x.product_id_a, x.product_id_b, x.match_score, x.match_status): x.copies_a * x.copies_b for x in few.collect()} == stood_for
+    assert len(stood_for) < len(all_pairs)
+    key = lambda d: sorted(map(tuple, resolve.reciprocal_best(d).select("product_id_a", "product_id_b", "match_score").collect()))
+    assert key(few) == key(pairs) and key(few)
+    for k in (1, 7, 20):
+        top = resolve.top_pairs(few, copies, k)
+        assert top.collect() == pairs.orderBy(*resolve.pair_order()).limit(k).collect()
+    summary = resolve.run_summary(listings, few, resolve.reciprocal_best(few), listings.select(F.array("store").alias("stores_present"))).first()
+    assert (summary.strong_match_pairs_raw, summary.review_pairs) == tuple(sum(x[3] == s for x in all_pairs) for s in ("strong_match", "review"))
