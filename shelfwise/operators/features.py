@@ -72,11 +72,16 @@ def shopping_advice(tier: Column, cv: Column, stores: Column) -> Column:
     return out.otherwise(ADVICE["none"])
 
 
-def series_features(rows: DataFrame, date: str = "scraped_date_sg") -> DataFrame:
-    """Last price, mean of the last three of these, calendar parts and category codes, per product and store."""
+def series_features(rows: DataFrame, date: str = "scraped_date_sg", codes: bool = True) -> DataFrame:
+    """Last price, mean of the last three of these and, with ``codes``, calendar parts and category codes, per product and store.
+
+    All columns of ``rows`` are written, so callers leave out those that they do not need.
+    """
     rows = written(rows)
     w = Window.partitionBy(*SERIES).orderBy(date)
     out = rows.withColumn("prev_price", F.lag("price_sgd").over(w)).withColumn("mean_3", F.avg("prev_price").over(w.rowsBetween(-2, 0)))
+    if not codes:
+        return out
     # codes number the sorted distinct values: small tables
     code = lambda c: rows.select(c).distinct().withColumn(f"{c}_code", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("long"))
     out = out.join(F.broadcast(code("store")), "store", "left").join(F.broadcast(code("unified_category")), "unified_category", "left")

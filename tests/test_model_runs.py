@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import commodity, model_runs
+from shelfwise.operators import commodity, learn, model_runs
 from shelfwise.operators.model_runs import ModelTables
 
 
@@ -68,3 +68,38 @@ def test_offers_of_text_keep_malformed_ones_apart(spark):
     offers, others = commodity.offers_of_text(df, ["k"])
     assert sorted((r.k, r.store, r.price_sgd, r.weight_g, r.unit_price_per_100g) for r in offers.collect()) == [(0, "a", 2.5, 500.0, 0.5), (1, "e", None, None, 2.0)]
     assert sorted((r.k, r.store or "") for r in others.collect()) == [(1, "a"), (1, "b"), (1, "c"), (1, "d"), (3, ""), (4, ""), (6, "")]
+
+
+def test_starts_of_kmeans_run_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    meet = threading.Barrier(4, timeout=30)  # broken, unless four fits are there at once
+
+    class Start:
+        def __init__(self, seed, **_):
+            self.seed = seed
+
+        def fit(self, df):
+            meet.wait()
+            summary = type("Summary", (), {"trainingCost": abs(self.seed - 44)})
+            return type("Model", (), {"summary": summary, "seed": self.seed})
+
+    monkeypatch.setattr(learn, "KMeans", Start)
+    assert learn.best_kmeans(spark.range(1), 3, 4).seed == 44
+
+
+@pytest.mark.parametrize("name", ["train_test_split", "chronological_split", "price_fence", "prediction_upsert", "model_run_deals"])
+def test_series_are_written_without_unused_columns(spark, monkeypatch, name):
+    from shelfwise.operators import features
+    from shelfwise.plans import catalog
+
+    class Stop(Exception):
+        pass
+
+    def stop(rows):
+        assert not {"canonical_name", "canonical_brand", "unified_category", "unit"} & set(rows.columns)
+        raise Stop
+
+    monkeypatch.setattr(features, "written", stop)
+    with pytest.raises(Stop):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
