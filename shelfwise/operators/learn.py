@@ -7,9 +7,11 @@ random sample, trees in parallel, scores by a function that all tasks share.
 from __future__ import annotations
 
 import hashlib
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -33,15 +35,27 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     return StandardScaler(inputCol="_raw", outputCol="scaled", withMean=True, withStd=True).fit(raw).transform(raw).drop("_raw")
 
 
+#: Fits that run at the same time, and rows of points that make a part: a start is a series of short jobs.
+AT_ONCE, POINTS = 8, 200_000
+
+
+def _points(df: DataFrame) -> DataFrame:
+    """The scaled points alone, written once, in parts of about ``POINTS`` rows and no more than Spark reads them in."""
+    points = written(df.select("scaled"))
+    return points.coalesce(max(1, -(-points.count() // POINTS))).persist()
+
+
 def best_kmeans(df: DataFrame, k: int, starts: int = 10, seed: int = 42):
-    """The model of least cost among several starts."""
-    models = [KMeans(k=k, featuresCol="scaled", predictionCol="cluster", seed=seed + i).fit(df) for i in range(starts)]
+    """The model of least cost among several starts, of which some run at the same time."""
+    fit = inheritable_thread_target(df.sparkSession)(lambda i: KMeans(k=k, featuresCol="scaled", predictionCol="cluster", seed=seed + i).fit(df))
+    with ThreadPool(min(AT_ONCE, starts)) as pool:
+        models = pool.map(fit, range(starts))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def kmeans_sweep(features: DataFrame, ks=range(2, 9), starts: int = 10) -> DataFrame:
     """Cost and silhouette by number of clusters."""
-    df = scaled(features, TIER_FEATURES).select("scaled").persist()
+    df = _points(scaled(written(features), TIER_FEATURES))
     try:
         rows = []
         for k in ks:
@@ -55,8 +69,8 @@ def kmeans_sweep(features: DataFrame, ks=range(2, 9), starts: int = 10) -> DataF
 
 def kmeans_tiers(features: DataFrame, starts: int = 10) -> DataFrame:
     """Features with cluster and tier; tiers are the clusters by ascending mean price."""
-    df = scaled(features, TIER_FEATURES)
-    points = df.select("scaled").persist()
+    df = scaled(written(features), TIER_FEATURES)
+    points = _points(df)
     try:
         model = best_kmeans(points, len(TIERS), starts)
     finally:
