@@ -75,9 +75,9 @@ def shopping_advice(tier: Column, cv: Column, stores: Column) -> Column:
 def series_features(rows: DataFrame, date: str = "scraped_date_sg", codes: bool = True) -> DataFrame:
     """Last price, mean of the last three of these and, with ``codes``, calendar parts and category codes, per product and store.
 
-    All columns of ``rows`` are written, so callers leave out those that they do not need.
+    All columns of ``rows`` are shuffled, with ``codes`` written too, so callers leave out those that they do not need.
     """
-    rows = written(rows)
+    rows = written(rows) if codes else rows
     w = Window.partitionBy(*SERIES).orderBy(date)
     out = rows.withColumn("prev_price", F.lag("price_sgd").over(w)).withColumn("mean_3", F.avg("prev_price").over(w.rowsBetween(-2, 0)))
     if not codes:

@@ -1,7 +1,8 @@
 """Global row numbers without gathering all rows in one task.
 
-Rows are written, cut into ranges of the order and written again, so the cut is stable and finding its
-borders computes nothing anew; sizes of the ranges, a row each, give where every range's numbers begin.
+Rows are written, cut into ranges of the order, numbered as they are sorted there and written again, so the
+cut is stable and finding its borders computes nothing anew; sizes of the ranges, a row each, give where
+every range's numbers begin.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from ..sources.steps import written
 def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """Adds ``name``, the row's number from 1 in the given ascending order, and ``<name>_total``, the number of rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(written(df).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    ranges = written(df).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the id has the part above 33 bits and the place in it below
+    cut = written(ranges.withColumns({"_part": F.spark_partition_id(), "_inner": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1}))
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))  # a row per range
-    ranges = Window.orderBy("_part")
-    bases = sizes.select("_part", (F.sum("_size").over(ranges) - F.col("_size")).alias("_base"), F.sum("_size").over(Window.partitionBy()).alias(f"{name}_total"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    out = cut.withColumn("_inner", inner).join(F.broadcast(bases), "_part")
+    before = Window.orderBy("_part")
+    bases = sizes.select("_part", (F.sum("_size").over(before) - F.col("_size")).alias("_base"), F.sum("_size").over(Window.partitionBy()).alias(f"{name}_total"))
+    out = cut.join(F.broadcast(bases), "_part")
     return out.withColumn(name, F.col("_base") + F.col("_inner")).drop("_part", "_inner", "_base")
 
 

@@ -168,3 +168,23 @@ def test_all_pairs_of_days(spark):
     df = spark.createDataFrame(rows, "id int, store string, unified_category string, t string").withColumn("scraped_at", F.col("t").cast("timestamp_ntz"))
     assert [r.id for r in listings.day_of(df, "s", "c", "2026-01-01").collect()] == [0, 1]
     assert list(itertools.islice(listings.UNIFIED, 2)) == ["name", "brand"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_take_no_second_shuffle(spark):
+    from shelfwise.operators.numbering import numbered
+
+    rows = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("k"), F.col("id").alias("v"))
+    out = numbered(rows, ["k"], "no")
+    assert _plan(out).count("Exchange hashpartitioning") == 1  # for the sizes of the ranges
+    assert out.filter("no <> k + 1 or no_total <> 3000 or v * 7919 % 3000 <> k").count() == 0 and out.count() == 3000
+
+
+def test_series_deal_offers_once(spark):
+    from shelfwise.plans import catalog
+
+    plan = _plan(catalog._narrow_series(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning") == 1 and "/step-" not in plan
