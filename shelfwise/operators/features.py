@@ -33,10 +33,14 @@ DEALS = ["Good deal", "Normal price", "Overpriced"]
 
 
 def product_features(rows: DataFrame, least_stores: int = 2) -> DataFrame:
-    """Price statistics of products priced in several stores; deviations of one price are 0."""
-    out = rows.filter("price_sgd > 0").groupBy("canonical_product_id").agg(
+    """Price statistics of products priced in several stores; deviations of one price are 0.
+
+    Rows are dealt by product before, as partial medians are larger than the prices that they hold.
+    """
+    used = rows.filter("price_sgd > 0").select("canonical_product_id", "canonical_name", "unified_category", "price_sgd", "store").repartition("canonical_product_id")
+    out = used.groupBy("canonical_product_id").agg(
         F.min("canonical_name").alias("canonical_name"), F.min("unified_category").alias("unified_category"), F.avg("price_sgd").alias("mean_price"), F.median("price_sgd").alias("median_price"),
-        F.min("price_sgd").alias("min_price"), F.max("price_sgd").alias("max_price"), F.coalesce(F.stddev_samp("price_sgd"), F.lit(0.0)).alias("std_price"), F.count("*").alias("num_prices"), F.count_distinct("store").alias("num_stores"),
+        F.min("price_sgd").alias("min_price"), F.max("price_sgd").alias("max_price"), F.coalesce(F.stddev_samp("price_sgd"), F.lit(0.0)).alias("std_price"), F.count("*").alias("num_prices"), F.size(F.collect_set("store")).cast("long").alias("num_stores"),
     )
     return out.withColumns({"price_range": F.col("max_price") - F.col("min_price"), "cv": F.col("std_price") / F.col("mean_price")}).filter(F.col("num_stores") >= least_stores)
 

@@ -118,14 +118,26 @@ def _grow(x: np.ndarray, seed: int, tree: int, most: int) -> list[tuple[int, flo
     return nodes
 
 
-def _depths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(x), np.int64)
+def _flat(tree: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Features, limits, both nodes below each node in turn, and depths; leaves stand above themselves."""
     feature, limit, left, right, depth = (tree[:, i] for i in range(5))
-    while (live := feature[at] >= 0).any():
-        f = np.maximum(feature[at], 0).astype(int)
-        down = np.where(x[np.arange(len(x)), f] < limit[at], left[at], right[at]).astype(int)
-        at = np.where(live, down, at)
-    return depth[at]
+    leaf, me = feature < 0, np.arange(len(tree))
+    below = np.column_stack([np.where(leaf, me, left), np.where(leaf, me, right)]).astype(np.intp).ravel()
+    return np.where(leaf, 0, feature).astype(np.intp), limit.copy(), below, depth.copy()
+
+
+def _depths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    feature, limit, below, depth = _flat(tree)
+    n, width = x.shape
+    values, first = np.ascontiguousarray(x).ravel(), np.arange(n) * width
+    at = np.zeros(n, np.intp)
+    while True:
+        left = values.take(first + feature.take(at)) < limit.take(at)  # NaN goes right
+        new = below.take(2 * at + ~left)
+        # a node's number is below those of the nodes under it, so nothing moves only where all rows stand in leaves
+        if np.array_equal(new, at):
+            return depth.take(at)
+        at = new
 
 
 def isolation_forest(features: DataFrame, key: str = "canonical_product_id", trees: int = 200, sample: int = 256, contamination: float = 0.03, seed: int = 42) -> DataFrame:
@@ -144,9 +156,11 @@ def isolation_forest(features: DataFrame, key: str = "canonical_product_id", tre
     # a few times the sample by a hash limit, then exactly the smallest; a row stands only in the trees that draw it
     share = int(min(1.0, 4.0 * size / n) * (1 << 32)) + 1
     places = lambda c: F.round(F.col(c).cast("double"), 6)
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.md5(F.concat_ws(":", F.lit(str(seed)), t.cast("string"), F.col(key).cast("string"))).alias("draw")))
-    drawn = F.filter(hashed, lambda h: F.conv(F.substring(h["draw"], 1, 8), 16, 10).cast("long") < share)
-    rows = features.select(key, *[places(c).alias(c) for c in columns], F.explode(drawn).alias("_d")).select(key, *columns, "_d.*")
+    # exploded and filtered in compiled code; a digest is below a limit of eight digits if its first eight digits are
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col("_key")))
+    trees_of = features.select(key, *[places(c).alias(c) for c in columns], F.col(key).cast("string").alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    drawn = trees_of if share >= 1 << 32 else trees_of.filter(draw < f"{share:08x}")
+    rows = drawn.select(key, *columns, "tree", draw.alias("draw"))
     most = int(np.ceil(np.log2(max(2, size))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,16 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s_suppkey and store, written: Spark takes a join's size for the product of its sides', and would shuffle all lines by supplier."""
+    supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return written(joined.select("s_suppkey", F.lower("r_name").alias("store")))
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """canonical_product_id, names, category, store, times, prices, unit and product_id of each line."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    stores = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.lower("r_name").alias("store"))
+    stores = _stores(spark, sf_dir)
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
     day = F.date_format("l_shipdate", "yyyyMMdd")
     return rows.select(
@@ -73,8 +81,7 @@ LISTINGS = """listings AS (
 def commodities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers as commodity listings: the name's last word is the cut, and the part's size gives the weight."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    stores = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.lower("r_name").alias("store"))
+    stores = _stores(spark, sf_dir)
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
         F.element_at(F.split("p_name", " "), -1).alias("cut"), F.when(F.contains("p_name", F.lit("cold")), "frozen").otherwise("fresh/chilled").alias("frozen_flag"), "store", F.col("p_name").alias("name"),

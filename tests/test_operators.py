@@ -187,4 +187,13 @@ def test_series_deal_offers_once(spark):
     from shelfwise.plans import catalog
 
     plan = _plan(catalog._narrow_series(spark, "/root/testdata/sf0.001"))
-    assert plan.count("Exchange hashpartitioning") == 1 and "/step-" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "row_number()" in plan and "lag(" in plan
+
+
+def test_features_deal_prices_once(spark):
+    from shelfwise.operators import features
+
+    rows = spark.range(400).selectExpr("id % 20 as canonical_product_id", "'n' as canonical_name", "'c' as unified_category", "double(id + 1) as price_sgd", "case when id % 40 < 20 then 's1' when id % 3 = 0 then 's2' end as store")
+    out = features.product_features(rows)
+    assert _plan(out).count("Exchange hashpartitioning") == 1
+    assert {r.num_stores for r in out.collect()} == {2} and dict(out.dtypes)["num_stores"] == "bigint"
