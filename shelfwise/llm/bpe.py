@@ -29,6 +29,8 @@ from .common import SPACED, batches_by_bytes, ragged, table, text_bytes, words
 LONG_WORD = 200
 #: Text bytes encoded in one step, which takes some 20 times as much memory.
 STEP = 2 << 20
+#: Bytes of pieces that are cut into words at once.
+CUT_BYTES = 1 << 18
 #: Words whose exact merging a task remembers.
 REMEMBERED = 200_000
 END = "</w>"
@@ -298,11 +300,17 @@ class WordBpe:
         sizes[slow] = 0
         joined = np.full(int(sizes.sum()) + max(0, n - 1), ord("\n"), np.uint8)
         joined[ragged(np.cumsum(sizes + 1) - sizes - 1, sizes)] = raw[kept]
-        found = self.cut.findall(joined.tobytes().decode("utf-8", "replace").lower())
-        count = len(found)
-        for x in slow_words:
-            found += x
-        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        del kept, odd, bars
+        # some pieces at a time, as a list of words takes many times their bytes
+        data, parts, a = joined.tobytes(), [], 0
+        while a < len(data):
+            b = data.find(b"\n", a + CUT_BYTES) + 1 or len(data)
+            parts.append(pa.array(self.cut.findall(data[a:b].decode("utf-8", "replace").lower()), pa.large_string()))
+            a = b
+        count = sum(map(len, parts))
+        parts.append(pa.array([word for x in slow_words for word in x], pa.large_string()))
+        coded = pa.chunked_array(parts, pa.large_string()).combine_chunks().dictionary_encode()
+        del parts, data, joined
         code = coded.indices.to_numpy()
         line = pc.index(coded.dictionary, pa.scalar("\n", pa.large_string())).as_py()
         marks = np.r_[-1, np.flatnonzero(code[:count] == line), count] if n else np.zeros(1, np.int64)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import END, Encoded, WordBpe, load, tokenizer_path
-from .common import batches_by_bytes, estimated_bytes, materialize, ragged, shared_dir, table
+from .common import batches_by_bytes, estimated_bytes, materialize, ragged, shared_dir, table, trim
 from .files import opened, own_name
 
 #: Text bytes of one shard of a file.
@@ -47,6 +47,8 @@ SHORT = 16
 SYMBOLS = 1 << 24
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 600_000
+#: Bits of the hashes of pairs that a round counts first, and what mixes them.
+HASH_BITS, MIX = 20, np.uint64(0x9E3779B97F4A7C15)
 END_ID = 2
 MAGIC = b"RPG1"
 
@@ -63,7 +65,19 @@ def replace_round(seq: np.ndarray, live: np.ndarray, weight: np.ndarray | None,
         live, weight = live[often], None if weight is None else weight[often]
     if not len(live):
         return None
-    codes, pairs = pd.factorize((seq[live] << 32) | seq[live + 1])
+    pair = seq[live].astype(np.int64)
+    pair <<= 32
+    pair |= seq[live + 1]
+    # a pair is no more frequent than its hash: most rare ones go before they are told apart
+    bits = min(HASH_BITS, len(live).bit_length())
+    place = (pair.view(np.uint64) * MIX >> np.uint64(64 - bits)).view(np.int64)
+    often = (np.bincount(place, weights=weight) >= USES)[place]
+    del place
+    live, pair, weight = live[often], pair[often], None if weight is None else weight[often]
+    if not len(live):
+        return None
+    codes, pairs = pd.factorize(pair)
+    del pair
     # of a run of one symbol every second pair counts, as pairs must not overlap
     apart = _every_second(np.r_[False, (live[1:] == live[:-1] + 1) & (codes[1:] == codes[:-1])])
     count = np.bincount(codes[apart], weights=None if weight is None else weight[apart], minlength=len(pairs)).astype(np.int64)
@@ -72,7 +86,7 @@ def replace_round(seq: np.ndarray, live: np.ndarray, weight: np.ndarray | None,
         return None
     live, codes, weight = live[often], codes[often], None if weight is None else weight[often]
     # the most frequent pair where it stands; of equally frequent ones a hash tells, so a round halves long repeats
-    n, mixed = count[codes], (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[codes]
+    n, mixed = count[codes], (pairs.view(np.uint64) * MIX)[codes]
     alone = live[1:] != live[:-1] + 1
     best = np.r_[True, alone | (n[1:] > n[:-1]) | (n[1:] == n[:-1]) & (mixed[1:] >= mixed[:-1])]
     best &= np.r_[alone | (n[1:] < n[:-1]) | (n[1:] == n[:-1]) & (mixed[1:] <= mixed[:-1]), True]
@@ -101,8 +115,8 @@ def replace_round(seq: np.ndarray, live: np.ndarray, weight: np.ndarray | None,
 
 def _every_second(joined: np.ndarray) -> np.ndarray:
     """The first, third, ... of each run; ``joined`` tells of each element whether it continues the one before."""
-    index = np.arange(len(joined))
-    return (index - np.maximum.accumulate(np.where(joined, 0, index))) % 2 == 0
+    index = np.arange(len(joined), dtype=np.int32)
+    return (index - np.maximum.accumulate(np.where(joined, np.int32(0), index))) & 1 == 0
 
 
 @dataclass
@@ -147,23 +161,26 @@ class Shard:
     def decode(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each document's start in them (n + 1 offsets); rules are opened where they stand."""
         size = np.r_[np.ones(self.first, np.int64), self.lengths.astype(np.int64)]
-        ends = np.cumsum(size[self.symbols])
-        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
         # short symbols are copied from a pool of their expansions, long ones opened until they are short
         short = np.flatnonzero(size[self.first :] <= SHORT)
         pool = np.r_[np.arange(self.first), self._opened(short + self.first, size)].astype(np.uint32)
         start = np.arange(len(size))
         start[self.first + short] = self.first + np.cumsum(size[self.first + short]) - size[self.first + short]
-        place, symbol = ends - size[self.symbols], self.symbols.astype(np.int64)
-        while True:
+        sizes = size[self.symbols]
+        # what this puts where a long symbol stands is overwritten below
+        ids = pool.take(ragged(start[self.symbols], sizes), mode="clip") if len(sizes) else np.zeros(0, np.uint32)
+        open_ = np.flatnonzero(sizes > SHORT)
+        place, symbol = (np.cumsum(sizes) - sizes)[open_], self.symbols[open_].astype(np.int64)
+        del sizes
+        while len(symbol):
+            own = symbol - self.first
+            left = self.left[own].astype(np.int64)
+            place, symbol = np.r_[place, place + size[left]], np.r_[left, self.right[own]].astype(np.int64)
             long = size[symbol] > SHORT
             at, own = place[~long], symbol[~long]
             ids[ragged(at, size[own])] = pool[ragged(start[own], size[own])]
-            place, own = place[long], symbol[long] - self.first
-            if not len(own):
-                return ids, np.r_[self.before, len(ids)]
-            left = self.left[own].astype(np.int64)
-            place, symbol = np.r_[place, place + size[left]], np.r_[left, self.right[own]].astype(np.int64)
+            place, symbol = place[long], symbol[long]
+        return ids, np.r_[self.before, len(ids)]
 
     def _opened(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of these symbols, one after another."""
@@ -198,9 +215,10 @@ class Shard:
 
 def compress(found: Encoded, doc_ids: pa.Array, first: int, end_id: int = END_ID) -> Shard:
     """Build a shard's grammar. ``first`` is greater than any id."""
-    seq, starts = found.ids.astype(np.int64), found.starts
+    # symbols and places of a shard fit 4 bytes, half as much memory as 8
+    seq = found.ids.astype(np.int32)
     weight = np.bincount(found.pieces, minlength=len(found.sizes))
-    owner = np.repeat(np.arange(len(found.sizes)), found.sizes)
+    owner = np.repeat(np.arange(len(found.sizes), dtype=np.int32), found.sizes)
     rules, next_symbol = [], first
     live = np.flatnonzero(owner[1:] == owner[:-1])
     while (done := replace_round(seq, live, weight[owner[live]], next_symbol)) is not None:
@@ -212,11 +230,13 @@ def compress(found: Encoded, doc_ids: pa.Array, first: int, end_id: int = END_ID
     # the documents' symbols, each document closed by the end id
     sizes = np.bincount(owner, minlength=len(found.sizes))
     begin = np.cumsum(sizes) - sizes
+    del owner, live
     docs = len(found.rows) - 1
-    piece_sizes = np.r_[sizes, 1]
     pieces = np.insert(found.pieces, found.rows[1:], len(sizes))
-    stream = np.r_[seq, end_id][ragged(np.r_[begin, len(seq)][pieces], piece_sizes[pieces])]
-    edges = np.r_[0, np.cumsum(piece_sizes[pieces])][np.r_[0, found.rows[1:] + np.arange(1, docs + 1)]]
+    piece_sizes = np.r_[sizes, 1][pieces]
+    edges = np.r_[0, np.cumsum(piece_sizes)][np.r_[0, found.rows[1:] + np.arange(1, docs + 1)]]
+    stream = np.r_[seq, np.int32(end_id)][ragged(np.r_[begin, len(seq)][pieces], piece_sizes)]
+    del pieces, piece_sizes, seq
     live = np.arange(len(stream))
     while True:
         inner = np.ones(len(stream), bool)
@@ -225,7 +245,7 @@ def compress(found: Encoded, doc_ids: pa.Array, first: int, end_id: int = END_ID
         if (done := replace_round(stream, live, None, next_symbol)) is None:
             break
         keep, stream, live, made = done
-        edges = np.r_[0, np.cumsum(keep)][edges]
+        edges -= np.searchsorted(np.flatnonzero(~keep), edges)
         rules.append(made)
         next_symbol += made.shape[1]
     left, right = np.concatenate(rules, axis=1) if rules else np.zeros((2, 0), np.int64)
@@ -296,6 +316,10 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, id_col: str
     """
     schema = "file_no int, shard_no int, file string, offset long, length long, n_docs long, n_ids long"
 
+    def packed(model, library, batch):
+        shard = compress(model.encode(batch.column("text"), library), batch.column("doc_id"), len(model.tokens))
+        return shard.pack(), int(shard.before[-1] + shard.sizes(shard.symbols[shard.starts[-1] :]).sum())
+
     def run(batches):
         name = path or tokenizer_path()
         model = load(name)
@@ -304,13 +328,13 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, id_col: str
         fs.create_dir(root, recursive=True)
         file, out, at, rows = own_name("ids", 0, ".rpg"), None, 0, []
         for number, batch in enumerate(batches_by_bytes(batches, "text", SHARD_BYTES)):
-            found = model.encode(batch.column("text"), library)
-            shard = compress(found, batch.column("doc_id"), len(model.tokens))
-            data = shard.pack()
+            data, n_ids = packed(model, library, batch)
             out = out or fs.open_output_stream(f"{root}/{file}", compression=None)
             out.write(data)
-            rows.append((TaskContext.get().partitionId(), number, file, at, len(data), batch.num_rows, int(shard.before[-1] + shard.sizes(shard.symbols[shard.starts[-1] :]).sum())))
+            rows.append((TaskContext.get().partitionId(), number, file, at, len(data), batch.num_rows, n_ids))
             at += len(data)
+            del data
+            trim()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4])], [x.split()[0] for x in schema.split(", ")])
@@ -332,6 +356,19 @@ def read_ids(index: DataFrame, folder: str, full: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files; ``full`` adds the ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * full
 
+    def decoded(shard, start):
+        ids, at = shard.decode()
+        data, edges = memoryview(ids.astype("<u4", copy=False)).cast("B"), (at * 4).tolist()
+        out = [
+            pa.array(shard.doc_ids, pa.int64(), mask=shard.has_id == 0),
+            pa.array(start + at[:-1], pa.int64()),
+            pa.array(np.diff(at), pa.int64()),
+            pa.array([zlib.crc32(data[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.int64()),
+        ]
+        if full:
+            out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
+        return pa.RecordBatch.from_arrays(out, [x.split()[0] for x in schema.split(", ")])
+
     def run(batches):
         fs, root = opened(folder)
         for batch in batches:
@@ -339,17 +376,9 @@ def read_ids(index: DataFrame, folder: str, full: bool = False) -> DataFrame:
                 with fs.open_input_file(f"{root}/{file}") as f:
                     f.seek(offset)
                     shard = Shard.unpack(f.read(length))
-                ids, at = shard.decode()
-                data, edges = memoryview(ids.astype("<u4")).cast("B"), (at * 4).tolist()
-                out = [
-                    pa.array(shard.doc_ids, pa.int64(), mask=shard.has_id == 0),
-                    pa.array(start + at[:-1], pa.int64()),
-                    pa.array(np.diff(at), pa.int64()),
-                    pa.array([zlib.crc32(data[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.int64()),
-                ]
-                if full:
-                    out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in schema.split(", ")])
+                yield decoded(shard, start)
+                del shard
+                trim()
 
     spark = index.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -487,6 +488,53 @@ def test_grammar_leaves_no_frequent_pair(model, copies):
         assert shard.slice(i).tolist() == want and shard.slice(i, len(want) // 2, 3).tolist() == want[len(want) // 2 :][:3]
 
 
+def shard_of_distinct_words(model, n=60_000):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(n)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(n // 60)]
+    return pa.array(texts), pa.array(range(len(texts)), pa.int64())
+
+
+def most_memory(f):
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_memory_of_a_shard(model):
+    """Per id of a shard's texts, as several workers stand beside each other and the executor."""
+    texts, ids = shard_of_distinct_words(model)
+    library = repair.LibraryWords(model)
+    model.encode(texts, library)
+    found, most = most_memory(lambda: model.encode(texts, library))
+    n = int(found.sizes[found.pieces].sum())
+    assert n > 500_000
+    shard, then = most_memory(lambda: repair.compress(found, ids, len(model.tokens)))
+    _, last = most_memory(shard.decode)
+    # bytes an id: 16, 20 and 28; with words in one list, 8-byte symbols and two maps of places 23, 34 and 51
+    assert (most < 19 * n, then < 26 * n, last < 38 * n) == (True,) * 3
+
+
+@pytest.mark.parametrize("bits", [1, 3, 30])
+def test_grammar_is_the_same_for_any_hash(model, odd_texts, monkeypatch, bits):
+    texts = odd_texts * 4 + ["na " * 500]
+    found = model.encode(pa.array(texts), repair.LibraryWords(model))
+    made = lambda: repair.compress(found, pa.array(range(len(texts)), pa.int64()), len(model.tokens)).pack()
+    want = made()
+    monkeypatch.setattr(repair, "HASH_BITS", bits)
+    assert made() == want
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_pieces_cut_in_any_portions(model, odd_texts, monkeypatch, size):
+    want = model.encode(pa.array(odd_texts)).flat()
+    monkeypatch.setattr(bpe, "CUT_BYTES", size)
+    got = model.encode(pa.array(odd_texts)).flat()
+    assert all((a == b).all() for a, b in zip(got, want))
+
+
 def test_id_files(spark, model):
     docs = frame(spark)
     folder = shared_dir(spark, "ids")
