@@ -1,7 +1,7 @@
 """Models on product features: price tiers, anomalies and price prediction.
 
-K-means and random forests are MLlib's. Isolation forests are built here: every tree on its own small
-random sample, trees in parallel, scores by a function that all tasks share.
+K-means is MLlib's; random forests are those of ``forest``. Isolation forests are built here: every tree on its
+own small random sample, trees in parallel, scores by a function that all tasks share.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import sinks
 from ..sources.steps import written
+from .forest import RandomForestRegressor
 from .quantiles import quantiles
 
 TIERS = ("Budget", "Mid-range", "Premium")
@@ -188,9 +188,8 @@ def isolation_forest(features: DataFrame, key: str = "canonical_product_id", tre
 def price_model(series: DataFrame, trees: int = 200, depth: int = 12):
     """Random forest on series features with ``is_train``; returns the model and predictions of the other rows."""
     rows = series.withColumnsRenamed({"unified_category_code": "category_code"}).dropna(subset=["price_sgd", *PRICE_FEATURES])
-    df = VectorAssembler(inputCols=PRICE_FEATURES, outputCol="features").transform(rows)
-    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="all", labelCol="price_sgd", predictionCol="predicted_price", seed=42).fit(df.filter("is_train"))
-    out = model.transform(df.filter("not is_train")).drop("features")
+    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, inputCols=PRICE_FEATURES, labelCol="price_sgd", predictionCol="predicted_price", seed=42).fit(rows.filter("is_train"))
+    out = model.transform(rows.filter("not is_train"))
     error = F.col("price_sgd") - F.col("predicted_price")
     return model, out.withColumns({"error": error, "abs_error": F.abs(error)})
 
