@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..sources.steps import written
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
-    """Adds ``name``, the row's number from 1 in the given ascending order, and ``<name>_total``, the number of rows."""
+def numbered(df: DataFrame, order: list[str], name: str = "row_no", step: bool = True) -> DataFrame:
+    """Adds ``name``, the row's number from 1 in the given ascending order, and ``<name>_total``, the number of rows.
+
+    Without ``step`` rows are not written before they are cut into ranges, for such as are a step already.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = written(df).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranges = (written(df) if step else df).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the id has the part above 33 bits and the place in it below
     cut = written(ranges.withColumns({"_part": F.spark_partition_id(), "_inner": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1}))
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))  # a row per range

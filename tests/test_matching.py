@@ -141,6 +141,32 @@ def test_run_files_are_in_order(spark, tmp_path):
     assert runs.read_artifact(spark, folder, "summary", "canonical_groups int, category string").collect() == [(len(products), "Dairy")]
 
 
+def test_run_files_take_little_room(spark, tmp_path):
+    """Members and copies are a line for each listing, whose texts repeat."""
+    from shelfwise.operators import runs
+
+    names = "element_at(array('pokka green tea', 'pokka zero tea', 'oat milk', 'acme oat milk', 'jasmine'), cast(id % 5 + 1 as int))"
+    df = spark.range(4000).selectExpr("id", "concat('s', id % 3) as store", f"{names} as name", "'acme' as brand", "'100g' as unit", "1.0D as price_sgd", "timestamp_ntz'2026-01-01' as scraped_at")
+    runs.write_run(df, "Dairy", f"file://{tmp_path}/run")
+    size = {d: sum(f.stat().st_size for f in (tmp_path / "run" / d).iterdir()) for d in ("canonical_product_members", "listing_copies")}
+    assert size["canonical_product_members"] < 40 * 4000 and size["listing_copies"] < 20 * 4000
+    assert runs.read_artifact(spark, f"file://{tmp_path}/run", "canonical_product_members", "product_id long").distinct().count() == 4000
+
+
+def test_groups_may_leave_out_lone_listings(spark):
+    listings = copied(spark, 3).unionByName(copied(spark, 1).filter("id in (3, 4)"))
+    edges = spark.createDataFrame([(1, 1001), (1001, 7), (20, 33)], "product_id_a int, product_id_b int")
+    got = []
+    for groups in (resolve.components(listings, edges), resolve.linked(edges)):
+        products, members = resolve.canonical_products(listings, groups, "Beverages")
+        got.append([sorted(map(str, d.collect())) for d in (products, members)])
+        assert products.agg(F.sum("member_count")).first()[0] == members.count() == listings.count()
+    assert got[0] == got[1]
+    # of an id that occurs twice the rows are one group, and lone listings are sure of their product
+    assert {m.match_confidence for m in members.filter("product_id in (1, 7, 3)").collect()} == {None}
+    assert {m.match_confidence for m in members.filter("product_id in (2, 1003)").collect()} == {1.0}
+
+
 def copied(spark, n):
     """Listings with ``n`` copies each, of few texts, some of other prices, and without a store, price or unit."""
     names = ["green tea", "green tea", "zero lemon tea", "oat milk", "milk"]
