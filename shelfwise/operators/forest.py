@@ -21,7 +21,7 @@ from ..sources.steps import written
 from .quantiles import quantiles
 
 #: Rows of a node that one task may hold, and rows that a task adds up at a time.
-LOCAL, PART = 1 << 16, 1_000_000
+LOCAL, PART = 1 << 18, 1_000_000
 
 #: What a split (or a root without one) is told by; values are means, the leaves' come with the split above them.
 _FOUND = ["node", "feature", "cut", "rows", "value", "left_rows", "left_value", "right_value"]
