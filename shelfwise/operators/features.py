@@ -94,7 +94,7 @@ def series_features(rows: DataFrame, date: str = "scraped_date_sg", codes: bool
 
 def positional_split(df: DataFrame, order: list[str], part: float = 0.8, date: str | None = None) -> DataFrame:
     """Marks the first ``part`` of the rows in order as training rows; with ``date`` the order is by time first."""
-    out = numbered(df, [date, *[c for c in order if c != date]] if date else order, "_no")
+    out = numbered(written(df), [date, *[c for c in order if c != date]] if date else order, "_no", step=False)
     return out.withColumn("is_train", F.col("_no") <= F.floor(F.col("_no_total") * part)).drop("_no", "_no_total")
 
 
